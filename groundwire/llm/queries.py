@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import read_documents, write_shards
 
@@ -37,5 +49,5 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_wavelet_tokens, op5_near_dup, op7_pack, op8_token_counts, op9_prefix_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op4_wavelet_tokens, op5_near_dup, op7_pack, op8_token_counts, op9_prefix_bpe)}
 ORACLE_SQL: dict[str, str] = {}
