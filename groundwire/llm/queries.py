@@ -49,5 +49,11 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op4_wavelet_tokens, op5_near_dup, op7_pack, op8_token_counts, op9_prefix_bpe)}
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op4_wavelet_tokens, op5_near_dup, op7_pack, op8_token_counts, op9_prefix_bpe, op10_lattice_lm)}
 ORACLE_SQL: dict[str, str] = {}

@@ -136,3 +136,63 @@ def distinct_sets(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     cut = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << U(52)) if n < 4096 else np.append(np.searchsorted(key, np.arange(n, dtype=np.uint64) << U(52)), key.size)
     return key & U((1 << 52) - 1), cut
+
+
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each byte range: its hash, and its length with its first bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((data.size + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    short = np.clip(8 - (end - start), 0, 8).astype(np.uint64) * U(8)
+    check = np.where(short < 64, (eight[start] << np.minimum(short, U(63))) ^ (end - start).astype(np.uint64) * MULTIPLY[0], U(0))
+    return hashes(data, start, end), check
+
+
+class KeyTable:
+    """Flat open-address table that numbers 128-bit keys in order of arrival."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.names = np.zeros((2, 1 << 12), np.uint64)
+        self.known = 0
+        self._clear(slots)
+
+    def _clear(self, slots: int) -> None:
+        self.slots = slots
+        self.key, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.number = np.full(slots, -1, np.int32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Numbers of the keys; -1 for those not known."""
+        mask = self.slots - 1
+        slot = (key & U(mask)).astype(np.int64)
+        out = self.number[slot]
+        wrong = np.flatnonzero((out >= 0) & ((self.key[slot] != key) | (self.check[slot] != check)))
+        while wrong.size:
+            slot[wrong] = (slot[wrong] + 1) & mask
+            s = slot[wrong]
+            out[wrong] = self.number[s]
+            wrong = wrong[(out[wrong] >= 0) & ((self.key[s] != key[wrong]) | (self.check[s] != check[wrong]))]
+        return out
+
+    def insert(self, key: np.ndarray, check: np.ndarray) -> None:
+        """Number new, distinct keys."""
+        n, at = key.size, self.known
+        if at + n > self.names.shape[1]:
+            self.names = np.concatenate([self.names[:, :at], np.zeros((2, max(at, n) + n), np.uint64)], axis=1)
+        self.names[0, at : at + n], self.names[1, at : at + n] = key, check
+        self.known = at + n
+        if self.known * 2 > self.slots:
+            self._clear(1 << int(self.known * 4).bit_length())
+            self._place(self.names[0, : self.known], self.names[1, : self.known], 0)
+        else:
+            self._place(key, check, at)
+
+    def _place(self, key: np.ndarray, check: np.ndarray, at: int) -> None:
+        mask = self.slots - 1
+        slot, left = (key & U(mask)).astype(np.int64), np.arange(key.size)
+        while left.size:
+            free = left[self.number[slot[left]] < 0]
+            self.number[slot[free]] = (at + free).astype(np.int32)  # of several for a slot the last stays
+            mine = free[self.number[slot[free]] == at + free]
+            self.key[slot[mine]], self.check[slot[mine]] = key[mine], check[mine]
+            left = left[self.number[slot[left]] != at + left]
+            slot[left] = (slot[left] + 1) & mask

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .textkernel import LOWER, SPACE, buffers, hashes
+from .textkernel import LOWER, SPACE, KeyTable, buffers, word_keys
 
 ENTRIES, POOL, SLOTS = 1_200_000, 10_000_000, 1 << 22
 #: New chunks handed to the library in one string.
@@ -66,55 +66,30 @@ class ChunkCoder:
         self.reset()
 
     def reset(self) -> None:
-        self.key = np.zeros(SLOTS, np.uint64)
-        self.check = np.zeros(SLOTS, np.uint64)
-        self.number = np.full(SLOTS, -1, np.int32)
-        self.known = 0
+        self.table = KeyTable(SLOTS)
         self.begin, self.size, self.uses = (np.zeros(ENTRIES, np.int64) for _ in range(3))
-        self.names = np.zeros((2, ENTRIES), np.uint64)
         self.pool = np.zeros(POOL, np.uint32)
         self.used = 0
 
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Numbers of the chunks; -1 for those not known."""
-        slot = (key & U(SLOTS - 1)).astype(np.int64)
-        out = self.number[slot]
-        wrong = np.flatnonzero((out >= 0) & ((self.key[slot] != key) | (self.check[slot] != check)))
-        while wrong.size:
-            slot[wrong] = (slot[wrong] + 1) & (SLOTS - 1)
-            s = slot[wrong]
-            out[wrong] = self.number[s]
-            wrong = wrong[(out[wrong] >= 0) & ((self.key[s] != key[wrong]) | (self.check[s] != check[wrong]))]
-        return out
-
     def add(self, key: np.ndarray, check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         """Store new, distinct chunks."""
-        n, at = key.size, self.known
+        n, at = key.size, self.table.known
         if at + n > self.begin.size:
             self.begin, self.size, self.uses = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.begin, self.size, self.uses))
-            self.names = np.concatenate([self.names, np.zeros((2, n), np.uint64)], axis=1)
         if self.used + ids.size > self.pool.size:
             self.pool = np.concatenate([self.pool, np.zeros(ids.size, np.uint32)])
         self.pool[self.used : self.used + ids.size] = ids
         self.begin[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.size[at : at + n], self.uses[at : at + n] = sizes, 0
-        self.names[0, at : at + n], self.names[1, at : at + n] = key, check
-        slot, left = (key & U(SLOTS - 1)).astype(np.int64), np.arange(n)
-        while left.size:
-            free = left[self.number[slot[left]] < 0]
-            self.number[slot[free]] = (at + free).astype(np.int32)  # of several for a slot the last stays
-            mine = free[self.number[slot[free]] == at + free]
-            self.key[slot[mine]], self.check[slot[mine]] = key[mine], check[mine]
-            left = left[self.number[slot[left]] != at + left]
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
-        self.known, self.used = at + n, self.used + ids.size
+        self.table.insert(key, check)
+        self.used += ids.size
 
     def thin(self) -> None:
         """Keep chunks used three times or more, a quarter of the bounds at most."""
-        often = np.flatnonzero(self.uses[: self.known] > 2)
+        often = np.flatnonzero(self.uses[: self.table.known] > 2)
         often = often[np.argsort(-self.uses[often], kind="stable")][: ENTRIES // 4]
         often = often[np.cumsum(self.size[often]) <= POOL // 4]
-        key, check, size = self.names[0, often], self.names[1, often], self.size[often]
+        key, check, size = self.table.names[0, often], self.table.names[1, often], self.size[often]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.begin[often] - ends + size, size) + np.arange(ends[-1] if ends.size else 0)]
         self.reset()
@@ -129,14 +104,10 @@ class ChunkCoder:
         if self.fold:
             data = LOWER[data]
             start = start + (SPACE[data[start]] if start.size else 0)
-        key = hashes(data, start, end)
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        eight = np.ndarray((data.size + 1,), dtype="<u8", buffer=padded, strides=(1,))
-        short = np.clip(8 - (end - start), 0, 8).astype(np.uint64) * U(8)
-        check = np.where(short < 64, (eight[start] << np.minimum(short, U(63))) ^ (end - start).astype(np.uint64) * U(0x9E3779B97F4A7C15), U(0))
-        if self.known > ENTRIES * 3 // 4 or self.used > POOL * 3 // 4:
+        key, check = word_keys(data, start, end)
+        if self.table.known > ENTRIES * 3 // 4 or self.used > POOL * 3 // 4:
             self.thin()
-        at = self.find(key, check)
+        at = self.table.find(key, check)
         new = np.flatnonzero(at < 0)
         if new.size:
             _, first = np.unique(key[new], return_index=True)
@@ -145,8 +116,8 @@ class ChunkCoder:
             coded = self.encode_many([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist())])
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))
             self.add(key[first], check[first], sizes, np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())))
-            at[new] = self.find(key[new], check[new])
-        self.uses[: self.known] += np.bincount(at, minlength=self.known)
+            at[new] = self.table.find(key[new], check[new])
+        self.uses[: self.table.known] += np.bincount(at, minlength=self.table.known)
         size = self.size[at]
         ends = np.cumsum(size)
         out = self.pool[np.repeat(self.begin[at] - ends + size, size) + np.arange(ends[-1] if ends.size else 0)]
