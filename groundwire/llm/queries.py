@@ -19,6 +19,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import read_documents, write_shards
 
@@ -31,6 +37,12 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import line_rules
+
+    return line_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -55,5 +67,5 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op4_wavelet_tokens, op5_near_dup, op7_pack, op8_token_counts, op9_prefix_bpe, op10_lattice_lm)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_hnsw, op4_wavelet_tokens, op5_near_dup, op6_line_rules, op7_pack, op8_token_counts, op9_prefix_bpe, op10_lattice_lm)}
 ORACLE_SQL: dict[str, str] = {}
