@@ -56,7 +56,7 @@ def sketches(values: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
     for i in range(2 * t):
         if not live.size:
             break
-        h = mix(live + U(i + 1) * MULTIPLY[0])
+        h = mix(live + U((i + 1) * int(MULTIPLY[0]) % 2**64))
         place = (h % U(t)).astype(np.int64) if i < t else np.full(h.size, i - t)
         value = (U(i) << U(53)) | (h >> U(11))
         np.minimum.at(flat, text * t + place, value)
