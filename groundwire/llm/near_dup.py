@@ -8,9 +8,11 @@ similarity with Chernoff-like concentration.
 
 1. Equal sets become one class, named by its smallest doc_id.
 2. Classes whose sketches agree on one of `bands` bands of `rows` coordinates share a bucket.  Every
-   class is paired with its bucket's smallest class; pairs are confirmed on the full sets.
-3. Buckets whose members are still in several components are searched completely: pairs across
-   components that pass the size bound and the distance bound of a bit signature are confirmed too.
+   class is paired with the smallest class of all its buckets, then, in buckets that hold several
+   components, with that bucket's smallest; pairs are confirmed on the full sets.
+3. Members of buckets that still hold several components are searched completely.  By the prefix bound two sets
+   of this similarity share one of the rarest n - ceil(0.75 n) + 1 shingles of each; pairs across components
+   that do, and pass the bounds of their sizes, places and bit signatures, are confirmed too.
    Members of one component need no further pair, so large groups of copies stay linear.
 4. Components follow by large-star / small-star rounds on the confirmed links.
 
@@ -24,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, saved, slices
@@ -204,6 +206,35 @@ def _twin(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key), F.col("n").alias("n2"), *(F.col(f"s{j}").alias(f"{j}s") for j in range(4)))
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        for who, raw in zip(batch.column("rep").to_pylist(), batch.column("shingles")):
+            got = np.frombuffer(raw.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(got.size, who)), pa.array(got)], names=["rep", "key"])
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int, t: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, c, n, s0-s3) of different components c that may be similar enough.
+
+    Shingles that one member alone has come first in the order by rarity and lead to no pair.  For each
+    shingle only members outside its most common component look for partners, so that the work is linear in the
+    size of that component.
+    """
+    ids = sets.select(F.col("doc_id").alias("rep"), "shingles").join(members.select("rep"), "rep", "left_semi")
+    rows = saved(arrow_map(ids, _shingle_rows, "rep long, key long").distinct(), "shingles")
+    common = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.join(common, "key").withColumns({"place": F.row_number().over(Window.partitionBy("rep").orderBy("df", "key")), "others": F.count("*").over(Window.partitionBy("rep"))})
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    held = saved(ranked.join(members, "rep").withColumn("place", F.col("place") + F.col("n") - F.col("others")).where(F.col("place") <= prefix).drop("others", "df"), "prefixes")
+    of_key = held.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
+    left = held.join(of_key, "key").where("c <> main").withColumnRenamed("rep", "a")
+    right = held.select("key", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("place").alias("place2"), *(F.col(f"s{j}").alias(f"{j}s") for j in range(4)))
+    # at the first shared shingle enough others must follow in both for the overlap that the sizes ask for
+    room = (1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("c") != F.col("c2")) & room & _possible(percent, t))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -226,28 +257,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, band
 
     marks = reps.drop("bands").join(shared.select("rep").distinct(), "rep", "left_semi")
     marks = saved(marks, "marks")
-    star = shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    star = star.join(marks.withColumnRenamed("rep", "a"), "a").join(_twin(marks.withColumnRenamed("rep", "b"), "b"), "b").where(_possible(percent, t)).select("a", "b")
-    star = saved(star, "stars")
+    # one scan for the sets of all candidates; by a merge join at every size, so that what is moved follows the input
+    sets = saved(arrow_map(text.join(marks.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), _set_rows(words), "doc_id long, shingles binary"), "sets")
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return saved(arrow_map(text.join(ids, "doc_id", "left_semi"), _set_rows(words), "doc_id long, shingles binary"), "sets")
+    def checked(pairs: DataFrame) -> DataFrame:
+        return saved(confirmed(pairs, sets, percent), "links")
 
-    links = saved(confirmed(star, sets_for(star), percent), "links")
+    # first every class with the smallest leader of its buckets: one pair a class, whatever the group's size
+    star = shared.groupBy(F.col("rep").alias("a")).agg(F.min("leader").alias("b")).where("a <> b")
+    star = star.join(marks.withColumnRenamed("rep", "a"), "a").join(_twin(marks.withColumnRenamed("rep", "b"), "b"), "b").where(_possible(percent, t)).select("a", "b")
+    links = checked(saved(star, "stars"))
     found = saved(components(links), "components")
 
-    placed = shared.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = saved(placed.join(mixed, "key").join(marks, "rep"), "mixed")
-    left = rest.withColumnRenamed("rep", "a")
-    right = rest.select("key", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), *(F.col(f"s{j}").alias(f"{j}s") for j in range(4)))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("c") > F.col("c2")) & _possible(percent, t)).select("a", "b").distinct()
-    across = saved(across.join(star, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = saved(confirmed(across, sets_for(across), percent), "more")
+    # then, in buckets that still hold several components, with the bucket's leader, and at last all across
+    for whole in (False, True):
+        placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("c"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.col("rep") == F.col("leader")).alias("c2")).where("lo < hi").select("key", "c2")
+        rest = saved(placed.join(mixed, "key").join(marks, "rep"), "mixed")
+        if rest.isEmpty():
+            break
+        if whole:
+            pairs = _across(rest.drop("key", "leader", "c2").distinct(), sets, percent, t)
+        else:
+            pairs = rest.where("c <> c2").select(F.col("rep").alias("a"), F.col("leader").alias("b"), "n", "s0", "s1", "s2", "s3").distinct()
+            pairs = pairs.join(_twin(marks.withColumnRenamed("rep", "b"), "b"), "b").where(_possible(percent, t))
+        pairs = saved(pairs.select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = checked(pairs)
         if not more.isEmpty():
-            found = saved(components(links.unionByName(more)), "components")
+            links = links.unionByName(more)
+            found = saved(components(links), "components")
 
     by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     alone = sketched.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
