@@ -26,10 +26,10 @@ from .textkernel import KeyTable, Words, word_keys
 
 HEAD = 1 << 17
 #: Words kept by a task while it counts or scores; beyond, counts are handed on and scores made anew.
-TASK_WORDS = 400_000
+TASK_WORDS = 300_000
 ROUNDS = 3
-#: Words of up to so many bytes share array work; longer ones go one by one.
-LONG = 48
+#: Bytes of words that share one round of array work.
+BLOCK_BYTES = 100_000
 #: Weight of a piece's rank where scores are ranks (as in merge vocabularies): p ~ 1 / (rank + RANK_SHIFT).
 RANK_SHIFT = 50.0
 SPACE_MARK = "▁"
@@ -60,86 +60,81 @@ def vocabulary(file: str) -> tuple[list[bytes], np.ndarray]:
 
 
 class Lattice:
-    """Marginal log probabilities of words over all segmentations, and expected counts of pieces."""
+    """Marginal log probabilities of words over all segmentations, and expected counts of pieces.
+
+    A byte trie of the pieces is walked from every place of many words at once; the arcs found are sorted by
+    the place where they end, and each place takes one step of the recursion for all words.
+    """
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray):
         self.log_p = np.asarray(log_p, np.float64)
-        self.number = {x: i for i, x in enumerate(pieces)}
-        self.longest = max(map(len, pieces))
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum([len(x) for x in pieces])
-        starts = ends - np.array([len(x) for x in pieces])
-        self.lengths = sorted({len(x) for x in pieces})
-        self.table = KeyTable(1 << 18)
-        self.table.insert(*word_keys(data, starts, ends))
-
-    def _one(self, word: bytes) -> float:
-        alpha = [0.0] + [-math.inf] * len(word)
-        for j in range(1, len(word) + 1):
-            terms = [alpha[i] + self.log_p[k] for i in range(max(0, j - self.longest), j) if (k := self.number.get(word[i:j])) is not None]
-            top = max(terms)
-            alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
-        return alpha[-1]
-
-    def _arcs(self, block: np.ndarray):
-        """For (n, L) bytes: end place -> (start, piece numbers of each word, -1 where none)."""
-        n, length = block.shape
-        flat = np.ascontiguousarray(block).reshape(-1)
-        base = np.arange(n) * length
-        arcs: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(length + 1)]
-        for size in self.lengths:
-            for i in range(length - size + 1):
-                piece = self.table.find(*word_keys(flat, base + i, base + i + size))
-                if size == 1 or (piece >= 0).any():
-                    arcs[i + size].append((i, piece))
-        return arcs
-
-    def _sum(self, terms: list[np.ndarray]) -> np.ndarray:
-        if len(terms) == 1:
-            return terms[0]
-        x = np.stack(terms)
-        top = x.max(0)
-        return top + np.log(np.exp(x - top).sum(0))
-
-    def forward(self, block: np.ndarray, arcs) -> list[np.ndarray]:
-        log_p = np.append(self.log_p, -np.inf)
-        alpha = [np.zeros(len(block))]
-        for j in range(1, block.shape[1] + 1):
-            alpha.append(self._sum([alpha[i] + log_p[piece] for i, piece in arcs[j]]))
-        return alpha
+        nodes: dict[bytes, int] = {b"": 0}
+        for x in pieces:
+            for k in range(1, len(x) + 1):
+                nodes.setdefault(x[:k], len(nodes))
+        self.child = np.zeros((len(nodes), 256), np.uint16 if len(nodes) < 1 << 16 else np.uint32)  # 0: none
+        for x, i in nodes.items():
+            if x:
+                self.child[nodes[x[:-1]], x[-1]] = i
+        self.piece = np.full(len(nodes), -1, np.int32)
+        self.piece[[nodes[x] for x in pieces]] = np.arange(len(pieces))
 
     def scores(self, words: list[bytes], weight: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of each word (with its leading space); fills `counts` if given."""
-        out = np.zeros(len(words))
-        size = np.array([len(x) for x in words], np.int64)
-        for length in np.unique(size).tolist():
-            at = np.flatnonzero(size == length)
-            if length > LONG:
-                for i in at.tolist():
-                    out[i] = self._one(words[i])
-                continue
-            for part in np.array_split(at, -(-at.size // 20_000)):
-                block = np.frombuffer(b"".join([words[i] for i in part.tolist()]), np.uint8).reshape(-1, length)
-                arcs = self._arcs(block)
-                alpha = self.forward(block, arcs)
-                out[part] = alpha[-1]
-                if counts is not None:
-                    self._expect(arcs, alpha, weight[part], counts)
+        out, a, held = np.zeros(len(words)), 0, 0
+        for i, x in enumerate(words):
+            held += len(x)
+            if held >= BLOCK_BYTES or i == len(words) - 1:
+                out[a : i + 1] = self._block(words[a : i + 1], None if counts is None else weight[a : i + 1], counts)
+                a, held = i + 1, 0
         return out
 
-    def _expect(self, arcs, alpha, weight, counts) -> None:
-        log_p = np.append(self.log_p, -np.inf)
-        length = len(alpha) - 1
-        leaving: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(length + 1)]
-        for j, held in enumerate(arcs):
-            for i, piece in held:
-                leaving[i].append((j, piece))
-        beta = [None] * length + [np.zeros(weight.size)]
-        for i in range(length - 1, -1, -1):
-            terms = [beta[j] + log_p[piece] for j, piece in leaving[i]]
-            beta[i] = self._sum(terms)
-            for (_, piece), term in zip(leaving[i], terms):
-                counts += np.bincount(piece + 1, np.exp(alpha[i] + term - alpha[-1]) * weight, minlength=counts.size + 1)[1:]
+    def _block(self, words: list[bytes], weight, counts) -> np.ndarray:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        word = np.repeat(np.arange(size.size), size)
+        ends = np.cumsum(size)
+        at, node, depth = np.arange(data.size), self.child[0, data], 1
+        found: list[tuple] = []
+        while at.size:
+            alive = np.flatnonzero(node)
+            at, node = at[alive], node[alive]
+            piece = self.piece[node]
+            hit = np.flatnonzero(piece >= 0)
+            found.append((at[hit], at[hit] + depth, piece[hit]))
+            more = np.flatnonzero(at + depth < ends[word[at]])
+            at = at[more]
+            node = self.child[node[more], data[at + depth]]
+            depth += 1
+        start, end, piece = (np.concatenate(x) for x in zip(*found))
+        of = word[start]
+        first = (ends - size)[of]
+        # every word has one place more than bytes
+        source, target, cost = start + of, end + of, self.log_p[piece]
+        alpha = self._sweep(source, target, end - first, cost, ends - size + np.arange(size.size), data.size + size.size)
+        last = ends + np.arange(size.size)
+        total = alpha[last]
+        if counts is not None:
+            beta = self._sweep(target, source, ends[of] - start, cost, last, data.size + size.size)
+            counts += np.bincount(piece, np.exp(alpha[source] + cost + beta[target] - total[of]) * weight[of], minlength=counts.size)
+        return total
+
+    @staticmethod
+    def _sweep(source, target, step, cost, origin, places) -> np.ndarray:
+        """Log sums of all paths from each word's origin; arcs are taken by their step."""
+        order = np.argsort(step * (places + 1) + target)
+        source, target, step, cost = source[order], target[order], step[order], cost[order]
+        value = np.full(places, -np.inf)
+        value[origin] = 0.0
+        fresh = np.concatenate([[True], target[1:] != target[:-1]])
+        bounds = np.searchsorted(step, np.arange(1, step[-1] + 2))
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            term = value[source[a:b]] + cost[a:b]
+            head = np.flatnonzero(fresh[a:b])
+            top = np.maximum.reduceat(term, head)
+            term = np.exp(term - np.repeat(top, np.diff(np.append(head, b - a))))
+            value[target[a:b][head]] = top + np.log(np.add.reduceat(term, head))
+        return value
 
 
 class Counter:
