@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled by one round of array work; bounds a worker's memory beside its longest text.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 16 << 20
 #: Rows of such a round at most.
 SLICE_ROWS = 4000
 
@@ -72,6 +74,19 @@ def ship(spark: SparkSession) -> None:
             out.write(file, str(file.relative_to(root.parent)))
     sc.addPyFile(f"{folder}/groundwire_package.zip")
     sc._groundwire_shipped = True
+    # batches of 64 MB (the default) times the copies in both processes would be most of a small executor
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+_HELD: dict = {}
+
+
+def hold(key, make):
+    """A worker's large object under `key`, made on first use; what it held under another key goes."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:

@@ -25,17 +25,20 @@ SAMPLE_DOCS, KEPT_GRAMS, ALL_GRAMS = 3000, 120_000, 600_000
 #: Languages modelled: those with the most documents.
 LANGUAGES = 64
 UNDETERMINED = "und"
+#: Bytes whose costs are looked up in one round.
+WINDOW = 1 << 19
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
     """The k bytes up to each place as a number below 2^(8k); bytes before a text count as 0."""
     out = data.astype(np.uint32)
-    place = np.arange(data.size, dtype=np.int64) - np.repeat(offsets[:-1], np.diff(offsets)) if k > 1 else None
+    starts = offsets[:-1][np.diff(offsets) > 0]
     for j in range(1, k):
         before = np.zeros_like(out)
-        before[j:] = data[:-j] if j else data
-        near = place < j
-        before[np.flatnonzero(near)] = 0
+        before[j:] = data[:-j]
+        for i in range(j):  # the first j bytes of a text have nothing of it before them
+            near = starts + i
+            before[near[near < np.append(starts[1:], data.size)]] = 0
         out |= before << np.uint32(8 * j)
     return out
 
@@ -111,10 +114,15 @@ class PPM:
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Exact code length of each text in each language."""
         out = np.zeros((offsets.size - 1, len(self.languages)))
-        full = np.flatnonzero(np.diff(offsets))
-        if full.size:
-            cost = self.lookup(grams(LOWER[data], offsets, self.order + 1).astype(np.int64), self.order)
-            out[full] = np.add.reduceat(cost.astype(np.float64), offsets[:-1][full], axis=0)
+        gram = grams(LOWER[data], offsets, self.order + 1)
+        for a in range(0, data.size, WINDOW):
+            b = min(a + WINDOW, data.size)
+            cost = self.lookup(gram[a:b].astype(np.int64), self.order)
+            first = np.searchsorted(offsets, a, "right") - 1
+            last = np.searchsorted(offsets, b - 1, "right") - 1
+            text = np.repeat(np.arange(last - first + 1), np.diff(np.clip(offsets[first : last + 2], a, b)))
+            for j in range(cost.shape[1]):
+                out[first : last + 1, j] += np.bincount(text, cost[:, j], minlength=last - first + 1)
         return out
 
 

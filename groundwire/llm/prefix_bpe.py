@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,11 +19,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, tokenizer_file
+from .common import arrow_map, hold, slices, tokenizer_file
 from .tokens import ChunkCoder
 
 #: Pair verdicts kept at most.
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -126,7 +125,6 @@ class Buffer:
         return self.coder.tokens(self.last)
 
 
-@lru_cache(maxsize=2)
 def _coder(file: str, pattern: str):
     coder = PrefixEncoder(read_ranks(file))
     find = regex.compile(pattern).findall
@@ -151,7 +149,7 @@ def _coder(file: str, pattern: str):
 
 def _rows(file: str, pattern: str, with_ids: bool):
     def run(batches):
-        coder, lengths, begin, pool = _coder(file, pattern)
+        coder, lengths, begin, pool = hold(("prefix", file, pattern), lambda: _coder(file, pattern))
         for batch in batches:
             text = batch.column("text")
             for lo, hi in slices(text):

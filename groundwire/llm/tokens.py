@@ -10,15 +10,15 @@ table drops all but the frequent ones.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
+from .common import hold
 from .textkernel import LOWER, SPACE, KeyTable, buffers, word_keys
 
-ENTRIES, POOL, SLOTS = 1_200_000, 10_000_000, 1 << 22
+ENTRIES, POOL, SLOTS = 900_000, 7_000_000, 1 << 21
 #: New chunks handed to the library in one string.
 JOINED = 256
 
@@ -124,8 +124,12 @@ class ChunkCoder:
         return out, np.concatenate([[0], ends])[per_text]
 
 
-@lru_cache(maxsize=2)
 def library_coder(file: str, fold: bool) -> ChunkCoder:
+    """This worker's coder over the tokenizers library."""
+    return hold(("library", file, fold), lambda: new_coder(file, fold))
+
+
+def new_coder(file: str, fold: bool) -> ChunkCoder:
     """A coder over the tokenizers library; strings of special tokens count as plain text.
 
     New chunks go to the library joined by a special token, which it cuts out before anything else;
@@ -136,8 +140,7 @@ def library_coder(file: str, fold: bool) -> ChunkCoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, plain = Tokenizer.from_file(file), Tokenizer.from_file(file)
-    plain.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(file)
     special = {v.content: k for k, v in tokenizer.get_added_tokens_decoder().items()}
     joint, mark = next(iter(special.items()))
 
@@ -151,7 +154,9 @@ def library_coder(file: str, fold: bool) -> ChunkCoder:
             out += [flat[a:b] for a, b in zip([0, *(x + 1 for x in ends)], ends)]
         if alone:
             given = iter(out)
-            out = [plain.encode(x, add_special_tokens=False).ids if i in alone else next(given) for i, x in enumerate(chunks)]
+            tokenizer.encode_special_tokens = True
+            out = [tokenizer.encode(x, add_special_tokens=False).ids if i in alone else next(given) for i, x in enumerate(chunks)]
+            tokenizer.encode_special_tokens = False
         return out
 
     return ChunkCoder(encode_many, fold)
