@@ -82,17 +82,45 @@ _HELD: dict = {}
 
 
 def hold(key, make):
-    """A worker's large object under `key`, made on first use; what it held under another key goes."""
+    """A worker's large object under `key`, made on first use and kept over the tasks of one operator."""
     if key not in _HELD:
-        _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def trim() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def _tidied(function):
+    """The function with a worker's memory put in order: workers outlive tasks and serve all operators."""
+    name = f"{function.__module__}.{function.__qualname__}"
+
+    def run(batches):
+        from groundwire.llm import common
+
+        if common._HELD.get("operator") != name:
+            common._HELD.clear()
+            common._HELD["operator"] = name
+        yield from function(batches)
+        common.trim()
+
+    return run
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidied(function), schema)
 
 
 def id_remainder(n: int, column: str = "doc_id") -> Column:
