@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, fresh_path, saved, tokenizer_file
 from .tokens import library_coder
-from .wavelet import id_stream, ordered, put_file
+from .wavelet import id_stream, put_file
 
 SEPARATOR = 50256
 FILE_TOKENS = 4 << 20
@@ -44,13 +44,15 @@ def _write(folder: str, file: str, separator: int, limit: int, kind: str):
 
 
 def write_flat(docs: DataFrame, file: str | None = None, separator: int = SEPARATOR, limit: int = FILE_TOKENS) -> tuple[str, DataFrame]:
-    """Encode all documents in doc_id order into flat files; the folder and (shard, ordinal, doc_id).
+    """Encode all documents into flat files; the folder and (shard, ordinal, doc_id).
 
-    A file is cut after `limit` ids, wherever that falls in a document.
+    Each partition of `docs` writes its rows as they come, without a shuffle; a file is cut after
+    `limit` ids, wherever that falls in a document.
     """
     file, folder = file or tokenizer_file("byte_bpe_50k.json"), fresh_path(docs.sparkSession, "flat")
     kind = "<u2" if separator < 1 << 16 else "<u4"
-    return folder, saved(arrow_map(ordered(docs), _write(folder, file, separator, limit, kind), "shard long, ordinal long, doc_id long"), "written")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return folder, saved(arrow_map(text, _write(folder, file, separator, limit, kind), "shard long, ordinal long, doc_id long"), "written")
 
 
 def _scan(separator: int, kind: str):
@@ -109,7 +111,8 @@ def flat_files(spark, folder: str) -> DataFrame:
 def document_tokens(docs: DataFrame, file: str | None = None, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, doc_index, start, n_tokens, closed of all documents, found by scanning their flat files.
 
-    Null texts are empty documents (their separator alone); null ids come first and stay null.
+    doc_index and start follow the stream of files, whose order is that of the input's partitions.  Null
+    texts are empty documents (their separator alone); null ids stay null; repeated rows count each.
     """
     folder, written = write_flat(docs, file, separator)
     spark = docs.sparkSession
