@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders, text
 from ..operators import relations
+from ..sources import files, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -396,3 +397,44 @@ def ev_mutation_tally(spark, sf_dir):
     mutated = p.where("p_partkey % 5 = 0").select(F.expr("concat(substring(p_name, 1, 2), substring(p_name, 2))").alias("name"))
     graded = relations.check_references(mutated, p.select(F.col("p_name").alias("name"), F.lit("part").alias("src")), "name", "src")
     return graded.agg(n("*").alias("total"), F.count_if(F.col("declared_in").isNull()).cast("long").alias("detected"))
+
+
+# The queries below run on the inline tree; their SQL lists what must come out and guards against change only.
+
+
+@query("select * from (values ('.env.example', 'DATABASE_URL', 'dotenv'), ('.env.example', 'API_KEY', 'dotenv'), ('.env.example', 'REDIS_URL', 'dotenv'), ('.env.example', 'SMTP_HOST', 'dotenv'), ('Dockerfile', 'PORT', 'dockerfile'), ('Dockerfile', 'MODE', 'dockerfile'), ('docker-compose.yml', 'QUEUE_URL', 'compose'), ('docker-compose.yml', 'CACHE_URL', 'compose'), ('app/config.py', 'LOG_LEVEL', 'code_default')) v(file, name, source)")
+def fx_env_decls(spark, sf_dir):
+    return files.declared_env(sample.tree(spark))
+
+
+@query("select * from (values ('requirements.txt', 'python', 'fastapi', 'lockfile'), ('requirements.txt', 'python', 'uvicorn', 'lockfile'), ('requirements.txt', 'python', 'requests', 'lockfile'), ('requirements.txt', 'python', 'PyYAML', 'lockfile'), ('requirements.txt', 'python', 'sqlalchemy', 'lockfile')) v(file, lang, dist, kind)")
+def fx_manifests(spark, sf_dir):
+    return files.declared_dists(sample.tree(spark))
+
+
+@query("select * from (values ('GET', '/api/users/{user_id}', 'get_user', 'app/users.py'), ('POST', '/api/users', 'create_user', 'app/users.py'), ('GET', '/health', 'health', 'app/main.py')) v(method, \"full\", handler, file)")
+def fx_route_table(spark, sf_dir):
+    return files.route_table(sample.tree(spark))
+
+
+@query("select file, cast(lineno as bigint) as lineno, text from (values ('a.py', 2, 'two'), ('a.py', 3, 'four')) v(file, lineno, text)")
+def fx_diff_regions(spark, sf_dir):
+    return files.diff_regions(spark.createDataFrame([(sample.DIFF,)], "diff string"))
+
+
+@query("select * from (values ('env', 'DATABSE_URL', 'reject', 'DATABASE_URL'), ('import', 'requestz', 'reject', 'requests')) v(kind, subject, level, suggestion)")
+def fx_gate_broken(spark, sf_dir):
+    """Rejects of the tree with its broken file, each with its first suggestion."""
+    tree = sample.tree(spark, broken=True)
+    facts, env, dists = files.python_facts(tree), files.declared_env(tree), files.declared_dists(tree)
+    reads = facts.where("tag = 'env'").select("name", (F.col("extra") == "dynamic").alias("dynamic"), (F.col("extra") == "default").alias("has_default")).distinct()
+    graded = relations.check_references(reads, env, "name", "file")
+    level = ladders.env_level(F.lit(True), F.col("dynamic"), F.col("declared_in").isNotNull(), files.is_ambient(F.col("name")), F.col("has_default"), F.lit(True))
+    bad_env = graded.select(F.lit("env").alias("kind"), F.col("name").alias("subject"), level.alias("level")).where("level = 'reject'")
+    local = tree.where("path like '%.py'").select(F.split("path", "/").getItem(0).alias("key"), F.lit("local").alias("src"))
+    known = dists.select(text.module_norm(F.col("dist")).alias("key"), F.col("file").alias("src")).unionByName(local).unionByName(spark.createDataFrame([("os", "stdlib"), ("yaml", "alias")], "key string, src string"))
+    imports = facts.where("tag = 'import'").select(F.col("name").alias("subject"), text.module_norm(text.top_level(F.col("name"))).alias("key")).distinct()
+    bad_import = relations.check_references(imports, known, "key", "src").where("declared_in is null").select(F.lit("import").alias("kind"), "subject", F.lit("reject").alias("level"))
+    hints = relations.did_you_mean(bad_env, env, "subject", "name").withColumn("kind", F.lit("env")).unionByName(relations.did_you_mean(bad_import, dists, "subject", "dist").withColumn("kind", F.lit("import")))
+    first = hints.where("rank = 1").select("kind", F.col("name").alias("subject"), F.col("candidate").alias("suggestion"))
+    return bad_env.unionByName(bad_import).join(first, ["kind", "subject"], "left")
