@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders, text
-from ..operators import relations
+from ..operators import extract, relations
 from ..sources import files, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,3 +438,36 @@ def fx_gate_broken(spark, sf_dir):
     hints = relations.did_you_mean(bad_env, env, "subject", "name").withColumn("kind", F.lit("env")).unionByName(relations.did_you_mean(bad_import, dists, "subject", "dist").withColumn("kind", F.lit("import")))
     first = hints.where("rank = 1").select("kind", F.col("name").alias("subject"), F.col("candidate").alias("suggestion"))
     return bad_env.unionByName(bad_import).join(first, ["kind", "subject"], "left")
+
+
+LINES = [
+    ("a.py", 1, 'x = os.environ["A_ONE"] or os.getenv("A_TWO", "z")'),
+    ("a.py", 2, "y = os.getenv(name)"),
+    ("a.py", 3, '# os.getenv("NOT_READ")'),
+    ("b.ts", 1, "const k = process.env.B_ONE ?? 'd'; import x from '@s/p/q'"),
+    ("b.ts", 2, "import y from './local'; const z = require('left-pad/lib')"),
+    ("b.ts", 3, "import fs from 'node:fs'"),
+    ("c.go", 1, 'v := os.Getenv("C_ONE")'),
+    ("d.rb", 1, "ENV.fetch('D_ONE', 'x')"),
+]
+
+
+@query("select file, cast(lineno as bigint) as lineno, name, has_default, dynamic from (values ('a.py', 1, 'A_ONE', false, false), ('a.py', 1, 'A_TWO', true, false), ('a.py', 2, '<dynamic>', false, true), ('b.ts', 1, 'B_ONE', true, false), ('c.go', 1, 'C_ONE', false, false), ('d.rb', 1, 'D_ONE', true, false)) v(file, lineno, name, has_default, dynamic)")
+def fx_env_reads(spark, sf_dir):
+    return extract.env_reads(spark.createDataFrame(LINES, "file string, lineno long, text string"))
+
+
+@query("select file, cast(lineno as bigint) as lineno, subject, package from (values ('b.ts', 1, '@s/p/q', '@s/p'), ('b.ts', 2, 'left-pad/lib', 'left-pad'), ('b.ts', 3, 'node:fs', 'node:fs')) v(file, lineno, subject, package)")
+def fx_script_imports(spark, sf_dir):
+    return extract.script_imports(spark.createDataFrame(LINES, "file string, lineno long, text string"))
+
+
+@query("select cast(i as bigint) as i, kind, subject from (values (1, 'env', 'API_KEY'), (1, 'route', 'GET /users/{id}'), (1, 'file', 'app/main.py'), (2, 'import', 'requests'), (2, 'import', 'yaml')) v(i, kind, subject)")
+def fx_prose_claims(spark, sf_dir):
+    notes = [(1, "Set API_KEY before GET /users/{id} in app/main.py."), (2, "We import requests and use `yaml` here")]
+    return extract.prose_claims(spark.createDataFrame(notes, "i long, x string"), "i", "x")
+
+
+@query(f"with c as ({PROSE_SQL}) select doc_id, 'import' as kind, name as subject from c union select doc_id, 'import', regexp_replace(x, '`', '', 'g') from documents d, unnest(regexp_extract_all(d.text, '`[a-z][a-z0-9_]{{2,}}`')) u(x)")
+def ext_prose_claims(spark, sf_dir):
+    return extract.prose_claims(t(spark, sf_dir, "documents"), "doc_id", "text").where("kind = 'import'")
