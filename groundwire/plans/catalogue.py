@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders, text
-from ..operators import extract, relations
+from ..operators import extract, imports, relations
 from ..sources import files, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,3 +471,10 @@ def fx_prose_claims(spark, sf_dir):
 @query(f"with c as ({PROSE_SQL}) select doc_id, 'import' as kind, name as subject from c union select doc_id, 'import', regexp_replace(x, '`', '', 'g') from documents d, unnest(regexp_extract_all(d.text, '`[a-z][a-z0-9_]{{2,}}`')) u(x)")
 def ext_prose_claims(spark, sf_dir):
     return extract.prose_claims(t(spark, sf_dir, "documents"), "doc_id", "text").where("kind = 'import'")
+
+
+@query("select * from (values ('os.path', 'accept', 'standard library'), ('app.x', 'accept', 'own package'), ('requests', 'accept', 'provided'), ('yaml', 'accept', 'provided under another name'), ('lockd', 'accept', 'installed and listed'), ('loose', 'review', 'installed only'), ('uvicorn_extra', 'reject', 'absent'), ('dotenv', 'review', 'related'), ('maybe', 'review', 'optional'), ('inner', 'review', 'nested'), ('<dynamic>', 'review', 'dynamic'), ('requestz', 'reject', 'absent')) v(subject, level, reason)")
+def fx_import_findings(spark, sf_dir):
+    claims = [(x, x == "maybe") for x in ("os.path", "app.x", "requests", "yaml", "lockd", "loose", "uvicorn_extra", "dotenv", "maybe", "inner", "<dynamic>", "requestz")]
+    dists = [("requests", "lockfile"), ("PyYAML", "lockfile"), ("uvicorn", "manifest"), ("python-dotenv", "manifest"), ("locked-dist", "lockfile")]
+    return imports.check_python_imports(spark.createDataFrame(claims, "subject string, optional boolean"), spark.createDataFrame(dists, "dist string, kind string"), spark.createDataFrame([("app",)], "name string"), spark.createDataFrame([("lockd", "locked_dist"), ("loose", "other")], "name string, dist string"), spark.createDataFrame([("inner",)], "name string"))
