@@ -77,3 +77,18 @@ def tail(text: Column, size: int = 300) -> Column:
 def escaped(text: Column) -> Column:
     """For workflow commands: percent and line ends."""
     return F.replace(F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+# Strings in three quotes, line comments, block comments, and what lies between; an open string or block ends the text.
+_STRINGS = "|".join(rf"{q}[^{q}\\]*+(?:\\[\s\S]?[^{q}\\]*+)*+{q}?" for q in ("'", '"', "`"))
+_SPANS = {
+    "clike": rf"({_STRINGS}|//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/)?|[^'\"`/]++|/)",
+    "hash": rf"({_STRINGS}|#[^\n]*+|[^'\"`#]++)",
+}
+
+
+def mask_comments(text: Column, style: str = "clike") -> Column:
+    """Text with comments blanked: lines, columns and strings stay; null stays null."""
+    spans = F.regexp_extract_all(text, F.lit(_SPANS[style]), F.lit(1))
+    opening = "^(//|/\\*)" if style == "clike" else "^#"
+    return F.when(text.isNotNull(), F.array_join(F.transform(spans, lambda x: F.when(x.rlike(opening), F.regexp_replace(x, r"[^\n]", " ")).otherwise(x)), ""))

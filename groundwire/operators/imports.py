@@ -1,10 +1,10 @@
-"""Ladder of Python import claims: joins against what a tree and its manifests provide, then ordered rungs."""
+"""Ladders of import claims: joins against what a tree and its manifests provide, then ordered rungs."""
 
 from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import module_norm, top_level
@@ -16,15 +16,105 @@ ALIASES = (
 )
 
 
+# Modules that Node has itself.
+NODE_BUILTINS = (
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "http",
+    "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys",
+    "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib", "test", "sqlite",
+)
+# Specifiers that a framework resolves, if its package is listed.
+FRAMEWORK_PREFIXES = (
+    ("@docusaurus/core", "@site/"), ("@docusaurus/core", "@theme/"), ("@docusaurus/core", "@generated/"), ("@docusaurus/core", "@docusaurus/"),
+    ("@sveltejs/kit", "$lib/"), ("@sveltejs/kit", "$app/"), ("@sveltejs/kit", "$env/"), ("@sveltejs/kit", "$service-worker"),
+    ("nuxt", "#app"), ("nuxt", "#imports"), ("nuxt", "#components"), ("astro", "astro:"), ("vite", "virtual:"), ("next", "next/"), ("@angular/core", "@angular/"),
+)
+# Endings that a script module may have.
+SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".vue", ".svelte", ".json")
+
+
+def folder(path: Column) -> Column:
+    """The folder of a path, empty at the root."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def parents(path: Column) -> Column:
+    """All folders around a path, the root as an empty name."""
+    dirs = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(dirs) - 1), lambda i: F.array_join(F.slice(dirs, F.lit(1), i), "/"))
+
+
+def lock_reach(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """(file, locked): whether the nearest folder around a file that has a source also has a lockfile.
+
+    claims: file; sources: file, kind (manifest or lockfile).  A lockfile proves absence for its own project only.
+    """
+    held = sources.select(folder(F.col("file")).alias("dir"), (F.col("kind") == "lockfile").alias("lock")).groupBy("dir").agg(F.max("lock").alias("lock"))
+    around = claims.select("file").distinct().select("file", F.explode(parents(F.col("file"))).alias("dir"))
+    return around.join(held, "dir", "left").groupBy("file").agg(F.coalesce(F.max_by("lock", F.when(F.col("lock").isNotNull(), F.length("dir"))), F.lit(False)).alias("locked"))
+
+
+def _graded(rungs, last: tuple[str, str]) -> tuple[Column, Column]:
+    """Level and reason of the first rung that holds."""
+    level, reason = F.when(rungs[0][0], rungs[0][1]), F.when(rungs[0][0], rungs[0][2])
+    for test, grade, why in rungs[1:]:
+        level, reason = level.when(test, grade), reason.when(test, why)
+    return level.otherwise(last[0]).alias("level"), reason.otherwise(last[1]).alias("reason")
+
+
+def check_script_imports(claims: DataFrame, dists: DataFrame, local: DataFrame, aliases: DataFrame, tree: DataFrame, modules: DataFrame) -> DataFrame:
+    """Claims (file, subject, optional) of Node imports with level and reason, first rung that holds.
+
+    dists: file, dist, kind (manifest or lockfile); local: name, of workspace packages; aliases: pattern or base as
+    `sources.aliases.script_aliases` gives them; tree: path, of all files; modules: name, of packages that are only
+    installed.  Every lookup is an equi join: alias patterns and prefixes meet the prefixes of a specifier.
+    """
+    spark = claims.sparkSession
+    c = claims.where("subject is not null").select("file", "subject", F.coalesce("optional", F.lit(False)).alias("optional")).groupBy("file", "subject").agg(F.max("optional").alias("optional"))
+    top = F.when(F.col("subject").startswith("@"), F.coalesce(F.nullif(F.regexp_extract("subject", r"^(@[^/]+/[^/]+)", 1), F.lit("")), F.col("subject"))).otherwise(F.substring_index("subject", "/", 1))
+    c = c.withColumns({"top": top, "head": F.substring_index("subject", "/", 1)})
+    names = dists.select(F.col("dist").alias("top")).distinct()
+    s = c.select("subject", "head").distinct()
+    starts = s.select("subject", F.explode(F.transform(F.sequence(F.lit(0), F.length("subject")), lambda i: F.left(F.col("subject"), i))).alias("key"))
+    p = aliases.where("pattern is not null").select("pattern").distinct()
+    stem = F.regexp_replace("pattern", r"\*$", "")
+    by_start = starts.join(p.where("pattern like '%*'").select(stem.alias("key")).distinct(), "key", "left_semi").select("subject")
+    whole = p.where("pattern not like '%*' or pattern like '%/*'").select(F.regexp_replace("pattern", r"/\*$", "").alias("subject"))
+    framework = spark.createDataFrame(list(FRAMEWORK_PREFIXES), "top string, key string").join(names, "top", "left_semi").select("key").distinct()
+    bases = aliases.where("base is not null").select("base").distinct()
+    files = tree.select("path").distinct()
+    ends = "(" + "|".join(x.replace(".", r"\.") for x in SCRIPT_ENDINGS) + ")$"
+    inside = files.select(F.explode(F.array_union(parents(F.col("path")), F.array(F.when(F.col("path").rlike(ends), F.regexp_replace("path", ends, ""))))).alias("at")).where("at <> ''").distinct()
+    based = inside.select(folder(F.col("at")).alias("base"), F.element_at(F.split("at", "/"), -1).alias("head")).join(bases.select(F.when(F.col("base") == ".", "").otherwise(F.col("base")).alias("base")).distinct(), "base", "left_semi").select("head")
+    dirs = files.where("path like '%/%'").select(F.substring_index("path", "/", 1).alias("head")).unionByName(files.where("path like 'src/%/%'").select(F.split("path", "/").getItem(1).alias("head")))
+    scopes = names.where("top like '@%/%'").select(F.substring_index("top", "/", 1).alias("head"))
+    rows = c
+    for table, key, name in (
+        (spark.createDataFrame([(x,) for x in NODE_BUILTINS], "top string"), "top", "builtin"), (names, "top", "provided"), (local.select(F.col("name").alias("top")), "top", "own"), (by_start.unionByName(whole), "subject", "alias"),
+        (starts.join(framework, "key", "left_semi").select("subject"), "subject", "framework"), (based, "head", "based"), (dirs, "head", "in_tree"), (modules.select(F.col("name").alias("top")), "top", "installed"), (scopes, "head", "scope"),
+    ):
+        rows = rows.join(table.distinct().withColumn(name, F.lit(True)), key, "left")
+    rows = rows.join(lock_reach(c, dists), "file", "left").withColumn("none", F.lit(dists.isEmpty()))
+    yes = lambda x: F.col(x).isNotNull()
+    rungs = (
+        (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("builtin") | F.col("subject").startswith("node:"), "accept", "built in"), (F.col("none"), "unverifiable", "no manifest"), (yes("provided"), "accept", "provided"),
+        (yes("own"), "accept", "workspace package"), (yes("alias"), "accept", "path alias"), (yes("framework"), "accept", "framework alias"), (yes("based"), "accept", "base folder"),
+        (yes("in_tree") & ~F.col("top").startswith("@"), "review", "folder of the tree"), (yes("installed"), "review", "installed only"), (F.col("optional"), "review", "optional"),
+        (yes("scope") & F.col("top").contains("/"), "review", "same scope"), (~F.coalesce("locked", F.lit(False)), "review", "no lockfile"),
+    )
+    return rows.select("file", "subject", *_graded(rungs, ("reject", "absent")))
+
+
 def check_python_imports(claims: DataFrame, dists: DataFrame, local: DataFrame, installed: DataFrame, nested: DataFrame) -> DataFrame:
-    """Claims (subject, optional) with level and reason, first rung that holds.
+    """Claims (subject, optional, and file where known) with level and reason, first rung that holds.
 
-    dists: dist, kind (manifest or lockfile); local, nested: name; installed: name, dist, of an environment that is
+    dists: dist, kind (manifest or lockfile), and file, of which the nearest to a claim's file counts; local, nested: name; installed: name, dist, of an environment that is
     given as a table, since it differs by machine.  Without any manifest absence cannot be told: unverifiable.
     A reject needs a lockfile; what only resembles a distribution, is optional or nested is reviewed.
     """
     spark = claims.sparkSession
-    c = claims.select("subject", "optional", top_level(F.col("subject")).alias("top")).distinct().withColumn("norm", module_norm(F.col("top")))
+    by_file = "file" in claims.columns and "file" in dists.columns
+    kept = ["file", "subject"] if by_file else ["subject"]
+    c = claims.select(*kept, "optional", top_level(F.col("subject")).alias("top")).distinct().withColumn("norm", module_norm(F.col("top")))
     d = dists.select(module_norm(F.col("dist")).alias("norm"), "kind").distinct()
 
     def flag(df, key, name):
@@ -34,7 +124,7 @@ def check_python_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
     here = installed.select(F.col("name").alias("top"), module_norm(F.col("dist")).alias("norm"))
     stdlib = spark.createDataFrame([(x,) for x in sorted(sys.stdlib_module_names)], "top string")
     parts = d.select(F.explode(F.split("norm", "_")).alias("norm")).where(F.length("norm") >= 3)
-    affixed = d.select(F.explode(F.array(*(F.regexp_extract("norm", p, 1) for p in (r"^python_(.+)$", r"^py(.+)$", r"^(.+)_python$", r"^(.+)_py$", r"^(.+)py$", r"^(.+)\d$")))).alias("norm")).where(F.length("norm") >= 3)
+    affixed = d.select(F.explode(F.array(*(F.regexp_extract("norm", p, 1) for p in (r"^python_(.+)$", r"^py(.+)$", r"^(.+)_python$", r"^(.+)_py$", r"^(.+)[23]$")))).alias("norm")).where(F.length("norm") >= 3)
     rows = c
     for table, key, name in (
         (stdlib, "top", "std"), (local.select(F.col("name").alias("top")), "top", "own"), (d, "norm", "provided"), (aliases, "top", "alias"),
@@ -43,13 +133,12 @@ def check_python_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
         rows = rows.join(flag(table, key, name), key, "left")
     held = d.agg(F.count("*").alias("sources"), F.count_if(F.col("kind") == "lockfile").alias("locks")).first()  # two numbers
     rows = rows.withColumns({"sources": F.lit(held["sources"]), "locks": F.lit(held["locks"])})
+    if by_file:
+        rows = rows.join(lock_reach(c, dists), "file", "left").withColumn("locks", F.coalesce(F.col("locked"), F.lit(False)).cast("long"))
     yes = lambda x: F.col(x).isNotNull()
     rungs = (
         (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("std"), "accept", "standard library"), (F.col("sources") == 0, "unverifiable", "no manifest"), (yes("own"), "accept", "own package"),
         (yes("provided"), "accept", "provided"), (yes("alias"), "accept", "provided under another name"), (yes("env_locked"), "accept", "installed and listed"), (yes("env_only"), "review", "installed only"),
         (yes("related"), "review", "related"), (F.col("optional"), "review", "optional"), (yes("inner"), "review", "nested"), (F.col("locks") == 0, "review", "no lockfile"),
     )
-    level, reason = F.when(rungs[0][0], rungs[0][1]), F.when(rungs[0][0], rungs[0][2])
-    for test, grade, why in rungs[1:]:
-        level, reason = level.when(test, grade), reason.when(test, why)
-    return rows.select("subject", level.otherwise("reject").alias("level"), reason.otherwise("absent").alias("reason"))
+    return rows.select(*kept, *_graded(rungs, ("reject", "absent")))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders, text
-from ..operators import extract, imports, relations
-from ..sources import files, sample
+from ..operators import claims, extract, health, imports, notes, relations, routes
+from ..sources import aliases, files, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -414,7 +414,7 @@ def fx_manifests(spark, sf_dir):
 
 @query("select * from (values ('GET', '/api/users/{user_id}', 'get_user', 'app/users.py'), ('POST', '/api/users', 'create_user', 'app/users.py'), ('GET', '/health', 'health', 'app/main.py')) v(method, \"full\", handler, file)")
 def fx_route_table(spark, sf_dir):
-    return files.route_table(sample.tree(spark))
+    return routes.route_table(sample.tree(spark))
 
 
 @query("select file, cast(lineno as bigint) as lineno, text from (values ('a.py', 2, 'two'), ('a.py', 3, 'four')) v(file, lineno, text)")
@@ -478,3 +478,109 @@ def fx_import_findings(spark, sf_dir):
     claims = [(x, x == "maybe") for x in ("os.path", "app.x", "requests", "yaml", "lockd", "loose", "uvicorn_extra", "dotenv", "maybe", "inner", "<dynamic>", "requestz")]
     dists = [("requests", "lockfile"), ("PyYAML", "lockfile"), ("uvicorn", "manifest"), ("python-dotenv", "manifest"), ("locked-dist", "lockfile")]
     return imports.check_python_imports(spark.createDataFrame(claims, "subject string, optional boolean"), spark.createDataFrame(dists, "dist string, kind string"), spark.createDataFrame([("app",)], "name string"), spark.createDataFrame([("lockd", "locked_dist"), ("loose", "other")], "name string, dist string"), spark.createDataFrame([("inner",)], "name string"))
+
+
+SCRIPT_TREE = {
+    "package.json": '{"dependencies": {"react": "1", "next": "1", "@scope/one": "1"}}',
+    "package-lock.json": '{"packages": {"node_modules/react": {}, "node_modules/@scope/one": {}}}',
+    "web/package.json": '{"dependencies": {"vue": "1"}}',
+    "tsconfig.json": '{"extends": "./base", /* note */ "compilerOptions": {"paths": {"@app/*": ["./app/*"], "exact": ["./x"],},}}',
+    "base.json": '{"compilerOptions": {"baseUrl": "./lib"} // end\n}',
+    "lib/util.ts": "",
+    "lib/deep/a.ts": "",
+    "src/parts/b.ts": "",
+}
+
+
+@query("select * from (values ('a.ts', 'fs', 'accept', 'built in'), ('a.ts', 'node:fs/promises', 'accept', 'built in'), ('a.ts', 'react/jsx', 'accept', 'provided'), ('a.ts', '@app/x', 'accept', 'path alias'), ('a.ts', 'exact', 'accept', 'path alias'), ('a.ts', 'exactly', 'reject', 'absent'), ('a.ts', 'next/image', 'accept', 'provided'), ('a.ts', 'deep/a', 'accept', 'base folder'), ('a.ts', 'parts/b', 'review', 'folder of the tree'), ('a.ts', '@scope/two', 'review', 'same scope'), ('a.ts', 'reactt', 'reject', 'absent'), ('web/b.ts', 'reactt', 'review', 'no lockfile'), ('a.ts', 'maybe', 'review', 'optional'), ('a.ts', 'here', 'review', 'installed only'), ('a.ts', '<dynamic>', 'review', 'dynamic')) v(file, subject, level, reason)")
+def fx_script_findings(spark, sf_dir):
+    tree = spark.createDataFrame(list(SCRIPT_TREE.items()), "path string, text string")
+    asked = [("a.ts", x) for x in ("fs", "node:fs/promises", "react/jsx", "@app/x", "exact", "exactly", "next/image", "deep/a", "parts/b", "@scope/two", "reactt", "maybe", "here", "<dynamic>")] + [("web/b.ts", "reactt")]
+    rows = spark.createDataFrame([(*x, x[1] == "maybe") for x in asked], "file string, subject string, optional boolean")
+    names = lambda *x: spark.createDataFrame([(y,) for y in x], "name string")
+    dists = files.declared_dists(tree).where("lang = 'node'")
+    return imports.check_script_imports(rows, dists, names(), aliases.script_aliases(tree), tree, names("here"))
+
+
+@query("select * from (values ('tsconfig.json', '@app/*', null), ('tsconfig.json', 'exact', null), ('tsconfig.json', null, 'lib')) v(file, pattern, base)")
+def fx_script_aliases(spark, sf_dir):
+    return aliases.script_aliases(spark.createDataFrame(list(SCRIPT_TREE.items()), "path string, text string"))
+
+
+@query("select * from (values ('GET /api/users/{id}', null, 'accept', 'registered'), ('/health/', null, 'accept', 'registered'), ('GET /health', 'health', 'accept', 'registered'), ('GET /health', 'other', 'reject', 'handled by another'), ('POST /health', null, 'reject', 'absent'), ('GET /api/users/7', null, 'reject', 'absent')) v(subject, handler, level, reason)")
+def fx_route_claims(spark, sf_dir):
+    asked = [("GET /api/users/{id}", None), ("/health/", None), ("GET /health", "mod.health"), ("GET /health", "other"), ("POST /health", None), ("GET /api/users/7", None)]
+    return routes.check_route_claims(spark.createDataFrame(asked, "subject string, handler string"), routes.resolved_routes(sample.tree(spark)))
+
+
+CLAIM_TEXTS = [
+    (1, '[{"kind": "env", "subject": "API_KEY", "line": 3}, {"kind": "route", "method": "post", "path": "/x", "hard": true}, {"kind": "tests", "command": "pytest"}, {"subject": "x"}, 5]'),
+    (2, '{"claims": [{"kind": "package", "subject": "yaml", "source": "prose"}, {"kind": "import", "subject": "a", "hard": "yes"}, {"kind": "import", "subject": "a", "line": -1}, {"kind": "route"}]}'),
+    (3, "not json"),
+    (4, "{}"),
+]
+
+
+@query("select cast(k as bigint) as k, cast(coalesce(nth, -1) as bigint) as nth, kind, subject, hard, error from (values (1, 0, 'env_var', 'API_KEY', true, null), (1, 1, 'route_handler', 'POST /x', true, null), (1, 2, 'tests_pass', 'pytest', true, null), (1, 3, '', 'x', true, 'missing kind'), (1, 4, '', null, true, 'must be an object'), (2, 0, 'import', 'yaml', false, null), (2, 1, 'import', 'a', true, 'hard must be a boolean'), (2, 2, 'import', 'a', true, 'line and col must be nonnegative integers'), (2, 3, 'route_handler', null, true, 'a route needs a subject or a path'), (3, null, null, null, null, 'claims must be a list or an object with a list')) v(k, nth, kind, subject, hard, error)")
+def fx_json_claims(spark, sf_dir):
+    return claims.claims_from_json(spark.createDataFrame(CLAIM_TEXTS, "k long, x string"), "x").select("k", F.coalesce("nth", F.lit(-1).cast("long")).alias("nth"), "kind", "subject", "hard", "error")
+
+
+@query("""
+with i as (select doc_id as record, concat('n', doc_id % 700) as id, text, case when doc_id % 11 = 0 then 'episode' when doc_id % 13 = 0 then 'odd' else 'note' end as kind from documents),
+r as (select *, case when length(trim(coalesce(text, ''))) not between 1 and 4000 then 'text' when kind = 'episode' then 'episode' when kind = 'odd' then 'kind' end as reason from i),
+g as (select *, row_number() over (partition by id order by record) as nth from r where reason is null)
+select record, id, 'skipped' as action, reason from r where reason is not null
+union all select record, id, case when nth > 1 then 'duplicate' when id in (select concat('n', doc_id) from labels) then 'kept_existing' else 'ready' end, null from g""")
+def mem_import_notes(spark, sf_dir):
+    """Documents as notes of another store, some of them raw or of an odd kind, against labelled ids as notes here."""
+    k = F.col("doc_id")
+    kind = F.when(k % 11 == 0, "episode").when(k % 13 == 0, "odd").otherwise("note")
+    incoming = t(spark, sf_dir, "documents").select(k.alias("record"), F.concat(F.lit("n"), k % 700).alias("id"), F.concat(F.lit("note "), k).alias("title"), "text", kind.alias("kind"), F.lit(0).alias("created"))
+    here = t(spark, sf_dir, "labels").select(F.concat(F.lit("n"), "doc_id").alias("id"))
+    return notes.import_notes(incoming, here).select("record", "id", "action", "reason")
+
+
+@query("""
+with p as (select *, row_number() over (order by item_id) as place from (select * from benchmark order by item_id limit 21 offset 5)),
+s as (select item_id, place, sum(octet_length(encode(text)) + length(cast(item_id as varchar)) + 66) over (order by place) + place - 1 as size from p)
+select cast(place as bigint) as place, item_id as id, cast(count(*) over () + 5 as bigint) as next_offset from s where place <= 20 and size <= 4000""")
+def mem_export_page(spark, sf_dir):
+    """A page of benchmark items as notes; the SQL adds up bytes, of which 66 a note are its keys and fixed values."""
+    rows = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("title"), "text", F.lit("note").alias("kind"), F.lit(0).alias("created"))
+    return notes.export_page(rows, 20, 5, 1000).select("place", "id", F.col("next_offset").cast("long").alias("next_offset"))
+
+
+@query(f"""
+with recursive e as (select a, b from ({EDGES_SQL}) union all select b, a from ({EDGES_SQL})), w as (select 'region:1' as node, 0 as hop union select e.b, w.hop + 1 from w join e on e.a = w.node where w.hop < 1),
+near as (select node as name, 1 as side, row_number() over (order by min(hop), node) as rn from w group by node),
+best as (select cast(item_id as varchar) as name, 0 as side, row_number() over (order by item_id) as rn from benchmark where item_id between 3 and 6)
+select cast(row_number() over (order by rn, side) as bigint) as place, side, name from (select * from best union all select * from near)""")
+def mem_brief(spark, sf_dir):
+    """Notes that share a word, and the sources one step around a reference, in turn."""
+    def name(kind, key):
+        return F.concat(F.lit(f"{kind}:"), F.col(key))
+
+    edges = t(spark, sf_dir, "nation").select(name("nation", "n_nationkey").alias("a"), name("region", "n_regionkey").alias("b")).union(t(spark, sf_dir, "supplier").select(name("supplier", "s_suppkey"), name("nation", "s_nationkey")))
+    held = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("item_id").between(3, 6), F.array(F.lit("wanted"))).otherwise(F.array(F.lit("other"))).alias("title_words"), F.array().cast("array<string>").alias("body_words"))
+    refs = edges.where("b = 'region:1'").select(F.col("b").alias("node"))
+    return notes.brief(["wanted"], held, refs, edges, hops=1)
+
+
+@query("select d.doc_id as id, case when d.doc_id % 5 = 0 then 'refused' when l.doc_id is null then 'not_checked' when toxic = 1 then 'changed' else 'stored' end as action, case when d.doc_id % 5 <> 0 and toxic = 0 then 'ready' end as state from documents d left join labels l on l.doc_id = d.doc_id")
+def mem_handoff(spark, sf_dir):
+    drafts = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5 != 0).alias("anchors_valid"))
+    reports = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("ready").alias("state"), F.lit(0).alias("before"), F.col("toxic").alias("after"))
+    return notes.handoff(drafts, reports)
+
+
+@query(r"""select doc_id, replace(regexp_replace(regexp_replace(text, '["''`]', '', 'g'), '#[^\n]*', '', 'g'), ' ', '') as code from documents""")
+def fn_mask_comments(spark, sf_dir):
+    """Texts without quotes, with what follows a hash masked, compared without blanks."""
+    bare = t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[\"'`]", "").alias("text"))
+    return bare.select("doc_id", F.replace(text.mask_comments(F.col("text"), "hash"), F.lit(" "), F.lit("")).alias("code"))
+
+
+@query("select name, ok, detail from (values ('files', true, '8 files, 0 unreadable, 3 Python files with facts'), ('environment', true, '9 names: code_default 1, compose 2, dockerfile 2, dotenv 4'), ('dependencies', true, 'lockfiles: requirements.txt; manifests: none'), ('routes', null, '3 routes, 0 unresolved')) v(name, ok, detail)")
+def fx_health(spark, sf_dir):
+    return health.report(sample.tree(spark))

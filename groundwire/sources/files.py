@@ -229,40 +229,5 @@ def python_facts(files: DataFrame) -> DataFrame:
     return per_row(files, python_rows, ["path", "text"], "path string, line long, tag string, name string, value string, extra string")
 
 
-def route_table(files: DataFrame) -> DataFrame:
-    """(method, full, handler, file): routes under the prefixes of their router and of the includes of it.
-
-    A child router is found as `module.name` or as an imported name.  Two levels of includes are resolved;
-    a prefix that is no literal leaves `full` null: unresolved, not absent.
-    """
-    facts = python_facts(files)
-    routers = facts.where("tag = 'router'").select(F.col("path").alias("file"), F.col("name").alias("var"), F.col("value").alias("prefix"), F.col("extra").alias("kind"))
-    routes = facts.where("tag = 'route'").select(F.col("path").alias("file"), F.col("name").alias("method"), F.col("value").alias("path"), F.split("extra", " ").getItem(0).alias("var"), F.split("extra", " ").getItem(1).alias("handler"))
-    child = F.split("value", r"\.")
-    includes = facts.where("tag = 'include'").select(F.col("path").alias("in_file"), F.col("name").alias("parent"), F.element_at(child, -1).alias("child"), F.when(F.size(child) > 1, F.element_at(child, -2)).alias("owner"), F.col("extra").alias("inc_prefix"))
-    names = facts.where("tag = 'imported'").select(F.col("path").alias("in_file"), F.col("name").alias("local"), F.col("value").alias("module"), F.col("extra").alias("original"))
-    joined = includes.join(names.withColumnRenamed("local", "owner_name"), (includes["in_file"] == names["in_file"]) & (F.coalesce("owner", "child") == F.col("owner_name")), "left").drop(names["in_file"])
-    module = F.when(F.col("owner").isNotNull(), F.concat_ws(".", "module", "original")).otherwise(F.col("module"))
-    child_file = F.when(F.col("module").isNull(), F.col("in_file")).otherwise(F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py")))
-    child_var = F.when(F.col("owner").isNotNull() | F.col("module").isNull(), F.col("child")).otherwise(F.col("original"))
-    edges = joined.select("in_file", "parent", child_file.alias("file"), child_var.alias("var"), "inc_prefix")
-
-    def whole(*parts):
-        bad = F.lit(False)
-        for p in parts:
-            bad = bad | (F.coalesce(p, F.lit("")) == "?")
-        return F.when(~bad, F.concat(*(F.coalesce(p, F.lit("")) for p in parts)))
-
-    tops = routers.where("kind = 'app'").select(F.col("file").alias("in_file"), F.col("var").alias("parent"), F.lit("").alias("base"))
-    for _ in range(2):  # apps, then routers included by them
-        lower = edges.join(tops, ["in_file", "parent"]).join(routers, ["file", "var"]).where("kind = 'router'")
-        tops = tops.unionByName(lower.select(F.col("file").alias("in_file"), F.col("var").alias("parent"), whole(F.col("base"), F.col("inc_prefix"), F.col("prefix")).alias("base"))).distinct()
-    placed = routes.join(tops.withColumnRenamed("in_file", "file").withColumnRenamed("parent", "var"), ["file", "var"], "left")
-    own = placed.join(routers.select("file", "var", "prefix"), ["file", "var"], "left")
-    base = F.coalesce("base", "prefix")
-    full = F.when((F.col("path") != "?") & (F.coalesce(base, F.lit("?")) != "?"), F.concat(base, "path"))
-    return own.select("method", full.alias("full"), "handler", "file").distinct()
-
-
 def is_ambient(name) -> F.Column:
     return name.isin(*AMBIENT) | name.rlike("^(" + "|".join(AMBIENT_PREFIXES) + ")")
