@@ -35,8 +35,6 @@ RANK_SHIFT = 50.0
 SPACE_MARK = "▁"
 #: What each piece has beside its expected count, so that none is impossible.
 FLOOR = 0.01
-#: Least probability of a word, for words of many thousand bytes.
-TINY = 1e-300
 
 
 def vocabulary(file: str) -> tuple[list[bytes], np.ndarray]:
@@ -210,8 +208,8 @@ def fit(counts: DataFrame, documents: int, file: str, rounds: int = ROUNDS) -> t
     return pieces, np.log(p) + math.log1p(-end), math.log(end)
 
 
-def _score_rows(model, head, whole: tuple[float, float, float, float]):
-    discount, tokens, weight, end = whole
+def _score_rows(model, head, parts: tuple[float, float, float, float]):
+    discount, tokens, weight, end = parts
 
     def run(batches):
         from pyspark import TaskContext
@@ -230,10 +228,13 @@ def _score_rows(model, head, whole: tuple[float, float, float, float]):
                 words = Words(text[lo:hi])
                 at, before = seen.numbers(words)
                 fresh = seen.words[before:]
-                pieced = weight * np.exp(lattice.scores([b" " + x for x in fresh]))
+                pieced = math.log(weight) + lattice.scores([b" " + x for x in fresh])
                 c = np.fromiter((frequent.get(x, -1) for x in fresh), np.int64, len(fresh))
                 value, count = np.concatenate([value, pieced]), np.concatenate([count, c])
-                total = np.concatenate([total, np.where(c < 0, 0.0, np.log10(np.maximum(np.maximum(c - discount, 0) / tokens + pieced, TINY)))])
+                whole = np.full(c.size, -np.inf)
+                held = np.flatnonzero(c > discount)
+                whole[held] = np.log((c[held] - discount) / tokens)
+                total = np.concatenate([total, np.where(c < 0, 0.0, np.logaddexp(whole, pieced) / math.log(10))])
                 of = words.text_of_word()
                 score = np.bincount(of, total[at], minlength=n) + end
                 c = count[at]
@@ -293,11 +294,14 @@ def score_documents(docs: DataFrame, file: str | None = None, mod: int = 7, held
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, tail array<struct<word: binary, times: long, pieced: double>>"
     scored = saved(arrow_map(text, _score_rows(model, head, (discount, max(n, 1), weight, end)), schema), "scored")
 
-    word_p = F.greatest(F.greatest(F.coalesce("n", F.lit(0)) - F.lit(discount), F.lit(0.0)) / F.lit(float(max(n, 1))) + F.col("pieced"), F.lit(TINY))
+    # natural logs throughout: a long word's probability is below the least double
+    whole = F.ln((F.col("n") - F.lit(discount)) / F.lit(float(max(n, 1))))
+    both = F.greatest(whole, "pieced") + F.log1p(F.exp(-F.abs(whole - F.col("pieced"))))
+    word_log = F.when(F.col("n") > F.lit(discount), both).otherwise(F.col("pieced")) / F.lit(math.log(10))
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times", "t.pieced").join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("tail_known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("tail_logs"),
-        F.sum(F.col("times") * F.log10(word_p)).alias("tail_score"),
+        F.sum(F.col("times") * word_log).alias("tail_score"),
     )
     divisor = math.log10(n + 1 * (v + 1))
     end_log = math.log10(documents + 1)
