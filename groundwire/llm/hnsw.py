@@ -116,17 +116,22 @@ class Graph:
         return cls(ids, bounds, vectors, levels)
 
     def _beam(self, q: np.ndarray, level: int, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest nodes (places in the level) and squared distances, for all queries in step."""
+        """Nearest nodes (places in the level) and squared distances, for all queries in step.
+
+        `start` has distinct places for each query, -1 where there are fewer; so has what is found at a finite distance.
+        """
         nodes, links = self.levels[level]
         x = self.x[nodes]
         n, rows = len(nodes), np.arange(len(q))
         norm, own = (x * x).sum(1), (q * q).sum(1)
         seen = np.zeros((len(q), n), bool)
-        seen[rows[:, None], start] = True
+        of, place = np.nonzero(start >= 0)
+        seen[of, start[of, place]] = True
         at = np.full((len(q), beam), -1, np.int32)
         dist = np.full((len(q), beam), np.inf, np.float32)
         at[:, : start.shape[1]] = start
-        dist[:, : start.shape[1]] = own[:, None] + norm[start] - 2 * np.einsum("qd,qkd->qk", q, x[start])
+        first = own[:, None] + norm[start] - 2 * np.einsum("qd,qkd->qk", q, x[start])
+        dist[:, : start.shape[1]] = np.where(start >= 0, first, np.inf)
         done = np.zeros(at.shape, bool)
         live = rows
         while live.size:
@@ -155,13 +160,23 @@ class Graph:
         count = len(self.levels[top][0])
         start = np.tile(np.arange(min(count, 4 * M), dtype=np.int32), (len(q), 1))
         for level in range(top, -1, -1):
-            width = max(beam if level == 0 else 8, start.shape[1])
+            width = max(beam, k + 1) if level == 0 else 8
+            width = max(width, start.shape[1])
             at, dist = self._beam(q, level, start, width)
             if level:
                 order = np.argsort(dist, axis=1)[:, :4]
                 best = np.take_along_axis(at, order, 1)
-                best = np.where(best < 0, best[:, :1], best)
-                start = np.searchsorted(self.levels[level - 1][0], self.levels[level][0][best]).astype(np.int32)
+                below = np.searchsorted(self.levels[level - 1][0], self.levels[level][0][best])
+                start = np.where(np.isfinite(np.take_along_axis(dist, order, 1)), below, -1).astype(np.int32)
+        # where the links lead to fewer nodes than the beam holds, all nodes are compared
+        most = min(width, len(self.vectors))
+        short = np.flatnonzero(np.isfinite(dist).sum(1) < most)
+        for a in range(0, short.size, 256):
+            rows = short[a : a + 256]
+            d = _squared(queries[rows], self.vectors)
+            best = np.argpartition(d, most - 1, axis=1)[:, :most]
+            at[rows, :most], dist[rows, :most] = best, np.take_along_axis(d, best, 1)
+            at[rows, most:], dist[rows, most:] = -1, np.inf
         found = np.flatnonzero(np.isfinite(dist).ravel())
         of, node = found // at.shape[1], at.ravel()[found]
         size = np.minimum(np.diff(self.bounds)[node], k + 1)
