@@ -11,19 +11,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_remainder, slices, with_columns
+from .common import arrow_map, id_remainder, saved, slices, with_columns
 from .textkernel import LOWER, MULTIPLY, buffers
 
 U = np.uint64
 ORDER = 3
 #: Training documents drawn for each language (expected number; the draw is a hash of doc_id), and distinct grams
-#: kept for a language and for all: the model's size does not follow the corpus.
-SAMPLE_DOCS, KEPT_GRAMS, ALL_GRAMS = 3000, 120_000, 600_000
-#: Languages modelled: those with the most documents.
-LANGUAGES = 64
+#: kept for a language: the model's size follows the number of languages, not that of documents.
+SAMPLE_DOCS, KEPT_GRAMS = 3000, 120_000
+#: Languages that share one cost table, and tables that a worker holds at once; further tables are read for each slice.
+GROUP, HELD_GROUPS = 5, 6
 UNDETERMINED = "und"
 #: Bytes whose costs are looked up in one round.
 WINDOW = 1 << 19
@@ -159,38 +160,55 @@ class Hashed:
         return self.rows[slot]
 
 
-def train(docs: DataFrame, held_out_mod: int = 5, sample_docs: int = SAMPLE_DOCS, kept: int = KEPT_GRAMS) -> PPM:
-    """Fit on documents with text and lang whose id has a remainder that is not 0.
+def train(docs: DataFrame, held_out_mod: int = 5, sample_docs: int = SAMPLE_DOCS, kept: int = KEPT_GRAMS) -> list[Broadcast]:
+    """Models of all languages, `GROUP` in each, by name; from documents with text and lang whose id has a remainder that is not 0.
 
-    About `sample_docs` documents of each language, drawn by a hash of doc_id, give the statistics.
+    About `sample_docs` documents of each language, drawn by a hash of doc_id, give the statistics.  A language's
+    costs do not depend on the others of its group.
     """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(held_out_mod) != 0))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = usable.groupBy("lang").count()
     share = sizes.select("lang", (F.lit(float(sample_docs)) / F.col("count")).alias("share"))
     draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)) < F.col("share")
     drawn = usable.join(F.broadcast(share), "lang").where(draw).select("lang", "text")
-    kept = max(1000, min(kept, ALL_GRAMS // max(1, sizes.count())))
     counted = arrow_map(drawn, _count_rows(ORDER), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= kept).select("lang", "gram", "n").toPandas()
-    return PPM({name: (part["gram"].to_numpy(), part["n"].to_numpy()) for name, part in top.groupby("lang")})
-
-
-def _predict(model):
+    top = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= kept).select("lang", "gram", "n")
+    top = saved(top, "grams")
+    names = sorted(row["lang"] for row in top.select("lang").distinct().collect())
+    models = []
+    for a in range(0, len(names), GROUP):  # the driver has one group's counts at a time
+        part = top.where(F.col("lang").isin(names[a : a + GROUP])).toPandas()
+        models.append(docs.sparkSession.sparkContext.broadcast(PPM({name: (own["gram"].to_numpy(), own["n"].to_numpy()) for name, own in part.groupby("lang")})))
+    return models
+
+
+def _costs(models, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """All languages by name, and the exact code length of each text in each."""
+    names, bits = [], []
+    for k, shared in enumerate(models):
+        ppm = shared.value
+        names += ppm.languages
+        bits.append(ppm.bits(data, offsets))
+        if k >= HELD_GROUPS and getattr(shared, "_path", None):
+            del ppm, shared._value  # the next use reads it from the executor's disk
+    return names, np.concatenate(bits, 1)
+
+
+def _predict(models):
     def run(batches):
-        ppm = model.value
         for batch in batches:
             text, letter = batch.column("__text"), batch.column("__letter")
             for lo, hi in slices(text):
                 n = hi - lo
                 data, offsets = buffers(text[lo:hi])
-                ok = letter[lo:hi].to_numpy(zero_copy_only=False) & bool(ppm.languages)
+                ok = letter[lo:hi].to_numpy(zero_copy_only=False) & bool(models)
                 names, score = np.full(n, UNDETERMINED, object), np.zeros(n)
-                if ppm.languages:
-                    bits = ppm.bits(data, offsets)
+                if models:
+                    learned, bits = _costs(models, data, offsets)
                     low = bits.min(1)
                     best = bits.argmin(1)
                     p = 1 / np.exp2(np.clip(low[:, None] - bits, -1000, 0)).sum(1)
-                    names[ok], score[ok] = np.array(ppm.languages, object)[best[ok]], p[ok]
+                    names[ok], score[ok] = np.array(learned, object)[best[ok]], p[ok]
                 columns = [c[lo:hi] for c, f in zip(batch.columns, batch.schema.names) if f not in ("__text", "__letter")]
                 out = [f for f in batch.schema.names if f not in ("__text", "__letter")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score)], names=[*out, "__lang", "__score"])
@@ -198,17 +216,16 @@ def _predict(model):
     return run
 
 
-def identify(docs: DataFrame, model: PPM, columns: list[str]) -> DataFrame:
+def identify(docs: DataFrame, models: list[Broadcast], columns: list[str]) -> DataFrame:
     """The named columns of every row with __lang and __score.
 
     __lang is `und` (score 0) where the text is null, empty or has no letter, or no language was learned;
     else the language with the shortest code, ties to the first by name, and its share of the
     likelihoods.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col("text").cast("string")
     rows = docs.select(*columns, text.alias("__text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("__letter"))
-    return arrow_map(rows, _predict(shared), with_columns(docs.select(*columns).schema, __lang="string", __score="double"))
+    return arrow_map(rows, _predict(models), with_columns(docs.select(*columns).schema, __lang="string", __score="double"))
 
 
 def languages(docs: DataFrame) -> DataFrame:
