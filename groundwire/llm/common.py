@@ -61,6 +61,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ordered(df: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
+    """`df` with each row's place (from 1) in the order of `keys`.
+
+    The order is range-partitioned and written; a place is the row's number within its partition and the rows of
+    the partitions before, so that no task sees all rows.
+    """
+    spark = df.sparkSession
+    at = F.col("__at")
+    held = saved(df.orderBy(*keys).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    held = held.withColumns({"__part": F.shiftright(at, 33), "__row": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    # a row for each partition
+    before, offsets = 0, []
+    for part, n in sorted((r["__part"], r["count"]) for r in held.groupBy("__part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    starts = spark.createDataFrame(offsets, "__part long, __before long")
+    return held.join(F.broadcast(starts), "__part").withColumn(place, F.col("__before") + F.col("__row") + 1).select(*df.columns, place)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each Spark context."""
     sc = spark.sparkContext

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, saved, slices
+from .common import arrow_map, ordered, saved, slices
 from .textkernel import MULTIPLY, Words, distinct_sets, mix, shingles
 
 U = np.uint64
@@ -298,11 +298,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, band
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """`docs` without the documents that are not their component's smallest; all columns stay.
 
-    Rows that repeat one doc_id in full count as one document, so one of them stays.
+    Rows that repeat one doc_id and its text count as one document, so one of them stays.  Different texts under
+    one doc_id are documents of their own, in the order of a hash of the text.  All rows without a doc_id stay.
     """
-    verdict = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(verdict, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    number = F.col("doc_id").cast("long")
+    named, unnamed = docs.where(number.isNotNull()), docs.where(number.isNull())
+    if named.groupBy(number.alias("__id")).count().where("count > 1").isEmpty():
+        verdict = near_duplicates(named, **options).where("kept").select(F.col("doc_id").alias("__id"))
+        return named.join(verdict, number == F.col("__id"), "left_semi").unionByName(unnamed)
+    # a doc_id does not name one document here, so places in the order of doc_id do
+    content = F.sha2(F.col("text").cast("string"), 256)
+    single = named.withColumns({"__id": number, "__text": content}).dropDuplicates(["__id", "__text"])
+    placed = ordered(single, ["__id", "__text"], "__place")
+    verdict = near_duplicates(placed.select(F.col("__place").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("__place"))
+    return placed.join(verdict, "__place", "left_semi").select(*docs.columns).unionByName(unnamed)
