@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders, text
+from ..llm.common import ordered
 from ..operators import claims, extract, health, imports, notes, relations, routes
 from ..sources import aliases, files, sample
 
@@ -234,6 +235,14 @@ def win_finding_order(spark, sf_dir):
     return l.select(F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("place"), "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
 
 
+@query("select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as bigint) as place, l_orderkey, cast(l_linenumber as bigint) as l_linenumber from lineitem")
+def win_finding_order_all(spark, sf_dir):
+    """The order of all findings, range-partitioned; `win_finding_order` is its first page over one flag."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    l = ordered(t(spark, sf_dir, "lineitem").select(*keys), keys)
+    return l.select("place", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+
+
 @query("""
 with x as (select row_number() over (order by s_suppkey) * 2 as turn, 0 as side, s_name as name from supplier union all select row_number() over (order by n_nationkey) * 2 + 1, 1, n_name from nation)
 select cast(row_number() over (order by turn) as bigint) as place, side, name from x""")
