@@ -2,11 +2,13 @@
 
 Documents become pieces of at most `capacity` tokens (only longer ones are cut).  Full pieces are
 sequences of their own; the others are dealt by hash to blocks of about `BLOCK_ITEMS`, which bounds every
-task and costs less than one open sequence a block.  In each block, islands evolve populations of
-groupings: crossover injects a run of well-filled bins of one parent into the other, drops the bins that held
-the same documents, and best-fits the displaced ones.  After each epoch every island receives its
-neighbour's elite; each epoch is a written table.  Fitness is the mean of squared fills, so fewer and
-fuller bins win.
+task.  In each block, islands start from random groupings and evolve them: crossover injects well-filled bins
+of one parent into the other, drops the bins that held the same documents, and best-fits the displaced ones.
+After each epoch every island receives its neighbour's elite; each epoch is a written table.  Fitness is
+the number of bins, then the mean of squared fills, so slack gathers in few bins.
+
+The bins that stay open in all blocks are emptied into blocks of their own, where the same evolution packs their
+documents once more: what the dealing to blocks costs falls from one open sequence a block to one in thousands.
 """
 
 from __future__ import annotations
@@ -24,15 +26,21 @@ from .tokens import library_coder, with_end
 
 CAPACITY, END_ID = 2048, 0
 BLOCK_ITEMS = 4096
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 8, 3
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 16, 3
 WELL_FILLED = 0.995
+#: A child has up to one in so many bins emptied at random.
+MIXED = 50
+#: Bins filled less than this after the blocks' own evolution are packed again across blocks.
+OPEN_SHARE = 0.99
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
 def _pieces(file: str, end: int, capacity: int):
     def run(batches):
-        coder, row = library_coder(file, True), 0
+        from pyspark import TaskContext
+
+        coder, row = library_coder(file, True), TaskContext.get().partitionId() << 36
         for batch in batches:
             text = batch.column("text")
             for lo, hi in slices(text):
@@ -70,11 +78,17 @@ def best_fit(order: list[int], size: list[int], capacity: int, gaps: list[tuple[
     return bins
 
 
-def seeded(size: np.ndarray, capacity: int, rng, noise: float) -> np.ndarray:
-    """Best-fit decreasing; with `noise`, lengths are blurred when ordered."""
-    order = np.argsort(-size * (1 + noise * rng.random(size.size)), kind="stable").tolist()
+def decreasing(size: np.ndarray, capacity: int) -> np.ndarray:
+    """Best-fit decreasing: no part of the search, the mark that it is measured against."""
     bin_of = np.zeros(size.size, np.int32)
-    best_fit(order, size.tolist(), capacity, [], bin_of, 0)
+    best_fit(np.argsort(-size, kind="stable").tolist(), size.tolist(), capacity, [], bin_of, 0)
+    return bin_of
+
+
+def random_grouping(size: np.ndarray, capacity: int, rng) -> np.ndarray:
+    """Documents in random order, each where the least room stays."""
+    bin_of = np.zeros(size.size, np.int32)
+    best_fit(rng.permutation(size.size).tolist(), size.tolist(), capacity, [], bin_of, 0)
     return bin_of
 
 
@@ -99,8 +113,10 @@ def crossover(into: np.ndarray, giver: np.ndarray, size: np.ndarray, capacity: i
     hit = np.zeros(bins, bool)
     hit[into[given]] = True
     own = np.bincount(into, size)
-    # mutation: the emptiest bins are opened again, so that their documents find better places
-    hit[np.argsort(own, kind="stable")[: max(1, bins // 50)]] = True
+    # mutation: some of the bins that are not well filled and a few others are emptied, so that their documents find better places
+    emptiest = np.argsort(own, kind="stable")[: max(1, int((own < WELL_FILLED * capacity).sum()))]
+    hit[emptiest[: rng.integers(1, emptiest.size + 1)]] = True
+    hit[rng.integers(0, bins, rng.integers(1, max(2, bins // MIXED) + 1))] = True
     keep = ~hit[into] & ~given
     new = np.full(size.size, -1, np.int32)
     number = np.full(fill.size, -1, np.int32)
@@ -119,13 +135,18 @@ def crossover(into: np.ndarray, giver: np.ndarray, size: np.ndarray, capacity: i
     return new
 
 
+def finished(bin_of: np.ndarray, size: np.ndarray, capacity: int) -> bool:
+    """No grouping has fewer bins, and at most one bin is less than well filled."""
+    fill = np.bincount(bin_of, size)
+    return fill.size <= -(-int(size.sum()) // capacity) and int((fill < WELL_FILLED * capacity).sum()) <= 1
+
+
 def evolve(population: list[np.ndarray], size: np.ndarray, capacity: int, rng, generations: int) -> list[np.ndarray]:
-    """Steady-state evolution, best first; ends early at the bound that no packing can beat."""
-    bound = -(-int(size.sum()) // capacity)
+    """Steady-state evolution, best first; ends early where nothing is left to gain."""
     scored = sorted(((fitness(x, size, capacity), i, x) for i, x in enumerate(population)), key=lambda x: x[:2])
     fresh = len(scored)
     for _ in range(generations):
-        if scored[0][0][0] <= bound:
+        if finished(scored[0][2], size, capacity):
             break
         for _ in range(len(population)):
             a, b = rng.choice(len(scored), 2, replace=False) if len(scored) > 1 else (0, 0)
@@ -156,7 +177,7 @@ def _evolve(capacity: int, epoch: int, generations: int, members: int):
                     people = list(np.frombuffer(own.as_buffer(), "<i4").reshape(-1, size.size))
                     people[-1] = np.frombuffer(elite.as_buffer(), "<i4")[: size.size]
                 else:
-                    people = [seeded(size, capacity, rng, 0.0 if island.as_py() == 0 and k == 0 else 0.02 * (k + 1)) for k in range(members)]
+                    people = [random_grouping(size, capacity, rng) for _ in range(members)]
                 people = evolve(people, size, capacity, rng, generations)
                 bins, unfit = fitness(people[0], size, capacity)
                 for k, v in zip(out, (block.as_py(), island.as_py(), raw.as_py(), np.stack(people).astype("<i4").tobytes(), bins, unfit)):
@@ -178,8 +199,9 @@ def _place(capacity: int):
                 first = np.searchsorted(bin_of[order], bin_of[order])
                 offset = np.empty(doc.size, np.int64)
                 offset[order] = ends - length[order] - (ends - length[order])[first]
-                sequence = batch.column("block")[k].as_py() * (BLOCK_ITEMS * 4) + bin_of
-                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=nulls), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                sequence = (batch.column("block")[k].as_py() << 32) + bin_of
+                fill = np.bincount(bin_of, length).astype(np.int64)[bin_of]
+                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=nulls), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(sequence), pa.array(offset), pa.array(fill)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"])
 
     return run
 
@@ -187,16 +209,11 @@ def _place(capacity: int):
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """Sequences for pieces (PIECE columns) of 1 to `capacity` tokens."""
-    spark = pieces.sparkSession
-    small = pieces.where(F.col("length") < capacity)
-    count = small.count()
-    blocks_n = max(1, -(-count // block_items))
-    held = small.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "row", "ids_crc32"), F.lit(blocks_n)))
+def _evolved(small: DataFrame, blocks_n: int, first_block: int, capacity: int) -> DataFrame:
+    """RESULT columns and each sequence's fill for pieces shorter than `capacity`, packed in `blocks_n` blocks."""
+    held = small.withColumn("block", F.lit(first_block).cast("long") + F.pmod(F.xxhash64("doc_id", "piece", "row", "ids_crc32"), F.lit(blocks_n)))
     blocks = saved(held.groupBy("block").applyInArrow(_block, "block long, doc_id binary, piece binary, start binary, length binary, ids_crc32 binary, nulls binary"), "blocks")
     tasks = min(blocks_n * ISLANDS, max(96, blocks_n // 8))
-
     islands = blocks.select("block", "length", F.explode(F.expr(f"sequence(0, {ISLANDS - 1})")).alias("island")).withColumns({"population": F.lit(None).cast("binary"), "elite": F.lit(None).cast("binary")})
     schema = "block long, island int, length binary, population binary, bins int, unfit double"
     for epoch in range(EPOCHS):
@@ -205,9 +222,22 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_items: int =
         islands = people.drop("bins", "unfit").join(elite, ["block", "island"])
     first = Window.partitionBy("block").orderBy("bins", "unfit", "island")
     best = people.withColumn("place", F.row_number().over(first)).where("place = 1").select("block", "population")
-    packed = arrow_map(blocks.join(best, "block"), _place(capacity), RESULT)
+    return arrow_map(blocks.join(best, "block"), _place(capacity), RESULT + ", fill long")
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Sequences for pieces (PIECE columns) of 1 to `capacity` tokens."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    small = pieces.where(F.col("length") < capacity)
+    blocks_n = max(1, -(-small.count() // block_items))
+    packed = _evolved(small, blocks_n, 0, capacity)
+    if blocks_n > 1:
+        packed = saved(packed, "packed")
+        loose = packed.where(F.col("fill") < F.lit(OPEN_SHARE * capacity)).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_id") * F.lit(31) + F.col("offset")).alias("row"))
+        again = _evolved(loose, max(1, -(-loose.count() // block_items)), blocks_n, capacity)
+        packed = packed.where(F.col("fill") >= F.lit(OPEN_SHARE * capacity)).select(names).unionByName(again.select(names))
     full = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(full)
+    return packed.select(names).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, file: str | None = None, end: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
