@@ -29,7 +29,7 @@ def test_blocks_share_their_open_bins(spark):
     rows = [(i, 0, 0, int(n), 1, i) for i, n in enumerate(rng.integers(1, 300, 2400))] + [(None, 0, 0, 77, 5, 10**6 + i) for i in range(40)]
     pieces = spark.createDataFrame(rows, packing.PIECE)
     got = packing.pack_pieces(pieces, block_items=300).collect()
-    assert sorted((r.doc_id or -1, r.length) for r in got) == sorted((-1 if r[0] is None else r[0], r[3]) for r in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.length) for r in got) == sorted((-1 if r[0] is None else r[0], r[3]) for r in rows)
     at = {}
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at.get(r.sequence_id, 0)
