@@ -1,17 +1,21 @@
 """Nearest neighbours with a hierarchical navigable small-world graph per shard.
 
-Rows are dealt to shards by hash.  A shard's distinct vectors get levels (each level keeps one in `M`);
-on each level a node is linked to near nodes chosen for diversity, both ways, and the links are one flat
-array of `width` places per node.  A shard's index is one row of a written table.  Blocks of queries visit every
-shard: greedy descent through the upper levels, then a beam of `BEAM` on the lowest.  Distances of what
-is found are taken again on the original vectors in double precision; shard results merge by rank.
-
-As shards have a bounded size, links come from exact candidates found in one matrix product per level
-in place of one search per insertion; what is stored and searched is the same kind of graph.
+Rows are dealt to shards by hash; a shard's rows grow with the square root of the table, within bounds, so that
+shards become larger, not only more.  A shard's distinct vectors get levels (each level keeps one in `M`) and are
+inserted in random order: each searches the graph so far from the top level down, is linked to near nodes chosen for
+diversity, and these link back, choosing anew where their places are full.  Insertions go in batches of at most the
+nodes already there, whose members see each other by exact distances.  The links of a level are one flat array
+of `width` places per node; a shard's index is one row of a written table.
+
+Blocks of queries visit every shard: greedy descent through the upper levels, then a beam of `BEAM` on the lowest.  All
+distances are sums of squared differences in double precision, so vectors that lie very close together keep
+their order; shard results merge by rank.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,61 +23,98 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, saved, ship
 
-SHARD_ROWS, QUERY_ROWS = 8192, 1024
-M, CANDIDATES, BEAM = 16, 48, 96
+QUERY_ROWS = 256
+#: Least and most rows of a shard, and most bytes of its vectors.
+SHARD_ROWS, MOST_ROWS, SHARD_BYTES = 8192, 1 << 15, 64 << 20
+M, CANDIDATES, BEAM, ABOVE = 16, 64, 128, 24
+#: Insertions of one batch, and nodes that a search opens in one step.
+BATCH, STEP = 256, 4
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
+    """Squared distances (len(a), len(b)) by differences."""
+    return np.stack([((row - b) ** 2).sum(1) for row in a]) if len(a) else np.zeros((0, len(b)))
 
 
-def link(x: np.ndarray, width: int) -> np.ndarray:
-    """Neighbours (n, width) of one level, -1 where none: diverse near nodes, with links back."""
-    n = len(x)
-    out = np.full((n, width), -1, np.int32)
-    if n == 1:
-        return out
-    k = min(CANDIDATES, n - 1)
-    own, dist = [], []
-    for a in range(0, n, 256):
-        d = _squared(x[a : a + 256], x)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        part = np.take_along_axis(d, near, 1)
-        order = np.argsort(part, axis=1, kind="stable")
-        near, part = np.take_along_axis(near, order, 1), np.take_along_axis(part, order, 1)
-        # keep a candidate unless a kept one is nearer to it than the node is
-        y = x[near]
+def diverse(x: np.ndarray, node: np.ndarray, near: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` of each row's candidates, -1 where fewer: first those that no chosen one is nearer to, then the nearest.
+
+    `near` has distinct candidates of each node by ascending distance, -1 (at infinity) at the end.
+    """
+    out = np.full((len(node), most), -1, np.int32)
+    for a in range(0, len(node), 64):
+        some, d = near[a : a + 64], dist[a : a + 64]
+        y = x[np.maximum(some, 0)] - x[node[a : a + 64]][:, None]
         norm = (y * y).sum(2)
         between = norm[:, :, None] + norm[:, None, :] - 2 * (y @ y.transpose(0, 2, 1))
-        keep = np.zeros(near.shape, bool)
-        for j in range(k):
-            blocked = (keep[:, :j] & (between[:, j, :j] < part[:, j, None])).any(1)
-            keep[:, j] = ~blocked & (keep[:, :j].sum(1) < width // 2)
-        keep[:, : min(4, k)] = True
-        own.append(near)
-        dist.append(np.where(keep, part, np.inf))
-    near, part = np.concatenate(own), np.concatenate(dist)
-    row, col = np.nonzero(np.isfinite(part))
-    a, b, d = np.concatenate([row, near[row, col]]), np.concatenate([near[row, col], row]), np.tile(part[row, col], 2)
-    forward = np.concatenate([np.zeros(row.size, int), np.ones(row.size, int)])
-    order = np.lexsort((d, forward, a))
-    a, b = a[order], b[order]
-    _, once = np.unique(a.astype(np.int64) * n + b, return_index=True)
-    once.sort()
-    a, b = a[once], b[once]
-    place = np.arange(a.size) - np.searchsorted(a, a)
-    fits = place < width
-    out[a[fits], place[fits]] = b[fits]
+        keep, real = np.zeros(some.shape, bool), some >= 0
+        for j in range(some.shape[1]):
+            blocked = (keep[:, :j] & (between[:, j, :j] < d[:, j, None])).any(1)
+            keep[:, j] = real[:, j] & ~blocked & (keep[:, :j].sum(1) < most)
+        order = np.argsort(np.where(keep, 0, np.where(real, 1, 2)), axis=1, kind="stable")[:, :most]
+        got = np.take_along_axis(np.where(real, some, -1), order, 1)
+        out[a : a + 64, : got.shape[1]] = got
     return out
 
 
+def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest nodes found on one level and their squared distances, for all queries in step.
+
+    `start` has distinct nodes for each query, -1 where there are fewer; so has the result, at infinity.
+    """
+    rows, beam = np.arange(len(q)), max(beam, start.shape[1])
+    seen = np.zeros((len(q), len(x)), bool)
+    of, place = np.nonzero(start >= 0)
+    seen[of, start[of, place]] = True
+    at, dist = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), np.inf)
+    at[:, : start.shape[1]] = start
+    dist[of, place] = ((q[of] - x[start[of, place]]) ** 2).sum(1)
+    done = np.zeros(at.shape, bool)
+    live = rows
+    while live.size:
+        waiting = np.where(done[live], np.inf, dist[live])
+        pick = np.argpartition(waiting, min(STEP, beam) - 1, axis=1)[:, :STEP]
+        open_ = np.isfinite(np.take_along_axis(waiting, pick, 1))
+        some = open_.any(1)
+        live, pick, open_ = live[some], pick[some], open_[some]
+        if not live.size:
+            break
+        row, col = np.nonzero(open_)
+        done[live[row], pick[row, col]] = True
+        near = np.full((live.size, pick.shape[1], links.shape[1]), -1, np.int32)
+        near[row, col] = links[at[live[row], pick[row, col]]]
+        near = near.reshape(live.size, -1)
+        row, col = np.nonzero(near >= 0)
+        node = near[row, col]
+        fresh = np.flatnonzero(~seen[live[row], node])
+        # two of the nodes that are opened together may share a neighbour
+        _, once = np.unique(row[fresh] * len(x) + node[fresh], return_index=True)
+        row, col, node = row[fresh[once]], col[fresh[once]], node[fresh[once]]
+        seen[live[row], node] = True
+        gap = x[node] - q[live[row]]
+        place = np.arange(row.size) - np.searchsorted(row, row)
+        wide = int(place.max()) + 1 if place.size else 0
+        d, found = np.full((live.size, wide), np.inf), np.full((live.size, wide), -1, np.int32)
+        d[row, place], found[row, place] = np.einsum("nd,nd->n", gap, gap), node
+        all_d, all_at, all_done = np.concatenate([dist[live], d], 1), np.concatenate([at[live], found], 1), np.concatenate([done[live], found < 0], 1)
+        best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+        dist[live], at[live], done[live] = (np.take_along_axis(v, best, 1) for v in (all_d, all_at, all_done))
+    return at, dist
+
+
+def _nearest_first(at: np.ndarray, dist: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(dist, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(at, order, 1), np.take_along_axis(dist, order, 1)
+
+
 class Graph:
-    """Index of a shard's distinct vectors; ids of equal vectors stand together, ascending."""
+    """Index of a shard's distinct vectors; ids of equal vectors stand together, ascending.
+
+    levels: for each the nodes it holds and the (nodes, width) array of their neighbours, -1 where none.
+    """
 
     def __init__(self, ids, bounds, vectors, levels):
         self.ids, self.bounds, self.vectors, self.levels = ids, bounds, vectors, levels
-        self.x = vectors.astype(np.float32)
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Graph:
@@ -86,16 +127,69 @@ class Graph:
         fresh[1:] = (ids[1:] != ids[:-1]) | (which[1:] != which[:-1])
         ids, which = ids[fresh], which[fresh]
         bounds = np.searchsorted(which, np.arange(first.size + 1))
-        distinct = vectors[first]
+        x = vectors[first]
         rng = np.random.default_rng(first.size)
         height = (-np.log(1 - rng.random(first.size)) / np.log(M)).astype(int)
-        levels, x = [], distinct.astype(np.float32)
-        for level in range(int(height.max()) + 1):
-            nodes = np.flatnonzero(height >= level).astype(np.int32)
-            levels.append((nodes, link(x[nodes], 2 * M if level == 0 else M)))
-            if nodes.size <= M:
-                break
-        return cls(ids, bounds, distinct, levels)
+        links = [np.full((len(x), 2 * M if level == 0 else M), -1, np.int32) for level in range(int(height.max()) + 1)]
+        turn = rng.permutation(first.size)
+        done = 0
+        while done < turn.size:
+            new = turn[done : done + min(BATCH, max(1, done))]
+            cls._insert(x, height, links, turn[:done], new)
+            done += new.size
+        levels = [(np.flatnonzero(height >= level).astype(np.int32), own[height >= level]) for level, own in enumerate(links)]
+        return cls(ids, bounds, x, levels)
+
+    @staticmethod
+    def _insert(x, height, links, old: np.ndarray, new: np.ndarray) -> None:
+        among = _squared(x[new], x[new])
+        np.fill_diagonal(among, np.inf)
+        start = None
+        for level in range(len(links) - 1, -1, -1):
+            held = old[height[old] >= level]
+            own = np.flatnonzero(height[new] >= level)
+            if held.size:
+                if start is None:
+                    start = np.tile(held[: 2 * M].astype(np.int32), (new.size, 1))
+                at, dist = _nearest_first(*beam_search(x, links[level], x[new], start, CANDIDATES if level == 0 else ABOVE), CANDIDATES)
+                start = at[:, :4]
+            else:
+                at, dist = np.zeros((new.size, 0), np.int32), np.zeros((new.size, 0))
+            if not own.size or held.size + own.size < 2:
+                continue
+            mates = np.broadcast_to(new[own].astype(np.int32), (own.size, own.size))
+            near, d = _nearest_first(np.concatenate([at[own], mates], 1), np.concatenate([dist[own], among[np.ix_(own, own)]], 1), CANDIDATES)
+            near = np.where(np.isfinite(d), near, -1)
+            chosen = diverse(x, new[own], near, d, M)
+            links[level][new[own], :M] = chosen
+            Graph._link_back(x, links[level], new[own], chosen)
+
+    @staticmethod
+    def _link_back(x, links, new: np.ndarray, chosen: np.ndarray) -> None:
+        row, col = np.nonzero(chosen >= 0)
+        target, giver = chosen[row, col], new[row]
+        have = (links[target] == giver[:, None]).any(1)
+        target, giver = target[~have], giver[~have]
+        order = np.argsort(target, kind="stable")
+        target, giver = target[order], giver[order]
+        node, first, count = np.unique(target, return_index=True, return_counts=True)
+        width, free = links.shape[1], (links[node] < 0).sum(1)
+        place = np.arange(target.size) - np.repeat(first, count)
+        fits = np.repeat(count <= free, count)
+        filled = np.repeat(width - free, count)
+        links[target[fits], (filled + place)[fits]] = giver[fits]
+        full = np.flatnonzero(count > free)
+        if not full.size:
+            return
+        most = int(count.max())
+        offered = np.full((node.size, most), -1, np.int32)
+        offered[np.repeat(np.arange(node.size), count), place] = giver
+        near = np.concatenate([links[node[full]], offered[full]], 1)
+        d = np.full(near.shape, np.inf)
+        r, c = np.nonzero(near >= 0)
+        d[r, c] = ((x[near[r, c]] - x[node[full]][r]) ** 2).sum(1)
+        near, d = _nearest_first(near, d, 2 * width)
+        links[node[full]] = diverse(x, node[full], near, d, width)
 
     def dump(self) -> dict[str, bytes]:
         sizes = np.array([len(n) for n, _ in self.levels], "<i4")
@@ -115,64 +209,28 @@ class Graph:
             at, done = at + n, done + n * width
         return cls(ids, bounds, vectors, levels)
 
-    def _beam(self, q: np.ndarray, level: int, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest nodes (places in the level) and squared distances, for all queries in step.
-
-        `start` has distinct places for each query, -1 where there are fewer; so has what is found at a finite distance.
-        """
-        nodes, links = self.levels[level]
-        x = self.x[nodes]
-        n, rows = len(nodes), np.arange(len(q))
-        norm, own = (x * x).sum(1), (q * q).sum(1)
-        seen = np.zeros((len(q), n), bool)
-        of, place = np.nonzero(start >= 0)
-        seen[of, start[of, place]] = True
-        at = np.full((len(q), beam), -1, np.int32)
-        dist = np.full((len(q), beam), np.inf, np.float32)
-        at[:, : start.shape[1]] = start
-        first = own[:, None] + norm[start] - 2 * np.einsum("qd,qkd->qk", q, x[start])
-        dist[:, : start.shape[1]] = np.where(start >= 0, first, np.inf)
-        done = np.zeros(at.shape, bool)
-        live = rows
-        while live.size:
-            waiting = np.where(done[live], np.inf, dist[live])
-            pick = waiting.argmin(1)
-            ok = np.isfinite(waiting[np.arange(live.size), pick])
-            live, pick = live[ok], pick[ok]
-            if not live.size:
-                break
-            done[live, pick] = True
-            near = links[at[live, pick]]
-            fresh = (near >= 0) & ~seen[live[:, None], near]
-            seen[live[:, None], np.where(near >= 0, near, at[live, pick][:, None])] = True
-            d = own[live, None] + norm[near] - 2 * np.einsum("qd,qkd->qk", q[live], x[near])
-            d = np.where(fresh, d, np.inf)
-            all_d, all_at = np.concatenate([dist[live], d], 1), np.concatenate([at[live], near], 1)
-            all_done = np.concatenate([done[live], ~fresh], 1)
-            best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
-            dist[live], at[live], done[live] = (np.take_along_axis(v, best, 1) for v in (all_d, all_at, all_done))
-        return at, dist
+    def links(self, level: int) -> np.ndarray:
+        """The level's neighbours with a row for every node of the graph."""
+        nodes, own = self.levels[level]
+        if nodes.size == len(self.vectors):
+            return own
+        out = np.full((len(self.vectors), own.shape[1]), -1, np.int32)
+        out[nodes] = own
+        return out
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM):
         """(query id, vector id, distance) of the k nearest found for each query, without itself."""
-        q = queries.astype(np.float32)
-        top = len(self.levels) - 1
-        count = len(self.levels[top][0])
-        start = np.tile(np.arange(min(count, 4 * M), dtype=np.int32), (len(q), 1))
-        for level in range(top, -1, -1):
-            width = max(beam, k + 1) if level == 0 else 8
-            width = max(width, start.shape[1])
-            at, dist = self._beam(q, level, start, width)
-            if level:
-                order = np.argsort(dist, axis=1)[:, :4]
-                best = np.take_along_axis(at, order, 1)
-                below = np.searchsorted(self.levels[level - 1][0], self.levels[level][0][best])
-                start = np.where(np.isfinite(np.take_along_axis(dist, order, 1)), below, -1).astype(np.int32)
+        start = np.tile(self.levels[-1][0][: 4 * M], (len(queries), 1))
+        for level in range(len(self.levels) - 1, -1, -1):
+            width = max(beam, k + 1) if level == 0 else ABOVE
+            at, dist = beam_search(self.vectors, self.links(level), queries, start, width)
+            start = _nearest_first(np.where(np.isfinite(dist), at, -1), dist, 4)[0]
+        width = at.shape[1]
         # where the links lead to fewer nodes than the beam holds, all nodes are compared
         most = min(width, len(self.vectors))
         short = np.flatnonzero(np.isfinite(dist).sum(1) < most)
-        for a in range(0, short.size, 256):
-            rows = short[a : a + 256]
+        for a in range(0, short.size, 64):
+            rows = short[a : a + 64]
             d = _squared(queries[rows], self.vectors)
             best = np.argpartition(d, most - 1, axis=1)[:, :most]
             at[rows, :most], dist[rows, :most] = best, np.take_along_axis(d, best, 1)
@@ -234,7 +292,12 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine).withColumn("dim", F.size("v"))
 
 
-def nearest(vectors: DataFrame, queries_mod: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def rows_of_shard(rows: int, dim: int) -> int:
+    """16 times the square root of the table, within the bounds."""
+    return max(1, min(max(SHARD_ROWS, 16 * math.isqrt(rows)), MOST_ROWS, SHARD_BYTES // (8 * max(dim, 1))))
+
+
+def nearest(vectors: DataFrame, queries_mod: int = 100, k: int = 10, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id divides by `queries_mod`.
 
     Null ids take no part, nor do vectors that are null, empty, zero or hold a null or non-finite component;
@@ -244,7 +307,8 @@ def nearest(vectors: DataFrame, queries_mod: int = 100, k: int = 10, shard_rows:
     spark = vectors.sparkSession
     ship(spark)
     rows = usable(vectors)
-    shards = max(1, -(-rows.count() // shard_rows))
+    size = rows.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    shards = max(1, -(-size["n"] // (shard_rows or rows_of_shard(size["n"], size["dim"] or 1))))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
     index = saved(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard long, " + ", ".join(f"{x} binary" for x in INDEX)), "hnsw")
     asked = rows.where(F.col("vec_id") % queries_mod == 0)
