@@ -6,8 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import public_tokenizers
 import pyarrow as pa
@@ -15,10 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwire import runtime
+
 #: Text bytes handled by one round of array work; bounds a worker's memory beside its longest text.
 SLICE_BYTES = 4 << 20
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 16 << 20
+BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 #: Rows of such a round at most.
 SLICE_ROWS = 4000
 
@@ -82,19 +83,11 @@ def ordered(df: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_groundwire_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="groundwire-py-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/groundwire_package.zip", "w") as out:
-        for file in root.rglob("*.py"):
-            out.write(file, str(file.relative_to(root.parent)))
-    sc.addPyFile(f"{folder}/groundwire_package.zip")
-    sc._groundwire_shipped = True
-    # batches of 64 MB (the default) times the copies in both processes would be most of a small executor
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    runtime.ship(spark)
+    # batches of 64 MB (the default) times the copies in both processes would be most of a small executor; a
+    # session that has set a size of its own keeps it
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
 _HELD: dict = {}
@@ -147,6 +140,12 @@ def id_remainder(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def whole_row(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of `docs` as one struct: names of a caller's columns cannot clash with an operator's own."""
+    quoted = [F.col("`" + x.replace("`", "``") + "`") for x in docs.columns]
+    return F.struct(*quoted).alias(name)
+
+
 def slices(text: pa.Array, limit: int = SLICE_BYTES):
     """Row ranges (lo, hi) of `text` with about `limit` bytes each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)

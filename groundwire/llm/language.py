@@ -12,17 +12,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_remainder, saved, slices, with_columns
+from .common import arrow_map, id_remainder, saved, slices, whole_row, with_columns
 from .textkernel import LOWER, MULTIPLY, buffers
 
 U = np.uint64
 ORDER = 3
-#: Training documents drawn for each language (expected number; the draw is a hash of doc_id), and distinct grams
-#: kept for a language: the model's size follows the number of languages, not that of documents.
-SAMPLE_DOCS, KEPT_GRAMS = 3000, 120_000
+#: Training documents drawn for each language (expected number; the draw is a hash of doc_id).  This bound on the labelled
+#: rows is the only one: all grams of the drawn texts count.
+SAMPLE_DOCS = 3000
 #: Languages that share one cost table, and tables that a worker holds at once; further tables are read for each slice.
 GROUP, HELD_GROUPS = 5, 6
 UNDETERMINED = "und"
@@ -160,7 +160,7 @@ class Hashed:
         return self.rows[slot]
 
 
-def train(docs: DataFrame, held_out_mod: int = 5, sample_docs: int = SAMPLE_DOCS, kept: int = KEPT_GRAMS) -> list[Broadcast]:
+def train(docs: DataFrame, held_out_mod: int = 5, sample_docs: int = SAMPLE_DOCS) -> list[Broadcast]:
     """Models of all languages, `GROUP` in each, by name; from documents with text and lang whose id has a remainder that is not 0.
 
     About `sample_docs` documents of each language, drawn by a hash of doc_id, give the statistics.  A language's
@@ -172,12 +172,11 @@ def train(docs: DataFrame, held_out_mod: int = 5, sample_docs: int = SAMPLE_DOCS
     draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)) < F.col("share")
     drawn = usable.join(F.broadcast(share), "lang").where(draw).select("lang", "text")
     counted = arrow_map(drawn, _count_rows(ORDER), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= kept).select("lang", "gram", "n")
-    top = saved(top, "grams")
-    names = sorted(row["lang"] for row in top.select("lang").distinct().collect())
+    counted = saved(counted, "grams")
+    names = sorted(row["lang"] for row in counted.select("lang").distinct().collect())
     models = []
     for a in range(0, len(names), GROUP):  # the driver has one group's counts at a time
-        part = top.where(F.col("lang").isin(names[a : a + GROUP])).toPandas()
+        part = counted.where(F.col("lang").isin(names[a : a + GROUP])).toPandas()
         models.append(docs.sparkSession.sparkContext.broadcast(PPM({name: (own["gram"].to_numpy(), own["n"].to_numpy()) for name, own in part.groupby("lang")})))
     return models
 
@@ -197,7 +196,7 @@ def _costs(models, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np
 def _predict(models):
     def run(batches):
         for batch in batches:
-            text, letter = batch.column("__text"), batch.column("__letter")
+            text, letter = batch.column("text"), batch.column("letter")
             for lo, hi in slices(text):
                 n = hi - lo
                 data, offsets = buffers(text[lo:hi])
@@ -209,32 +208,40 @@ def _predict(models):
                     best = bits.argmin(1)
                     p = 1 / np.exp2(np.clip(low[:, None] - bits, -1000, 0)).sum(1)
                     names[ok], score[ok] = np.array(learned, object)[best[ok]], p[ok]
-                columns = [c[lo:hi] for c, f in zip(batch.columns, batch.schema.names) if f not in ("__text", "__letter")]
-                out = [f for f in batch.schema.names if f not in ("__text", "__letter")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score)], names=[*out, "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], pa.array(names, pa.string()), pa.array(score)], names=["row", "lang", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, models: list[Broadcast], columns: list[str]) -> DataFrame:
-    """The named columns of every row with __lang and __score.
+def identify(docs: DataFrame, models: list[Broadcast]) -> DataFrame:
+    """row (all columns of a row of `docs`), lang and score.
 
-    __lang is `und` (score 0) where the text is null, empty or has no letter, or no language was learned;
+    lang is `und` (score 0) where the text is null, empty or has no letter, or no language was learned;
     else the language with the shortest code, ties to the first by name, and its share of the
-    likelihoods.
+    likelihoods.  Very long texts are read in windows; repeated rows are judged each.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(*columns, text.alias("__text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("__letter"))
-    return arrow_map(rows, _predict(models), with_columns(docs.select(*columns).schema, __lang="string", __score="double"))
+    row = whole_row(docs)
+    rows = docs.select(row, text.alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letter"))
+    return arrow_map(rows, _predict(models), with_columns(docs.select(row).schema, lang="string", score="double"))
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of `docs`; a null id is not held out."""
-    rows = identify(docs, train(docs), ["doc_id"])
-    return rows.select("doc_id", F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    """doc_id, held_out, lang_pred, score for every row of `docs`.
+
+    A null id is not held out; repeated rows have a row each; null, empty and letterless texts are `und` with score 0;
+    other columns are not read, whatever their names; an empty table gives an empty result.
+    """
+    rows = identify(docs.select("doc_id", "text"), train(docs))
+    remainder = F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5
+    return rows.select("row.doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
 def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of `docs`, all columns, whose language is recognised with a score of `least` or more."""
-    rows = identify(docs, train(docs), docs.columns)
-    return rows.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
+    """Rows of `docs`, all columns, whose language is recognised with a score of `least` or more.
+
+    Null, empty and letterless texts go; null ids and repeated rows stay as they are; columns of any name pass
+    through; an empty table, or one without a labelled text to learn from, gives an empty result.
+    """
+    rows = identify(docs, train(docs))
+    return rows.where((F.col("lang") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
