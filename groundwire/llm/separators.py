@@ -1,8 +1,8 @@
 """Document bounds in flat, unindexed token files: a separator scan.
 
-Files hold ids as little-endian unsigned 16-bit integers (32-bit for larger vocabularies) and nothing
-else; a document ends with the separator id and may reach over blocks and files.  Every block is searched by
-itself with one vector comparison; a prefix scan over block summaries then gives each separator its
+Files hold ids as little-endian unsigned 16-bit integers (32-bit where the vocabulary has larger ids) and nothing
+else; a document ends with the separator id and may reach over blocks and files.  Tasks read byte ranges of files of any
+size; every block is searched by itself with one vector comparison; a prefix scan over block summaries then gives each separator its
 place in the stream, its document's number and, from the last separator of earlier blocks, the start.
 """
 
@@ -22,6 +22,13 @@ FILE_TOKENS = 4 << 20
 BLOCK_TOKENS = 1 << 18
 
 
+def id_width(file: str, separator: int) -> int:
+    """Bytes of an id: 2 where all ids of the vocabulary and the separator fit, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(file).get_vocab_size() - 1, separator) < 1 << 16 else 4
+
+
 def _write(folder: str, file: str, separator: int, limit: int, kind: str):
     def run(batches):
         from pyspark import TaskContext
@@ -50,7 +57,7 @@ def write_flat(docs: DataFrame, file: str | None = None, separator: int = SEPARA
     `limit` ids, wherever that falls in a document.
     """
     file, folder = file or tokenizer_file("byte_bpe_50k.json"), fresh_path(docs.sparkSession, "flat")
-    kind = "<u2" if separator < 1 << 16 else "<u4"
+    kind = f"<u{id_width(file, separator)}"
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return folder, saved(arrow_map(text, _write(folder, file, separator, limit, kind), "shard long, ordinal long, doc_id long"), "written")
 
@@ -70,16 +77,42 @@ def _scan(separator: int, kind: str):
     return run
 
 
-def scan_separators(files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK_TOKENS) -> DataFrame:
+def _ranges(folder: str, step: int):
+    """Bytes of each (file, block) of the folder, read by the task that searches them."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file, block in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()):
+                with system.open_input_file(f"{root}/{file.rsplit('/', 1)[1]}") as source:
+                    source.seek(block * step)
+                    raw = source.read(step)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], names=["file", "block", "bytes"])
+
+    return run
+
+
+def scan_separators(files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK_TOKENS, width: int | None = None, folder: str | None = None) -> DataFrame:
     """doc_index, start, n_tokens (separator included), closed: one row per document of the stream.
 
-    `files`: path and content of the flat files; their order is that of their paths.  Ids after the last
-    separator make a last row with closed = false; adjacent separators make documents of one id; no
+    `files`: path and content of the flat files, or path and length of files in `folder`, which are then read in byte
+    ranges; their order is that of their paths.  `width`: bytes of an id (2, or 4 for a separator beyond 65,535).  Ids
+    after the last separator make a last row with closed = false; adjacent separators make documents of one id; no
     file or only empty files give an empty result.
     """
-    width = 2 if separator < 1 << 16 else 4
+    width = width or (2 if separator < 1 << 16 else 4)
     step = block * width
-    blocks = files.where("length(content) > 0").select(F.col("path").alias("file"), F.posexplode(F.expr(f"transform(sequence(0, cast((length(content) - 1) div {step} as int)), i -> substring(content, i * {step} + 1, {step}))")).alias("block", "bytes"))
+    number = "sequence(0, cast(({} - 1) div {} as int))"
+    if folder is None:
+        pieces = F.expr(f"transform({number.format('length(content)', step)}, i -> substring(content, i * {step} + 1, {step}))")
+        blocks = files.where("length(content) > 0").select(F.col("path").alias("file"), F.posexplode(pieces).alias("block", "bytes"))
+    else:
+        listed = files.where("length > 0").select(F.col("path").alias("file"), F.explode(F.expr(number.format("length", step))).alias("block"))
+        # a row for each range: without this a task would read all ranges of the files that one listing task got
+        spread = listed.repartition(max(1, min(-(-listed.count() // 8), 1 << 16)), "file", "block")
+        blocks = arrow_map(spread, _ranges(folder, step), "file string, block int, bytes binary")
     seen = saved(arrow_map(blocks, _scan(separator, f"<u{width}"), "file string, block int, size long, last long, ends array<long>"), "blocks")
 
     # prefix scan, first over files (one row each), then over the blocks of each file
@@ -105,20 +138,22 @@ def scan_separators(files: DataFrame, separator: int = SEPARATOR, block: int = B
 
 
 def flat_files(spark, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
+    """path and length of the folder's files; their content is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "length")
 
 
 def document_tokens(docs: DataFrame, file: str | None = None, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, doc_index, start, n_tokens, closed of all documents, found by scanning their flat files.
 
     doc_index and start follow the stream of files, whose order is that of the input's partitions.  Null
-    texts are empty documents (their separator alone); null ids stay null; repeated rows count each.
+    texts are empty documents (their separator alone); null ids stay null; repeated rows count each; other
+    columns are not read; an empty table gives an empty result.
     """
+    spark, file = docs.sparkSession, file or tokenizer_file("byte_bpe_50k.json")
     folder, written = write_flat(docs, file, separator)
-    spark = docs.sparkSession
     if written.isEmpty():
         return spark.createDataFrame([], "doc_id long, doc_index long, start long, n_tokens long, closed boolean")
-    found = scan_separators(flat_files(spark, folder), separator)
+    found = scan_separators(flat_files(spark, folder), separator, width=id_width(file, separator), folder=folder)
     counts = written.groupBy("shard").agg(F.count("*").alias("n"))
     before = counts.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     names = written.join(before, "shard").select((F.col("before") + F.col("ordinal")).alias("doc_index"), "doc_id")
