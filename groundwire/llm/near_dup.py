@@ -11,13 +11,17 @@ similarity with Chernoff-like concentration.
    class is paired with the smallest class of all its buckets, then, in buckets that hold several
    components, with that bucket's smallest; pairs are confirmed on the full sets.
 3. Members of buckets that still hold several components are searched completely.  By the prefix bound two sets
-   of this similarity share one of the rarest n - ceil(0.75 n) + 1 shingles of each; pairs across components
-   that do, and pass the bounds of their sizes, places and bit signatures, are confirmed too.
-   Members of one component need no further pair, so large groups of copies stay linear.
+   of this similarity share one of the first n - ceil(0.75 n) + 1 shingles of each in any common order, here the
+   rarest first by counts in `SLOTS` hashed slots; pairs across components that do, and pass the exact bounds of their
+   sizes and places, are confirmed too.  Members of one component need no further pair, so large groups
+   of copies stay linear.
 4. Components follow by large-star / small-star rounds on the confirmed links.
 
-At similarity 0.75 the default 50 bands of 5 miss a pair with probability 1.3e-6; the signature bound
-(0.74 of 250 bits equal, 0.875 expected) lies 6 standard deviations off.
+At similarity 0.75 the default 50 bands of 5 miss a pair with probability 1.3e-6; in steps 1 and 2 a signature bound
+(0.74 of 250 bits equal, 0.875 expected, 6 standard deviations off) passes pairs over that step 3 finds again.
+
+Rows of a key that holds more than one in `HOT_KEYS` of all rows are dealt over several tasks; there are
+fewer such keys than `HOT_KEYS`, which bounds the table of them.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ordered, saved, slices
+from .common import arrow_map, ordered, saved, slices, whole_row
 from .textkernel import MULTIPLY, Words, distinct_sets, mix, shingles
 
 U = np.uint64
@@ -38,6 +42,10 @@ BANDS, ROWS = 50, 5
 #: Members compared with one copy of their leader's set.
 SALT_ROWS = 512
 SIGNATURE_SHARE = 0.74
+#: Slots of the shingle counts that order shingles by rarity.
+SLOTS = 1 << 20
+#: A key is hot with more than this many rows and more than one in HOT_KEYS of all rows.
+HOT_ROWS, HOT_KEYS = 1024, 1 << 16
 MASK52 = U((1 << 52) - 1)
 
 
@@ -206,39 +214,75 @@ def _twin(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key), F.col("n").alias("n2"), *(F.col(f"s{j}").alias(f"{j}s") for j in range(4)))
 
 
-def _shingle_rows(batches):
+def hot_keys(counted: DataFrame) -> DataFrame:
+    """key and salts (tasks to share it) of the hot keys of `counted` (key, held): fewer than HOT_KEYS rows."""
+    total = counted.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    return saved(counted.where(F.col("held") > limit).select("key", F.ceil(F.col("held") / limit).cast("int").alias("salts")), "hot")
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, by: str | None) -> DataFrame:
+    """`rows` with salt: that of the hash of column `by`, or without `by` a copy of the row for each salt of its key."""
+    rows = rows.join(F.broadcast(hot), "key", "left")
+    n = F.coalesce("salts", F.lit(1))
+    salt = F.explode(F.sequence(F.lit(0), n - 1)) if by is None else F.pmod(F.hash(by), n)
+    return rows.withColumn("salt", salt).drop("salts")
+
+
+def _slot_counts(batches):
+    total = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for who, raw in zip(batch.column("rep").to_pylist(), batch.column("shingles")):
-            got = np.frombuffer(raw.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(got.size, who)), pa.array(got)], names=["rep", "key"])
+        for raw in batch.column("shingles"):
+            np.add.at(total, (np.frombuffer(raw.as_buffer(), np.uint64) & U(SLOTS - 1)).astype(np.int64), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+
+def _prefix_rows(counts, percent: int):
+    def run(batches):
+        uses = counts.value
+        for batch in batches:
+            for who, raw in zip(batch.column("rep").to_pylist(), batch.column("shingles")):
+                got = np.frombuffer(raw.as_buffer(), np.uint64)
+                n = got.size
+                prefix = n - -(-n * percent // 100) + 1
+                # the sets are sorted, so ties of the count stand in the order of the shingles
+                first = np.argsort(uses[(got & U(SLOTS - 1)).astype(np.int64)], kind="stable")[:prefix]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(first.size, who)), pa.array(got[first].view(np.int64)), pa.array(np.arange(1, first.size + 1)), pa.array(np.full(first.size, n))], names=["rep", "key", "place", "n"])
+
+    return run
 
 
-def _across(members: DataFrame, sets: DataFrame, percent: int, t: int) -> DataFrame:
-    """Pairs (a, b) of members (rep, c, n, s0-s3) of different components c that may be similar enough.
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, c) of different components c that may be similar enough.
 
-    Shingles that one member alone has come first in the order by rarity and lead to no pair.  For each
-    shingle only members outside its most common component look for partners, so that the work is linear in the
-    size of that component.
+    For each shingle only members outside its most common component look for partners, so that the work is linear
+    in the size of that component.
     """
-    ids = sets.select(F.col("doc_id").alias("rep"), "shingles").join(members.select("rep"), "rep", "left_semi")
-    rows = saved(arrow_map(ids, _shingle_rows, "rep long, key long").distinct(), "shingles")
-    common = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = rows.join(common, "key").withColumns({"place": F.row_number().over(Window.partitionBy("rep").orderBy("df", "key")), "others": F.count("*").over(Window.partitionBy("rep"))})
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    held = saved(ranked.join(members, "rep").withColumn("place", F.col("place") + F.col("n") - F.col("others")).where(F.col("place") <= prefix).drop("others", "df"), "prefixes")
-    of_key = held.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
-    left = held.join(of_key, "key").where("c <> main").withColumnRenamed("rep", "a")
-    right = held.select("key", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("place").alias("place2"), *(F.col(f"s{j}").alias(f"{j}s") for j in range(4)))
+    spark = sets.sparkSession
+    ids = sets.select(F.col("doc_id").alias("rep"), "shingles").join(members.select("rep").distinct(), "rep", "left_semi")
+    counts = np.zeros(SLOTS, np.int64)
+    for part in arrow_map(ids, _slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():  # SLOTS rows at most
+        counts[part.column("slot").to_numpy()] = part.column("n").to_numpy()
+    firsts = arrow_map(ids, _prefix_rows(spark.sparkContext.broadcast(counts), percent), "rep long, key long, place long, n long")
+    held = saved(firsts.join(members.select("rep", "c").distinct(), "rep"), "prefixes")
+    of_key = held.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("several"), F.sum("count").alias("held")).where("several > 1").select("key", "main", "held")
+    of_key = saved(of_key, "keys")
+    hot = hot_keys(of_key)
+    rows = saved(_dealt(held, hot, "rep").join(_dealt(of_key.drop("held"), hot, None), ["key", "salt"]), "shared")
+    left = _dealt(rows.where("c <> main").drop("salt", "main"), hot, None).withColumnRenamed("rep", "a")
+    right = rows.select("key", "salt", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    sizes = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     # at the first shared shingle enough others must follow in both for the overlap that the sizes ask for
     room = (1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))) * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("c") != F.col("c2")) & room & _possible(percent, t))
+    pairs = left.join(right, ["key", "salt"]).where((F.col("c") != F.col("c2")) & sizes & room)
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
-    Null or wordless texts have an empty set and stay alone.  doc_id names a document: repeated rows
+    Null or wordless texts have an empty set and stay alone; of very long texts all shingles count.  doc_id names a document: repeated rows
     of one id are copies of each other and each has its row in the result.  A null doc_id joins
     nothing: component_id is null and kept is true.  An empty table gives an empty result.  Other
     columns are not read.
@@ -252,8 +296,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, band
     classes = saved(known.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")
     members = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("held")).where("held > 1").select("key", "leader")
-    shared = saved(members.join(buckets, "key"), "buckets")
+    buckets = saved(members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("held")).where("held > 1"), "leaders")
+    hot = hot_keys(buckets)
+    shared = saved(_dealt(members, hot, "rep").join(_dealt(buckets.drop("held"), hot, None), ["key", "salt"]), "buckets")
 
     marks = reps.drop("bands").join(shared.select("rep").distinct(), "rep", "left_semi")
     marks = saved(marks, "marks")
@@ -271,13 +316,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, band
 
     # then, in buckets that still hold several components, with the bucket's leader, and at last all across
     for whole in (False, True):
-        placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("c"))
+        placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "salt", "rep", "leader", F.coalesce("component", "rep").alias("c"))
         mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.col("rep") == F.col("leader")).alias("c2")).where("lo < hi").select("key", "c2")
-        rest = saved(placed.join(mixed, "key").join(marks, "rep"), "mixed")
+        rest = saved(placed.join(_dealt(mixed, hot, None), ["key", "salt"]).join(marks, "rep"), "mixed")
         if rest.isEmpty():
             break
         if whole:
-            pairs = _across(rest.drop("key", "leader", "c2").distinct(), sets, percent, t)
+            pairs = _across(rest.select("rep", "c").distinct(), sets, percent)
         else:
             pairs = rest.where("c <> c2").select(F.col("rep").alias("a"), F.col("leader").alias("b"), "n", "s0", "s1", "s2", "s3").distinct()
             pairs = pairs.join(_twin(marks.withColumnRenamed("rep", "b"), "b"), "b").where(_possible(percent, t))
@@ -296,19 +341,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, band
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """`docs` without the documents that are not their component's smallest; all columns stay.
+    """`docs` without the documents that are not their component's smallest; all columns stay, whatever their names.
 
     Rows that repeat one doc_id and its text count as one document, so one of them stays.  Different texts under
-    one doc_id are documents of their own, in the order of a hash of the text.  All rows without a doc_id stay.
+    one doc_id are documents of their own, in the order of a hash of the text.  All rows without a doc_id stay, and
+    all empty texts.  Very long texts count whole; an empty table gives an empty result.
     """
-    number = F.col("doc_id").cast("long")
-    named, unnamed = docs.where(number.isNotNull()), docs.where(number.isNull())
-    if named.groupBy(number.alias("__id")).count().where("count > 1").isEmpty():
-        verdict = near_duplicates(named, **options).where("kept").select(F.col("doc_id").alias("__id"))
-        return named.join(verdict, number == F.col("__id"), "left_semi").unionByName(unnamed)
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named, unnamed = rows.where("doc_id is not null"), rows.where("doc_id is null").select("row.*")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        verdict = near_duplicates(named, **options).where("kept").select("doc_id")
+        return named.join(verdict, "doc_id", "left_semi").select("row.*").unionByName(unnamed)
     # a doc_id does not name one document here, so places in the order of doc_id do
-    content = F.sha2(F.col("text").cast("string"), 256)
-    single = named.withColumns({"__id": number, "__text": content}).dropDuplicates(["__id", "__text"])
-    placed = ordered(single, ["__id", "__text"], "__place")
-    verdict = near_duplicates(placed.select(F.col("__place").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("__place"))
-    return placed.join(verdict, "__place", "left_semi").select(*docs.columns).unionByName(unnamed)
+    single = named.withColumn("content", F.sha2("text", 256)).dropDuplicates(["doc_id", "content"])
+    placed = ordered(single, ["doc_id", "content"], "place")
+    verdict = near_duplicates(placed.select(F.col("place").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("place"))
+    return placed.join(verdict, "place", "left_semi").select("row.*").unionByName(unnamed)

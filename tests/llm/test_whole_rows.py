@@ -30,3 +30,12 @@ def test_many_grams_all_count(spark):
     held = len(models[0].value.tables[3].values) - 1
     raw = text.encode()
     assert held == len({(b"\0\0\0" + raw)[k : k + 4] for k in range(len(raw))}) > 120_000
+
+
+def test_one_of_each_keeps_clashing_columns(docs):
+    from groundwire.llm.near_dup import one_of_each
+
+    clashing = _clashing(docs)
+    got = one_of_each(clashing)
+    assert got.columns == clashing.columns
+    assert got.where("__id = 1 and __text = 0 and __place = 4").count() == got.count() > 50
