@@ -68,4 +68,24 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_hnsw, op4_wavelet_tokens, op5_near_dup, op6_line_rules, op7_pack, op8_token_counts, op9_prefix_bpe, op10_lattice_lm)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Words as the contracts have them; lower() would fold more than A-Z.
+_WORDS = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
+
+#: Every pair that shares a shingle is counted here, and components follow by recursion: the plain reading of op5's contract.
+_NEAR_DUP = f"""
+with recursive words as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+sets as (
+    select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as shingle
+    from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from words where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n_both from sets a join sets b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * n_both >= 75 * (x.n + y.n - n_both)),
+reach as (select doc_id as a, doc_id as b from words union select reach.a, links.b from reach join links on links.a = reach.b),
+least as (select a as doc_id, min(b) as component_id from reach group by a)
+select words.doc_id, coalesce(sizes.n, 0) as n_shingles, least.component_id, words.doc_id = least.component_id as kept
+from words join least using (doc_id) left join sizes using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_near_dup": _NEAR_DUP}
