@@ -40,7 +40,7 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import line_rules
 
-    return line_rules(table(spark, sf_dir, "documents"))
+    return line_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

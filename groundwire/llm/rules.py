@@ -1,9 +1,13 @@
 """Quality rules: base counts of a text, and a line labelling by a linear-chain conditional random field.
 
-Every line of a text is content or boilerplate.  Binary features of a line and of its neighbour's
+Every line of a text is content or boilerplate.  Binary features of a line's own look and of its neighbour's
 label score each labelling; Viterbi decoding picks the best one.  A document stays if its base counts pass and
-half of its words or more stand in content lines.  Weights are fitted by conditional likelihood
-(forward-backward, Adam) on a bounded sample of documents whose lines are marked by plain rules.
+half of its words or more stand in content lines.
+
+Weights are fitted by conditional likelihood (forward-backward, Adam) on a bounded sample of labelled documents.  What
+their lines count as comes from evidence that is no feature of a line: every line of a document labelled poor is
+boilerplate, and so is a line that occurs all over the corpus in many different surroundings (counted over all
+documents; copies of one document give one surrounding); all other lines of good documents are content.
 """
 
 from __future__ import annotations
@@ -14,18 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, slices
-from .textkernel import MULTIPLY, Words, hashes, mix
+from .textkernel import LOWER, MULTIPLY, SPACE, Words, buffers, hashes, mix
 
 U = np.uint64
-#: Documents that the weights are fitted on (expected number; drawn by a hash of doc_id), each of at most so
-#: many bytes.
-SAMPLE_DOCS, SAMPLE_LENGTH = 3000, 50_000
+#: Labelled documents that the weights are fitted on (expected number; drawn by a hash of doc_id).
+SAMPLE_DOCS = 3000
+#: Fitting cuts longer documents into chains of so many lines.
+CHAIN_LINES = 200
+#: A line is shared by the corpus with so many distinct surroundings, if they are half of its occurrences or more.
+SURROUNDINGS = 5
+#: Bits of the filter that keeps lines of the sample while all lines are counted.
+FILTER_BITS = 1 << 22
 STEPS, RATE, DECAY = 200, 0.05, 1e-3
 CONTENT_SHARE = 0.5
 
-#: Words that mark notices and page furniture.
-FURNITURE = ("licensed", "license", "licence", "copyright", "reserved.", "reserved", "cookies", "cookie", "subscribe", "javascript", "login", "sign-in", "click", "privacy", "sitemap")
-FEATURES = ("any", "no_word", "under_3_words", "over_9_words", "some_symbols", "many_symbols", "many_digits", "mostly_capitals", "closed_sentence", "bar", "repeated_line", "few_letters", "stuttering", "furniture", "first_line", "last_line")
+FEATURES = ("any", "no_word", "under_3_words", "over_9_words", "some_symbols", "many_symbols", "many_digits", "mostly_capitals", "closed_sentence", "bar", "repeated_line", "few_letters", "stuttering", "mostly_titled", "first_line", "last_line")
 K = len(FEATURES)
 
 
@@ -38,9 +45,8 @@ def _table(chars: bytes) -> np.ndarray:
 SYMBOL, DIGIT, BAR, STOP = _table(b"#*$%&|<>"), _table(b"0123456789"), _table(b"|"), _table(b".!?")
 UPPER = _table(bytes(range(65, 91)))
 LETTER = UPPER | _table(bytes(range(97, 123))) | _table(bytes(range(128, 256)))
-_FURNITURE_DATA = np.frombuffer("".join(FURNITURE).encode(), np.uint8)
-_FURNITURE_END = np.cumsum([len(x) for x in FURNITURE])
-FURNITURE_HASHES = hashes(_FURNITURE_DATA, _FURNITURE_END - np.array([len(x) for x in FURNITURE]), _FURNITURE_END)
+_FOLD = LOWER.copy()
+_FOLD[48:58] = 48
 
 
 class Lines:
@@ -114,8 +120,7 @@ class Lines:
         stutter = np.zeros(m, bool)
         stutter[1:] = h[1:] == h[:-1]
         stuttered = np.concatenate([[0], np.cumsum(stutter)])
-        folded = Words(text, lower=True).hash
-        notice = np.concatenate([[0], np.cumsum(np.isin(folded, FURNITURE_HASHES))])
+        titled = np.concatenate([[0], np.cumsum(UPPER[data[w.start]])])
         final = np.zeros(start.size, bool)
         has = np.flatnonzero(self.words > 0)
         final[has] = STOP[data[w.end[stop[has] - 1] - 1]]
@@ -129,14 +134,29 @@ class Lines:
         f[:, 8], f[:, 9], f[:, 10] = final, within["bar"] > 1, repeated
         f[:, 11] = within["letter"] * 2 < ink
         f[:, 12] = 2 * (stuttered[stop] - stuttered[at]) > self.words
-        f[:, 13] = (notice[stop] - notice[at] > 0) & (self.words < 30)
+        f[:, 13] = (2 * (titled[stop] - titled[at]) > self.words) & (self.words > 1)
         f[:, 14], f[:, 15] = head, last
         self.features = f
 
-    def marks(self) -> np.ndarray:
-        """Plain-rule labels for fitting: 1 for boilerplate."""
-        name = FEATURES.index
-        return self.features[:, [name(x) for x in ("many_symbols", "bar", "stuttering", "furniture", "repeated_line", "few_letters")]].any(1) | (self.features[:, name("mostly_capitals")] & self.features[:, name("over_9_words")])
+
+def line_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each line (case and digits folded; 0 without a word), of its surroundings, and the texts' line offsets."""
+    data, offsets = buffers(text)
+    docs = offsets.size - 1
+    breaks = np.flatnonzero(data == 10)
+    per_doc = np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=docs) + 1
+    first = np.concatenate([[0], np.cumsum(per_doc)])
+    start, end = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    head, last = np.zeros(start.size, bool), np.zeros(start.size, bool)
+    head[first[:-1]], last[first[1:] - 1] = True, True
+    start[head], start[~head] = offsets[:-1], breaks + 1
+    end[last], end[~last] = offsets[1:], breaks
+    ink = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    key = np.where(ink[end] > ink[start], hashes(_FOLD[data], start, end) | U(1), U(0))
+    before, after = np.zeros_like(key), np.zeros_like(key)
+    before[1:], after[:-1] = key[:-1], key[1:]
+    before[head], after[last] = 0, 0
+    return key, mix(before * MULTIPLY[0] + after * MULTIPLY[1]), first
 
 
 def steps(first: np.ndarray):
@@ -218,23 +238,66 @@ def _sample_rows(batches):
         for lo, hi in slices(text):
             lines = Lines(text[lo:hi])
             packed = np.packbits(lines.features, axis=1)
-            marks = lines.marks().astype(np.uint8)
+            keys, _, _ = line_keys(text[lo:hi])
             cut = list(zip(lines.first.tolist(), lines.first[1:].tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([packed[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([marks[a:b].tobytes() for a, b in cut], pa.binary())], names=["doc_id", "features", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("poor")[lo:hi], pa.array([packed[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary())], names=["doc_id", "poor", "features", "keys"])
+
+
+def _occurrences(wanted):
+    def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            text = batch.column("text")
+            for lo, hi in slices(text):
+                key, around, _ = line_keys(text[lo:hi])
+                slot = (key & U(FILTER_BITS - 1)).astype(np.int64)
+                some = np.flatnonzero((key > 0) & (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool))
+                pair, n = np.unique(np.stack([key[some], around[some]]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), pa.array(n)], names=["line", "around", "n"])
+
+    return run
+
 
+def shared_lines(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """Those of the sample's line keys that occur in many surroundings, counted over all of `docs` (column text)."""
+    spark, keys = docs.sparkSession, np.unique(keys[keys > 0])
+    bits = np.zeros(FILTER_BITS, bool)
+    bits[(keys & U(FILTER_BITS - 1)).astype(np.int64)] = True
+    wanted = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+    found = arrow_map(docs.select("text"), _occurrences(wanted), "line long, around long, n long").groupBy("line", "around").agg(F.sum("n").alias("n"))
+    often = found.groupBy("line").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where((F.col("places") >= SURROUNDINGS) & (2 * F.col("places") >= F.col("n")))
+    # the sample's own lines only, of which there is a bounded number of documents
+    own = spark.createDataFrame(pa.table({"line": pa.array(keys.view(np.int64))}))
+    got = often.join(own, "line", "left_semi").select("line").toArrow()
+    return got["line"].to_numpy().view(np.uint64)
 
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> LineField:
-    """Weights from about `sample` documents of at most SAMPLE_LENGTH bytes."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, SAMPLE_LENGTH))
-    count = text.count()
-    drawn = text.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < F.lit(1_000_003.0 * sample / max(count, 1)))
-    got = arrow_map(drawn, _sample_rows, "doc_id long, features binary, marks binary").toPandas().sort_values(["doc_id", "features"])
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE_DOCS) -> LineField:
+    """Weights from about `sample` documents that `labels` (doc_id, quality) marks; from any documents without `labels`.
+
+    Several labels of one document count as the least of them; null labels and ids do not count.  Where nothing is
+    labelled, all weights are 0 and every line is content.
+    """
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("octet_length(text) > 0")
+    if labels is None:
+        pool = text.withColumn("poor", F.lit(False))
+    else:
+        marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 0).alias("poor"))
+        pool = marked
+    count = pool.count()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(1_000_003.0 * sample / max(count, 1))
+    # about `sample` rows of an id and a flag: a bound that holds at every size
+    drawn = pool.where(draw) if labels is None else text.join(F.broadcast(pool.where(draw)), "doc_id")
+    got = arrow_map(drawn.select("doc_id", "poor", "text"), _sample_rows, "doc_id long, poor boolean, features binary, keys binary").toPandas().sort_values(["doc_id", "features", "keys"])
     if not len(got):
         return LineField()
-    size = K // 8
-    first = np.concatenate([[0], np.cumsum([len(x) for x in got["marks"]])])
-    features = np.unpackbits(np.frombuffer(b"".join(got["features"]), np.uint8).reshape(-1, size), axis=1).astype(bool)
-    return LineField().fit(features, first, np.frombuffer(b"".join(got["marks"]), np.uint8).astype(np.int64))
+    keys = np.frombuffer(b"".join(got["keys"]), np.uint64)
+    features = np.unpackbits(np.frombuffer(b"".join(got["features"]), np.uint8).reshape(-1, K // 8), axis=1).astype(bool)
+    size = np.array([len(x) // 8 for x in got["keys"]])
+    truth = np.repeat(got["poor"].to_numpy(bool), size) | np.isin(keys, shared_lines(text, keys))
+    first = np.concatenate([[0], np.cumsum(size)])
+    cuts = np.concatenate([np.arange(a, b, CHAIN_LINES) for a, b in zip(first[:-1].tolist(), first[1:].tolist())] + [first[-1:]])
+    return LineField().fit(features, cuts, truth.astype(np.int64))
 
 
 def _rule_rows(model, share: float):
@@ -258,12 +321,12 @@ def _rule_rows(model, share: float):
     return run
 
 
-def line_rules(docs: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
+def line_rules(docs: DataFrame, labels: DataFrame | None = None, share: float = CONTENT_SHARE) -> DataFrame:
     """Base counts, base_failed, kept and content_share for every row of `docs`.
 
-    Null and wordless texts have zero words, fail the base and are not kept; repeated rows and null ids
-    keep their rows; other columns are not read; an empty table gives an empty result.
+    Null and wordless texts have zero words, fail the base and are not kept; very long texts are labelled whole;
+    repeated rows and null ids keep their rows; other columns are not read; an empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return arrow_map(text, _rule_rows(model, share), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")
