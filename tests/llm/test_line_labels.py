@@ -18,7 +18,7 @@ def _texts():
         else:
             body = [line(30) + ".", line(25) + ".", line(3)]
         if i % 3 == 0:
-            body.insert(1, f"Shared notice no {i}")
+            body.insert(1, f"Shared notice no {i % 9}")
         out.append((i, "\n".join(body), int(i % 4 != 3)))
     copy = "\n".join([line(30), "inner line of a copy", line(30)])
     return out + [(200 + i, copy, 1) for i in range(30)]
