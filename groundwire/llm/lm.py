@@ -6,7 +6,8 @@ a forward recursion in log space.  Pieces start from the vocabulary's own scores
 maximisation on the words of all training documents, whose end is one more piece; piece sequences that
 end so have total probability 1.  Each training word is one more arc over its whole length, with its count less
 a discount D over all tokens; the discounts' sum is the weight of the segmentations into pieces.
-A document's score is the log10 probability of its words and end.
+A document's score is the log10 probability of its words and end; lattice_score is that of the segmentations into
+pieces alone, without whole-word arcs.
 
 Word counts follow the corpus, so they are never broadcast whole: a head of at most `HEAD` frequent words
 goes to every task, counts of the other words of each document are joined by word.
@@ -208,8 +209,8 @@ def fit(counts: DataFrame, documents: int, file: str, rounds: int = ROUNDS) -> t
     return pieces, np.log(p) + math.log1p(-end), math.log(end)
 
 
-def _score_rows(model, head, parts: tuple[float, float, float, float]):
-    discount, tokens, weight, end = parts
+def _score_rows(model, head, parts: tuple[float, float, float, float, float]):
+    discount, tokens, weight, end, piece_end = parts
 
     def run(batches):
         from pyspark import TaskContext
@@ -237,6 +238,7 @@ def _score_rows(model, head, parts: tuple[float, float, float, float]):
                 total = np.concatenate([total, np.where(c < 0, 0.0, np.logaddexp(whole, pieced) / math.log(10))])
                 of = words.text_of_word()
                 score = np.bincount(of, total[at], minlength=n) + end
+                pieces_alone = np.bincount(of, (value[at] - math.log(weight)) / math.log(10), minlength=n) + piece_end
                 c = count[at]
                 head_known = np.bincount(of, c >= 0, minlength=n)
                 # sum of log10(c + 1); the divisor is the same for all tokens
@@ -248,8 +250,8 @@ def _score_rows(model, head, parts: tuple[float, float, float, float]):
                 cut = np.searchsorted(pair, np.arange(n + 1, dtype=np.int64) << 32).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(tail, pa.binary()), pa.array(times.astype(np.int64)), pa.array(value[which])], names=["word", "times", "pieced"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(n)), batch.column("doc_id")[lo:hi], batch.column("held_out")[lo:hi], pa.array(words.count.astype(np.int64) + 1), pa.array(head_known.astype(np.int64)), pa.array(head_log), pa.array(score), lists],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail"],
+                    [pa.array(row + np.arange(n)), batch.column("doc_id")[lo:hi], batch.column("held_out")[lo:hi], pa.array(words.count.astype(np.int64) + 1), pa.array(head_known.astype(np.int64)), pa.array(head_log), pa.array(score), pa.array(pieces_alone), lists],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "lattice_score", "tail"],
                 )
                 row += n
 
@@ -270,11 +272,11 @@ def head_words(counts: DataFrame, most: int = HEAD) -> dict[bytes, int]:
 
 
 def score_documents(docs: DataFrame, file: str | None = None, mod: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for every row of `docs`.
 
-    Null and wordless texts are the end alone; null ids count as training documents; repeated rows count
-    each; without training documents the pieces keep the vocabulary's own scores and every c, N and V is 0;
-    an empty table gives an empty result.
+    Null and wordless texts are the end alone; null ids count as training documents; repeated rows count each; very
+    long texts and words have their whole cost; other columns are not read; without training documents the
+    pieces keep the vocabulary's own scores and every c, N and V is 0; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     file = file or tokenizer_file("piece_bpe_32k.model")
@@ -291,8 +293,8 @@ def score_documents(docs: DataFrame, file: str | None = None, mod: int = 7, held
     weight = discount * v / n if n else 1.0
     end = math.log10(max(documents - discount, 0) / max(n, 1) + weight * math.exp(fitted[2]))
     model, head = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(head_words(counts))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, tail array<struct<word: binary, times: long, pieced: double>>"
-    scored = saved(arrow_map(text, _score_rows(model, head, (discount, max(n, 1), weight, end)), schema), "scored")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, lattice_score double, tail array<struct<word: binary, times: long, pieced: double>>"
+    scored = saved(arrow_map(text, _score_rows(model, head, (discount, max(n, 1), weight, end, fitted[2] / math.log(10))), schema), "scored")
 
     # natural logs throughout: a long word's probability is below the least double
     whole = F.ln((F.col("n") - F.lit(discount)) / F.lit(float(max(n, 1))))
@@ -314,4 +316,5 @@ def score_documents(docs: DataFrame, file: str | None = None, mod: int = 7, held
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) + end_log - F.col("n_tokens") * divisor).alias("base_score"),
         (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
+        "lattice_score",
     )
