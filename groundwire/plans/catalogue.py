@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders, text
-from ..llm.common import ordered
 from ..operators import claims, extract, health, imports, notes, relations, routes
+from ..runtime import ordered
 from ..sources import aliases, files, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -4,7 +4,7 @@ import random
 
 
 def test_places(spark):
-    from groundwire.llm.common import ordered
+    from groundwire.runtime import ordered
 
     r = random.Random(6)
     rows = [(r.randrange(300), r.randrange(5)) for _ in range(4000)]
