@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwire import runtime
+from groundwire.runtime import fresh_path, ordered, saved  # noqa: F401
 
 #: Text bytes handled by one round of array work; bounds a worker's memory beside its longest text.
 SLICE_BYTES = 4 << 20
@@ -33,54 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    Where the setting is missing, as in tests, a local master gets a temporary folder that goes
-    at exit; a cluster without the setting is an error, because no local folder could serve.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="groundwire-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/groundwire/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ordered(df: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
-    """`df` with each row's place (from 1) in the order of `keys`.
-
-    The order is range-partitioned and written; a place is the row's number within its partition and the rows of
-    the partitions before, so that no task sees all rows.
-    """
-    spark = df.sparkSession
-    at = F.col("__at")
-    held = saved(df.orderBy(*keys).withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    held = held.withColumns({"__part": F.shiftright(at, 33), "__row": at.bitwiseAND(F.lit((1 << 33) - 1))})
-    # a row for each partition
-    before, offsets = 0, []
-    for part, n in sorted((r["__part"], r["count"]) for r in held.groupBy("__part").count().collect()):
-        offsets.append((part, before))
-        before += n
-    starts = spark.createDataFrame(offsets, "__part long, __before long")
-    return held.join(F.broadcast(starts), "__part").withColumn(place, F.col("__before") + F.col("__row") + 1).select(*df.columns, place)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each Spark context."""
     runtime.ship(spark)
