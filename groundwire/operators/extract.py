@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_Q, _N = "[\"'`]", "([A-Za-z_][A-Za-z0-9_]*)"
+_Q, _N = "[\"']", "([A-Za-z_][A-Za-z0-9_]*)"
 # Reads of an environment variable, first match in this order wins for a line and name.
 # Group 1 is the name; group 2, where there is one, is the read's own fallback.
 ENV_READS = (
@@ -30,7 +30,7 @@ ENV_READS = (
     rf"\$_ENV\[\s*{_Q}{_N}{_Q}\s*\]()",
 )
 # A read whose key is no literal; a comment line.
-DYNAMIC_READ = r"""(?:\bos\.environ\[|\bos\.environ\.get\(|\bos\.getenv\(|\bprocess\.env\[|\bENV\[|\bENV\.fetch\(|\bos\.Getenv\(|\bos\.LookupEnv\(|\benv::var\(|\bSystem\.getenv\(|\bDeno\.env\.get\()\s*(?!["'])\S"""
+DYNAMIC_READ = r"""(?:\bos\.environ\[|\bos\.environ\.get\(|\bos\.getenv\(|(?<![\w.])environ\[|(?<![\w.])getenv\(|\bprocess\.env\[|\bENV\[|\bENV\.fetch\(|\bos\.Getenv\(|\bos\.LookupEnv\(|\benv::var\(|\bSystem\.getenv\(|\bDeno\.env\.get\()\s*(?!["'])\S"""
 COMMENT = r"^\s*(#|//|\*|/\*|--)"
 # Imports of scripts.
 SCRIPT_IMPORTS = (r"""\bfrom\s+['"]([^'"]+)['"]""", r"""^\s*import\s+['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""", r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)""")

@@ -10,23 +10,25 @@ from .relations import union_all
 from .routes import resolved_routes
 
 
-def report(files: DataFrame) -> DataFrame:
+def report(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(name, ok, detail) of a tree (path, text): ok is null where a line only informs.
 
     Lines: files, environment declarations by source, dependency sources, routes.  An empty tree gives all lines.
     """
+    facts = python_facts(files).persist() if facts is None else facts
+
     def line(df, name, ok, detail):
         return df.select(F.lit(name).alias("name"), ok.alias("ok"), detail.alias("detail"))
 
     unread = F.count_if(F.col("text").isNull())
-    parsed = files.where("path like '%.py' and text is not null").select("path").join(python_facts(files).select("path").distinct().withColumn("has", F.lit(True)), "path", "left")
+    parsed = files.where("path like '%.py' and text is not null").select("path").join(facts.select("path").distinct().withColumn("has", F.lit(True)), "path", "left")
     held = files.agg(F.count("*").alias("n"), unread.alias("bad")).crossJoin(parsed.agg(F.count_if(F.col("has")).alias("facts")))  # one row each
-    by = declared_env(files).groupBy("source").agg(F.countDistinct("name").alias("n"))
+    by = declared_env(files, facts).groupBy("source").agg(F.countDistinct("name").alias("n"))
     env = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "source", "n"))), ", ").alias("by"))
-    where = declared_dists(files).select("file", "kind").distinct()
+    where = declared_dists(files).where("kind <> 'error'").select("file", "kind").distinct()
     listed = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("file")))), ", ")
     deps = where.agg(F.count("*").alias("n"), listed("lockfile").alias("locks"), listed("manifest").alias("manifests"))
-    routes = resolved_routes(files).agg(F.count_if(F.col("method") != "?").alias("n"), F.count_if(F.col("full").isNull()).alias("open"))
+    routes = resolved_routes(files, facts).agg(F.count_if(F.col("method") != "?").alias("n"), F.count_if(F.col("full").isNull()).alias("open"))
     return union_all([
         line(held, "files", F.col("n") > 0, F.format_string("%d files, %d unreadable, %d Python files with facts", "n", "bad", "facts")),
         line(env, "environment", F.col("n") > 0, F.format_string("%d names: %s", "n", "by")),

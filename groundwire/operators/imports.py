@@ -12,7 +12,16 @@ from ..functions.text import module_norm, top_level
 # Modules whose distribution has another name.
 ALIASES = (
     ("yaml", "pyyaml"), ("sklearn", "scikit_learn"), ("PIL", "pillow"), ("bs4", "beautifulsoup4"), ("dateutil", "python_dateutil"), ("psycopg2", "psycopg2_binary"),
-    ("cv2", "opencv_python"), ("cv2", "opencv_python_headless"), ("cv2", "opencv_contrib_python"), ("attr", "attrs"), ("msgpack", "msgpack_python"),
+    ("cv2", "opencv_python"), ("cv2", "opencv_python_headless"), ("cv2", "opencv_contrib_python"), ("attr", "attrs"), ("attrs", "attrs"), ("msgpack", "msgpack_python"), ("msgpack", "msgpack"),
+    ("dotenv", "python_dotenv"), ("google", "protobuf"), ("google", "google_api_core"), ("google", "google_auth"), ("google", "google_cloud_storage"), ("google", "googleapis_common_protos"),
+    ("jose", "python_jose"), ("jwt", "pyjwt"), ("rest_framework", "djangorestframework"), ("pkg_resources", "setuptools"), ("multipart", "python_multipart"), ("faker", "faker"), ("pymysql", "pymysql"),
+    ("MySQLdb", "mysqlclient"), ("Crypto", "pycryptodome"), ("Cryptodome", "pycryptodomex"), ("OpenSSL", "pyopenssl"), ("magic", "python_magic"), ("ruamel", "ruamel_yaml"), ("zope", "zope_interface"),
+    ("backports", "backports_zoneinfo"), ("git", "gitpython"), ("github", "pygithub"), ("gi", "pygobject"), ("wx", "wxpython"), ("serial", "pyserial"), ("usb", "pyusb"), ("docx", "python_docx"),
+    ("pptx", "python_pptx"), ("fitz", "pymupdf"), ("cairo", "pycairo"), ("Levenshtein", "python_levenshtein"), ("Levenshtein", "levenshtein"), ("slugify", "python_slugify"), ("markdown", "markdown"),
+    ("nacl", "pynacl"), ("snowflake", "snowflake_connector_python"), ("websocket", "websocket_client"), ("socks", "pysocks"), ("ldap", "python_ldap"), ("memcache", "python_memcached"), ("playhouse", "peewee"),
+    ("flask_sqlalchemy", "flask_sqlalchemy"), ("sqlalchemy", "sqlalchemy"), ("typing_extensions", "typing_extensions"), ("importlib_metadata", "importlib_metadata"), ("tree_sitter", "tree_sitter"),
+    ("mcp", "mcp"), ("pydantic_settings", "pydantic_settings"), ("azure", "azure_core"), ("azure", "azure_identity"), ("azure", "azure_storage_blob"), ("win32api", "pywin32"), ("win32con", "pywin32"),
+    ("pythoncom", "pywin32"), ("googleapiclient", "google_api_python_client"),
 )
 
 
@@ -72,6 +81,8 @@ def check_script_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
     c = claims.where("subject is not null").select("file", "subject", F.coalesce("optional", F.lit(False)).alias("optional")).groupBy("file", "subject").agg(F.max("optional").alias("optional"))
     top = F.when(F.col("subject").startswith("@"), F.coalesce(F.nullif(F.regexp_extract("subject", r"^(@[^/]+/[^/]+)", 1), F.lit("")), F.col("subject"))).otherwise(F.substring_index("subject", "/", 1))
     c = c.withColumns({"top": top, "head": F.substring_index("subject", "/", 1)})
+    broken = dists.where("kind = 'error'").isEmpty() is False
+    dists = dists.where("kind <> 'error'")
     names = dists.select(F.col("dist").alias("top")).distinct()
     s = c.select("subject", "head").distinct()
     starts = s.select("subject", F.explode(F.transform(F.sequence(F.lit(0), F.length("subject")), lambda i: F.left(F.col("subject"), i))).alias("key"))
@@ -96,7 +107,7 @@ def check_script_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
     rows = rows.join(lock_reach(c, dists), "file", "left").withColumn("none", F.lit(dists.isEmpty()))
     yes = lambda x: F.col(x).isNotNull()
     rungs = (
-        (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("builtin") | F.col("subject").startswith("node:"), "accept", "built in"), (F.col("none"), "unverifiable", "no manifest"), (yes("provided"), "accept", "provided"),
+        (F.lit(broken), "unverifiable", "a manifest cannot be read"), (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("builtin") | F.col("subject").startswith("node:"), "accept", "built in"), (F.col("none"), "unverifiable", "no manifest"), (yes("provided"), "accept", "provided"),
         (yes("own"), "accept", "workspace package"), (yes("alias"), "accept", "path alias"), (yes("framework"), "accept", "framework alias"), (yes("based"), "accept", "base folder"),
         (yes("in_tree") & ~F.col("top").startswith("@"), "review", "folder of the tree"), (yes("installed"), "review", "installed only"), (F.col("optional"), "review", "optional"),
         (yes("scope") & F.col("top").contains("/"), "review", "same scope"), (~F.coalesce("locked", F.lit(False)), "review", "no lockfile"),
@@ -108,14 +119,16 @@ def check_python_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
     """Claims (subject, optional, and file where known) with level and reason, first rung that holds.
 
     dists: dist, kind (manifest or lockfile), and file, of which the nearest to a claim's file counts; local, nested: name; installed: name, dist, of an environment that is
-    given as a table, since it differs by machine.  Without any manifest absence cannot be told: unverifiable.
+    given as a table, since it differs by machine.  Without any manifest, or with one that cannot be read (kind `error`),
+    absence cannot be told: unverifiable.
     A reject needs a lockfile; what only resembles a distribution, is optional or nested is reviewed.
     """
     spark = claims.sparkSession
     by_file = "file" in claims.columns and "file" in dists.columns
     kept = ["file", "subject"] if by_file else ["subject"]
     c = claims.select(*kept, "optional", top_level(F.col("subject")).alias("top")).distinct().withColumn("norm", module_norm(F.col("top")))
-    d = dists.select(module_norm(F.col("dist")).alias("norm"), "kind").distinct()
+    broken = dists.where("kind = 'error'").isEmpty() is False
+    d = dists.where("kind <> 'error'").select(module_norm(F.col("dist")).alias("norm"), "kind").distinct()
 
     def flag(df, key, name):
         return df.select(F.col(key)).distinct().withColumn(name, F.lit(True))
@@ -134,10 +147,10 @@ def check_python_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
     held = d.agg(F.count("*").alias("sources"), F.count_if(F.col("kind") == "lockfile").alias("locks")).first()  # two numbers
     rows = rows.withColumns({"sources": F.lit(held["sources"]), "locks": F.lit(held["locks"])})
     if by_file:
-        rows = rows.join(lock_reach(c, dists), "file", "left").withColumn("locks", F.coalesce(F.col("locked"), F.lit(False)).cast("long"))
+        rows = rows.join(lock_reach(c, dists.where("kind <> 'error'")), "file", "left").withColumn("locks", F.coalesce(F.col("locked"), F.lit(False)).cast("long"))
     yes = lambda x: F.col(x).isNotNull()
     rungs = (
-        (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("std"), "accept", "standard library"), (F.col("sources") == 0, "unverifiable", "no manifest"), (yes("own"), "accept", "own package"),
+        (F.lit(broken), "unverifiable", "a manifest cannot be read"), (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("std"), "accept", "standard library"), (F.col("sources") == 0, "unverifiable", "no manifest"), (yes("own"), "accept", "own package"),
         (yes("provided"), "accept", "provided"), (yes("alias"), "accept", "provided under another name"), (yes("env_locked"), "accept", "installed and listed"), (yes("env_only"), "review", "installed only"),
         (yes("related"), "review", "related"), (F.col("optional"), "review", "optional"), (yes("inner"), "review", "nested"), (F.col("locks") == 0, "review", "no lockfile"),
     )

@@ -60,13 +60,13 @@ def _chains(routers: DataFrame, edges: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def resolved_routes(files: DataFrame) -> DataFrame:
+def resolved_routes(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(method, full, tail, handler, dynamic, file): all routes of a tree (path, text).
 
     full: null if the prefix cannot be told, `?` stands for a computed part; tail: router's prefix and path.  An
     include that leads to no router of the tree gives one row of method `?`, which keeps absence from being proved.
     """
-    facts = python_facts(files)
+    facts = python_facts(files) if facts is None else facts
     routers = facts.where("tag = 'router'").select(F.col("path").alias("file"), F.col("name").alias("var"), F.col("value").alias("prefix"), F.col("extra").alias("kind"))
     routers = routers.groupBy("file", "var").agg(F.max("kind").alias("kind"), F.max("prefix").alias("prefix"))
     where = F.split("extra", " ", 2)
@@ -132,3 +132,52 @@ def check_route_claims(claims: DataFrame, routes: DataFrame) -> DataFrame:
     for test, grade, why in rungs[1:]:
         level, reason = level.when(test, grade), reason.when(test, why)
     return graded.select("subject", F.col("wanted").alias("handler"), level.otherwise("reject").alias("level"), reason.otherwise("absent").alias("reason"))
+
+
+def check_route_edges(facts: DataFrame, tree: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """(kind, subject, file, line, level, reason): routes and includes of code against what their files bind.
+
+    facts: `python_facts`; tree: path, of all files; added: file, lineno, of the lines to be judged (all without it).
+    Names lead one hop through imports into the tree's own modules; every lookup is an equi join.
+    """
+    edges = facts.where("tag in ('edge', 'include')").select(
+        F.when(F.col("tag") == "edge", "route_handler").otherwise("router_include").alias("kind"), F.when(F.col("tag") == "edge", F.col("name")).otherwise(F.col("value")).alias("subject"), F.col("path").alias("file"), "line",
+        F.col("value").alias("ref"), F.when(F.col("tag") == "edge", F.substring_index("extra", " ", 1)).otherwise("call").alias("style"), F.when(F.col("tag") == "edge", F.substring_index("extra", " ", -1)).alias("router"),
+    ).distinct()
+    if added is not None:
+        edges = edges.join(added.select("file", F.col("lineno").alias("line")).distinct(), ["file", "line"], "left_semi")
+    # of several bindings of a name the last one counts
+    bound = facts.where("tag = 'binding'").select(F.col("path").alias("at"), F.col("name").alias("bound"), F.col("value").alias("how"), F.col("extra").alias("target"), "line")
+    bound = bound.groupBy("at", "bound").agg(F.max_by(F.struct("how", "target"), F.struct("line", "how", "target")).alias("b")).select("at", "bound", "b.how", "b.target")
+    starred = bound.where("how = 'star'").select("at").distinct()
+    open_ = bound.where("bound = '__getattr__'").select("at").distinct()
+    indexed = facts.where("tag = 'parsed'").select(F.col("path").alias("at")).distinct()
+    name = F.when(F.col("style") == "decorator", F.col("router")).otherwise(F.substring_index("ref", ".", 1))
+    e = edges.withColumns({"name": name, "rest": F.when(F.col("ref").contains("."), F.regexp_replace("ref", r"^[^.]*\.", "")), "dynamic": ~F.col("ref").rlike(r"^[\w.]+$")})
+
+    def flag(df, key, name):
+        return df.select(F.col("at").alias(key)).withColumn(name, F.lit(True))
+
+    e = e.join(bound.withColumnsRenamed({"at": "file", "bound": "name"}), ["file", "name"], "left").join(flag(starred, "file", "star"), "file", "left")
+    module, member = F.substring_index("target", ":", 1), F.when(F.col("target").contains(":"), F.substring_index("target", ":", -1))
+    inner = F.concat(module, F.when(module.endswith("."), "").otherwise("."), member)
+    e = e.withColumns({"module": F.when(member.isNotNull() & F.col("rest").isNotNull(), inner).otherwise(module), "wanted": F.when(member.isNotNull() & F.col("rest").isNull(), member).otherwise(F.col("rest"))})
+    places = e.where("how = 'import'").select("file", "module").distinct().select("file", "module", F.posexplode(_module_paths(F.col("module"), F.col("file"))).alias("nth", "at"))
+    found = places.join(tree.select(F.col("path").alias("at")).distinct(), "at").groupBy("file", "module").agg(F.min_by("at", "nth").alias("home"))
+    e = e.join(found, ["file", "module"], "left").withColumn("head", F.substring_index("wanted", ".", 1))
+    there = bound.select(F.col("at").alias("home"), F.col("bound").alias("head"), F.lit(True).alias("has"))
+    e = e.join(there, ["home", "head"], "left").join(flag(starred, "home", "home_star"), "home", "left").join(flag(open_, "home", "home_open"), "home", "left").join(flag(indexed, "home", "home_known"), "home", "left")
+    yes, none = (lambda x: F.coalesce(F.col(x), F.lit(False))), F.col("how").isNull()
+    decorator, local = F.col("style") == "decorator", F.col("how").isin("def", "class", "assign")
+    rungs = (
+        (decorator & none & yes("star"), "review", "router may come from a star import"), (decorator & none, "reject", "router is not bound in this file"), (decorator, "accept", "defined by the decorator"),
+        (F.col("dynamic"), "review", "computed at runtime"), (none & yes("star"), "review", "may come from a star import"), (none, "reject", "not bound in this file"), (F.col("how") == "param", "accept", "parameter"),
+        (local & F.col("rest").isNull(), "accept", "bound in this file"), (local, "review", "attribute of a local object"), (F.col("how") == "star", "review", "may come from a star import"),
+        (F.col("wanted").isNull(), "review", "a module"), (F.col("home").isNull() & F.col("target").contains(":") & F.col("rest").isNotNull(), "review", "attribute of an imported object"), (F.col("home").isNull(), "review", "outside the tree"),
+        (~yes("home_known"), "unverifiable", "its module does not parse"), (yes("has") & F.col("wanted").contains("."), "review", "nested below a binding"), (yes("has"), "accept", "bound in its module"),
+        (yes("home_star"), "review", "its module has a star import"), (yes("home_open"), "review", "its module supplies names at runtime"),
+    )
+    level, reason = F.when(rungs[0][0], rungs[0][1]), F.when(rungs[0][0], rungs[0][2])
+    for test, grade, why in rungs[1:]:
+        level, reason = level.when(test, grade), reason.when(test, why)
+    return e.select("kind", "subject", "file", "line", level.otherwise("reject").alias("level"), reason.otherwise("its module does not bind it").alias("reason"), "name").distinct()

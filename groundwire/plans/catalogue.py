@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladders, text
-from ..operators import claims, extract, health, imports, notes, relations, routes
+from ..operators import change, claims, extract, health, imports, notes, relations, routes
 from ..runtime import ordered
 from ..sources import aliases, files, sample
+from . import composed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,11 +28,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | composed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | composed.SQL
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -411,7 +412,7 @@ def ev_mutation_tally(spark, sf_dir):
 # The queries below run on the inline tree; their SQL lists what must come out and guards against change only.
 
 
-@query("select * from (values ('.env.example', 'DATABASE_URL', 'dotenv'), ('.env.example', 'API_KEY', 'dotenv'), ('.env.example', 'REDIS_URL', 'dotenv'), ('.env.example', 'SMTP_HOST', 'dotenv'), ('Dockerfile', 'PORT', 'dockerfile'), ('Dockerfile', 'MODE', 'dockerfile'), ('docker-compose.yml', 'QUEUE_URL', 'compose'), ('docker-compose.yml', 'CACHE_URL', 'compose'), ('app/config.py', 'LOG_LEVEL', 'code_default')) v(file, name, source)")
+@query("select * from (values ('.env.example', 'DATABASE_URL', 'dotenv'), ('.env.example', 'API_KEY', 'dotenv'), ('.env.example', 'REDIS_URL', 'dotenv'), ('.env.example', 'SMTP_HOST', 'dotenv'), ('Dockerfile', 'WORKERS', 'dockerfile'), ('Dockerfile', 'STAGE', 'dockerfile'), ('docker-compose.yml', 'QUEUE_URL', 'compose'), ('docker-compose.yml', 'CACHE_URL', 'compose'), ('app/config.py', 'LOG_LEVEL', 'code_default')) v(file, name, source)")
 def fx_env_decls(spark, sf_dir):
     return files.declared_env(sample.tree(spark))
 
@@ -421,32 +422,24 @@ def fx_manifests(spark, sf_dir):
     return files.declared_dists(sample.tree(spark))
 
 
-@query("select * from (values ('GET', '/api/users/{user_id}', 'get_user', 'app/users.py'), ('POST', '/api/users', 'create_user', 'app/users.py'), ('GET', '/health', 'health', 'app/main.py')) v(method, \"full\", handler, file)")
+@query("select * from (values ('GET', '/api/users/{user_id}', 'get_user', 'app/users.py'), ('POST', '/api/users', 'create_user', 'app/users.py'), ('GET', '/health', 'health', 'app/main.py'), ('GET', '/', 'index', 'app/main.py'), ('GET', '/metrics', 'metrics', 'app/main.py'), ('HEAD', '/metrics', 'metrics', 'app/main.py'), ('POST', '/api/orders', 'create_order', 'app/orders.py'), ('GET', '/api/orders/{order_id}', 'get_order', 'app/orders.py')) v(method, \"full\", handler, file)")
 def fx_route_table(spark, sf_dir):
     return routes.route_table(sample.tree(spark))
 
 
-@query("select file, cast(lineno as bigint) as lineno, text from (values ('a.py', 2, 'two'), ('a.py', 3, 'four')) v(file, lineno, text)")
+@query("select file, cast(lineno as bigint) as lineno, text from (values ('a.py', 2, 'two'), ('a.py', 3, 'four'), ('new.py', 1, 'renamed')) v(file, lineno, text)")
 def fx_diff_regions(spark, sf_dir):
     return files.diff_regions(spark.createDataFrame([(sample.DIFF,)], "diff string"))
 
 
-@query("select * from (values ('env', 'DATABSE_URL', 'reject', 'DATABASE_URL'), ('import', 'requestz', 'reject', 'requests')) v(kind, subject, level, suggestion)")
+@query("select * from (values ('env_var', 'DATABSE_URL', 'DATABASE_URL'), ('import', 'requestz', 'requests'), ('route_handler', 'helth', 'health')) v(kind, ref, suggestion)")
 def fx_gate_broken(spark, sf_dir):
-    """Rejects of the tree with its broken file, each with its first suggestion."""
+    """Rejects of the tree with its broken file, one of each kind, each with its first suggestion."""
     tree = sample.tree(spark, broken=True)
-    facts, env, dists = files.python_facts(tree), files.declared_env(tree), files.declared_dists(tree)
-    reads = facts.where("tag = 'env'").select("name", (F.col("extra") == "dynamic").alias("dynamic"), (F.col("extra") == "default").alias("has_default")).distinct()
-    graded = relations.check_references(reads, env, "name", "file")
-    level = ladders.env_level(F.lit(True), F.col("dynamic"), F.col("declared_in").isNotNull(), files.is_ambient(F.col("name")), F.col("has_default"), F.lit(True))
-    bad_env = graded.select(F.lit("env").alias("kind"), F.col("name").alias("subject"), level.alias("level")).where("level = 'reject'")
-    local = tree.where("path like '%.py'").select(F.split("path", "/").getItem(0).alias("key"), F.lit("local").alias("src"))
-    known = dists.select(text.module_norm(F.col("dist")).alias("key"), F.col("file").alias("src")).unionByName(local).unionByName(spark.createDataFrame([("os", "stdlib"), ("yaml", "alias")], "key string, src string"))
-    imports = facts.where("tag = 'import'").select(F.col("name").alias("subject"), text.module_norm(text.top_level(F.col("name"))).alias("key")).distinct()
-    bad_import = relations.check_references(imports, known, "key", "src").where("declared_in is null").select(F.lit("import").alias("kind"), "subject", F.lit("reject").alias("level"))
-    hints = relations.did_you_mean(bad_env, env, "subject", "name").withColumn("kind", F.lit("env")).unionByName(relations.did_you_mean(bad_import, dists, "subject", "dist").withColumn("kind", F.lit("import")))
-    first = hints.where("rank = 1").select("kind", F.col("name").alias("subject"), F.col("candidate").alias("suggestion"))
-    return bad_env.unionByName(bad_import).join(first, ["kind", "subject"], "left")
+    held = change.Index(tree)
+    found = change.check_change(files.region_lines(tree.where("path like '%.py'")), tree, held).where("level = 'reject'")
+    first = change.suggestions(found, held).where("rank = 1").select("kind", "ref", F.col("candidate").alias("suggestion"))
+    return found.select("kind", "ref").join(first, ["kind", "ref"], "left")
 
 
 LINES = [
@@ -482,7 +475,7 @@ def ext_prose_claims(spark, sf_dir):
     return extract.prose_claims(t(spark, sf_dir, "documents"), "doc_id", "text").where("kind = 'import'")
 
 
-@query("select * from (values ('os.path', 'accept', 'standard library'), ('app.x', 'accept', 'own package'), ('requests', 'accept', 'provided'), ('yaml', 'accept', 'provided under another name'), ('lockd', 'accept', 'installed and listed'), ('loose', 'review', 'installed only'), ('uvicorn_extra', 'reject', 'absent'), ('dotenv', 'review', 'related'), ('maybe', 'review', 'optional'), ('inner', 'review', 'nested'), ('<dynamic>', 'review', 'dynamic'), ('requestz', 'reject', 'absent')) v(subject, level, reason)")
+@query("select * from (values ('os.path', 'accept', 'standard library'), ('app.x', 'accept', 'own package'), ('requests', 'accept', 'provided'), ('yaml', 'accept', 'provided under another name'), ('lockd', 'accept', 'installed and listed'), ('loose', 'review', 'installed only'), ('uvicorn_extra', 'reject', 'absent'), ('dotenv', 'accept', 'provided under another name'), ('maybe', 'review', 'optional'), ('inner', 'review', 'nested'), ('<dynamic>', 'review', 'dynamic'), ('requestz', 'reject', 'absent')) v(subject, level, reason)")
 def fx_import_findings(spark, sf_dir):
     claims = [(x, x == "maybe") for x in ("os.path", "app.x", "requests", "yaml", "lockd", "loose", "uvicorn_extra", "dotenv", "maybe", "inner", "<dynamic>", "requestz")]
     dists = [("requests", "lockfile"), ("PyYAML", "lockfile"), ("uvicorn", "manifest"), ("python-dotenv", "manifest"), ("locked-dist", "lockfile")]
@@ -590,6 +583,6 @@ def fn_mask_comments(spark, sf_dir):
     return bare.select("doc_id", F.replace(text.mask_comments(F.col("text"), "hash"), F.lit(" "), F.lit("")).alias("code"))
 
 
-@query("select name, ok, detail from (values ('files', true, '8 files, 0 unreadable, 3 Python files with facts'), ('environment', true, '9 names: code_default 1, compose 2, dockerfile 2, dotenv 4'), ('dependencies', true, 'lockfiles: requirements.txt; manifests: none'), ('routes', null, '3 routes, 0 unresolved')) v(name, ok, detail)")
+@query("select name, ok, detail from (values ('files', true, '12 files, 0 unreadable, 7 Python files with facts'), ('environment', true, '9 names: code_default 1, compose 2, dockerfile 2, dotenv 4'), ('dependencies', true, 'lockfiles: requirements.txt; manifests: none'), ('routes', null, '8 routes, 0 unresolved')) v(name, ok, detail)")
 def fx_health(spark, sf_dir):
     return health.report(sample.tree(spark))

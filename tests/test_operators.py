@@ -45,7 +45,7 @@ def test_diff_lines():
 
 def test_corrupt_manifests_declare_nothing():
     for name in ("package.json", "pyproject.toml", "setup.cfg", "Pipfile.lock", "package-lock.json"):
-        assert list(files.manifest_names(name, "{{{ [")) == []
+        assert [x[2:] for x in files.manifest_names(name, "{{{ [")] == [("", "error")]
     got = list(files.manifest_names("package-lock.json", '{"packages": {"": {}, "node_modules/@a/b": {}}, "dependencies": {"c": {"dependencies": {"d": {}}}}}'))
     assert [x[2] for x in got] == ["@a/b", "c", "d"]
 
