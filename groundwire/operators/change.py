@@ -107,10 +107,11 @@ def check_change(added: DataFrame, tree: DataFrame, index: Index | None = None)
     imported = named.join(graded, ["file", "subject"]).select(F.lit("import").alias("kind"), "subject", F.col("subject").alias("ref"), "file", "line", "level", "reason", F.lit("imports_lockfile").alias("oracle"), (F.col("subject") == "<dynamic>").alias("dynamic"))
 
     edge = F.col("tag").isin("edge", "include")
-    around = index.facts.where(~edge).unionByName(facts.where(edge))
-    edges = check_route_edges(around, tree).select("kind", "subject", F.col("name").alias("ref"), "file", "line", "level", "reason", F.lit("routes").alias("oracle"), F.lit(False).alias("dynamic"))
-
-    found = env.unionByName(imported).unionByName(edges)
+    found = env.unionByName(imported)
+    if not facts.where(edge).isEmpty():
+        around = index.facts.where(~edge).unionByName(facts.where(edge))
+        edges = check_route_edges(around, tree)
+        found = found.unionByName(edges.select("kind", "subject", F.col("name").alias("ref"), "file", "line", "level", "reason", F.lit("routes").alias("oracle"), F.lit(False).alias("dynamic")))
     return found.withColumn("level", ladders.capped(F.col("level"), ~F.col("dynamic") & ~in_docs(F.col("file")))).select(*FINDING).distinct()
 
 
