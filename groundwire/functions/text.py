@@ -79,6 +79,21 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
+def edited(text: Column, edits: Column) -> Column:
+    """A text after edits in order, an array of (old, new, all): the first occurrence of old is replaced, or all of them.
+
+    An empty or null old appends; an old that does not occur changes nothing.  Without a text the new parts are its lines.
+    """
+    def apply(now, e):
+        old, new = F.coalesce(e["old"], F.lit("")), F.coalesce(e["new"], F.lit(""))
+        at = F.position(old, now)
+        first = F.concat(F.substring(now, F.lit(1), at - 1), new, F.substring(now, at + F.length(old), F.length(now)))
+        return F.when(old == "", F.concat(now, new)).when(F.coalesce(e["all"], F.lit(False)), F.replace(now, old, new)).when(at > 0, first).otherwise(now)
+
+    fresh = F.array_join(F.transform(edits, lambda e: F.coalesce(e["new"], F.lit(""))), "\n")
+    return F.when(text.isNull(), fresh).otherwise(F.aggregate(edits, text, apply))
+
+
 # Strings in three quotes, line comments, block comments, and what lies between; an open string or block ends the text.
 _STRINGS = "|".join(rf"{q}[^{q}\\]*+(?:\\[\s\S]?[^{q}\\]*+)*+{q}?" for q in ("'", '"', "`"))
 _SPANS = {

@@ -109,7 +109,9 @@ def check_change(added: DataFrame, tree: DataFrame, index: Index | None = None)
     edge = F.col("tag").isin("edge", "include")
     found = env.unionByName(imported)
     if not facts.where(edge).isEmpty():
-        around = index.facts.where(~edge).unionByName(facts.where(edge))
+        # a file that the tree does not hold binds its names in the change itself
+        fresh = facts.where(~edge).join(index.facts.select("path").distinct(), "path", "left_anti").select(*facts.columns)
+        around = index.facts.where(~edge).unionByName(fresh).unionByName(facts.where(edge))
         edges = check_route_edges(around, tree)
         found = found.unionByName(edges.select("kind", "subject", F.col("name").alias("ref"), "file", "line", "level", "reason", F.lit("routes").alias("oracle"), F.lit(False).alias("dynamic")))
     return found.withColumn("level", ladders.capped(F.col("level"), ~F.col("dynamic") & ~in_docs(F.col("file")))).select(*FINDING).distinct()

@@ -91,3 +91,15 @@ def handoff(drafts: DataFrame, reports: DataFrame) -> DataFrame:
     same = F.coalesce(F.col("before") == F.col("after"), F.lit(False))
     action = F.when(~F.coalesce("anchors_valid", F.lit(False)), "refused").when(F.col("state").isNull(), "not_checked").when(~same, "changed").otherwise("stored")
     return rows.select("id", action.alias("action"), F.when(action == "stored", F.col("state")).alias("state"))
+
+
+def beside_notes(notes: DataFrame, handoffs: DataFrame, fingerprint: DataFrame) -> DataFrame:
+    """Notes (id, ...) with the checkpoint stored beside each (id, evidence, fingerprint), and current: whether the tree is still that one.
+
+    fingerprint: one row, the fingerprint of the tree as it is.  Notes without a checkpoint have nulls in both columns.
+    """
+    held = handoffs.select("id", "evidence", F.col("fingerprint").alias("then"))
+    now = fingerprint.select(F.col("fingerprint").alias("now"))  # one row
+    rows = notes.join(held, "id", "left").crossJoin(F.broadcast(now))
+    current = F.when(F.col("evidence").isNotNull(), F.col("then").eqNullSafe(F.col("now")))
+    return rows.select(*notes.columns, "evidence", current.alias("current"))

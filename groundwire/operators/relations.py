@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_tokens
+from ..runtime import ordered
 
 
 def check_references(claims: DataFrame, declared: DataFrame, name: str, source: str) -> DataFrame:
@@ -120,11 +121,16 @@ def page(df: DataFrame, order: str, size: int, offset: int) -> DataFrame:
 
 
 def interleave(left: DataFrame, right: DataFrame, order: str, name: str) -> DataFrame:
-    """Rows of both sides in turn: place, side, name."""
-    def side(df, k):
-        return df.select((F.row_number().over(Window.orderBy(order)) * 2 + k).alias("turn"), F.lit(k).alias("side"), F.col(name).alias("name"))
+    """Rows of both sides in turn: place, side, name.
 
-    return side(left, 0).union(side(right, 1)).select(F.row_number().over(Window.orderBy("turn")).cast("long").alias("place"), "side", "name")
+    A row's place follows from its place on its own side and the size of the other one, so that no task orders all rows.
+    """
+    def side(df, other, k):
+        n = other.agg(F.count("*").alias("others"))  # one row
+        own = ordered(df.select(F.col(order).alias("order"), F.col(name).alias("name")), ["order"], "nth").crossJoin(F.broadcast(n))
+        return own.select((F.col("nth") + F.least(F.col("nth") - 1 + k, F.col("others"))).cast("long").alias("place"), F.lit(k).alias("side"), "name")
+
+    return side(left, right, 0).union(side(right, left, 1))
 
 
 def hash_sample(df: DataFrame, group: str, key: str, seed: str, n: int) -> DataFrame:

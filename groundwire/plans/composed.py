@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anchors, change, claims, evidence, graph, imports, index
-from ..runtime import saved
-from ..sources import files
+from ..functions import text as texts
+from ..operators import anchors, change, claims, evidence, graph, imports, index, mutation, notes
+from ..runtime import ordered, saved
+from ..sources import files, stack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,21 +161,21 @@ def mem_check_anchors(spark, sf_dir):
 
 @query("select doc_id as id, case when doc_id % 3 = 0 then 'unverified' when doc_id % 3 = 1 then case when coalesce(quality, 1) = 1 then 'anchored' else 'stale' end else 'invalid' end as state from documents left join labels using (doc_id)")
 def mem_note_states(spark, sf_dir):
-    notes = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
-    made = notes.select("id", F.explode(F.when(F.col("id") % 3 == 1, F.array(F.lit("valid"), F.when(F.col("quality") == 0, "stale").otherwise("valid"))).when(F.col("id") % 3 == 2, F.array(F.lit("valid"), F.lit("invalid"))).otherwise(F.array().cast("array<string>"))).alias("state"))
-    return anchors.note_states(notes, made)
+    held = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+    made = held.select("id", F.explode(F.when(F.col("id") % 3 == 1, F.array(F.lit("valid"), F.when(F.col("quality") == 0, "stale").otherwise("valid"))).when(F.col("id") % 3 == 2, F.array(F.lit("valid"), F.lit("invalid"))).otherwise(F.array().cast("array<string>"))).alias("state"))
+    return anchors.note_states(held, made)
 
 
 @query("select doc_id as id, case when l.doc_id is not null then 'new' else 'old' end as title, doc_id * 2 as created from documents d left join labels l using (doc_id)")
 def mem_upsert(spark, sf_dir):
-    notes = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("old").alias("title"), (F.col("doc_id") * 2).alias("created"))
-    return anchors.upserted(notes, t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("new").alias("title"), F.lit(0).cast("long").alias("created")))
+    held = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("old").alias("title"), (F.col("doc_id") * 2).alias("created"))
+    return anchors.upserted(held, t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("new").alias("title"), F.lit(0).cast("long").alias("created")))
 
 
 @query("select 'note' as part, doc_id as id from documents where doc_id not in (select doc_id from labels) union all select 'handoff', doc_id from documents where doc_id % 2 = 0 and doc_id not in (select doc_id from labels)")
 def mem_forget(spark, sf_dir):
-    notes = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    left, beside = anchors.forget(notes, notes.where("id % 2 = 0").select(F.col("id").alias("note_id")), t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    held = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    left, beside = anchors.forget(held, held.where("id % 2 = 0").select(F.col("id").alias("note_id")), t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
     return left.select(F.lit("note").alias("part"), "id").unionByName(beside.select(F.lit("handoff").alias("part"), F.col("note_id").alias("id")))
 
 
@@ -300,3 +301,71 @@ def gr_around(spark, sf_dir):
     edges = saved(graph.context_edges(service_tree(spark, sf_dir)).where("relation = 'reads_env'"), "edges")
     near, _ = graph.around(edges, edges.agg(F.min("a").alias("node")), 2)
     return near.select("node", F.col("hop").cast("long").alias("hop"))
+
+
+FAR = "translate(md5(n_name), '0123456789', 'ghijklmnop')"
+FAR_SERVICES = f"(select 'svc/s' || s_suppkey || '.py' as file, n_regionkey as region from supplier join nation on s_nationkey = n_nationkey)"
+RUN = f"""
+select 'env_vars' as oracle, count(*) as n from {FAR_SERVICES} where region <> 4
+union all select 'imports_lockfile', count(*) from {FAR_SERVICES} where region <= 2
+union all select 'routes', count(*) from {FAR_SERVICES}"""
+
+
+def far_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module a supplier, whose names stand so far apart that no single slip makes one of another."""
+    nation = t(spark, sf_dir, "nation").withColumn("far", F.expr(FAR))
+
+    def listing(path, where, line):
+        return nation.where(where).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).select(F.lit(path).alias("path"), "text")
+
+    names = listing(".env.example", "n_regionkey <> 4", F.concat(F.upper("far"), F.lit("=")))
+    locks = listing("requirements.txt", "n_regionkey <= 2", F.concat(F.lit("lib"), "far", F.lit("==1.0")))
+    code = t(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = F.format_string(
+        'import os\nfrom lib%s import thing\n\n\ndef handle():\n    return os.environ["%s"], os.getenv("OTHER", "1")\n\n\ndef setup(app):\n    app.add_api_route(\n        "/handle",\n        handle,\n    )\n',
+        "far", F.upper("far"),
+    )
+    return names.unionByName(locks).unionByName(code.select(F.format_string("svc/s%d.py", "s_suppkey").alias("path"), text.alias("text")))
+
+
+@query(f"select oracle, least(n, 25) as total, least(n, 25) as detected, least(n, 25) as blocked, least(n, 25) as suggested, 0::bigint as misses from ({RUN}) where n > 0")
+def orc_mutation_run(spark, sf_dir):
+    """Accepted references misspelt, 25 an oracle, each checked in a copy of its file; every one is caught and put right."""
+    return mutation.tally(mutation.mutations(far_tree(spark, sf_dir), count=25))
+
+
+@query("""
+with e as (select doc_id, case when position('a' in text) > 0 then overlay_at(text) else text end as x from documents)
+select doc_id, sha256(replace(x, 'e', '33') || chr(10) || '# end') as edited_sha from e""".replace("overlay_at(text)", "substr(text, 1, position('a' in text) - 1) || '[A]' || substr(text, position('a' in text) + 1)"))
+def fn_edited_documents(spark, sf_dir):
+    """Four edits of every document in order: the first a, every e, nothing that occurs, and a line at the end."""
+    edits = F.array(*(F.struct(F.lit(old).alias("old"), F.lit(new).alias("new"), F.lit(every).alias("all")) for old, new, every in (("a", "[A]", False), ("e", "33", True), ("\0none\0", "x", False), ("", "\n# end", False))))
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(texts.edited(F.col("text"), edits), 256).alias("edited_sha"))
+
+
+@query("""
+select p_partkey, tag from part, lateral (values
+    (p_size % 5 <> 0, 'python'), (p_size % 5 = 1, 'fastapi'), (p_size % 5 = 2, 'django'), (p_size % 4 = 0, 'node'), (p_size % 4 = 0, 'nextjs'), (p_size % 3 = 0, 'go')) v(has, tag) where has""")
+def src_detect_stack(spark, sf_dir):
+    """A small tree for each part: languages and frameworks at its root; names within longer words and files below do not count."""
+    size = F.col("p_size")
+    listed = F.when(size % 5 == 1, "FastAPI[all]==1\n").when(size % 5 == 2, "django>=4\nroutes_fastapi\n").when(size % 5 != 0, "flask-cors\n")
+    file = lambda path, text: F.when(text.isNotNull(), F.struct(F.lit(path).alias("path"), text.alias("text")))
+    there = F.array(file("requirements.txt", listed), file("package.json", F.when(size % 4 == 0, '{"dependencies": {"next": "1", "express-x": "1"}}')), file("go.mod", F.when(size % 3 == 0, "module x")), file("sub/Cargo.toml", F.lit("")))
+    tree = t(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(there, lambda x: x.isNotNull())).alias("f")).select("p_partkey", "f.*")
+    return stack.detect_stack(tree, ["p_partkey"])
+
+
+@query("select doc_id as id, lang, 'seen ' || quality as evidence, case when quality is not null then quality = 1 end as current from documents left join labels using (doc_id)")
+def mem_beside_notes(spark, sf_dir):
+    held = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    handoffs = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("seen "), "quality").alias("evidence"), F.col("quality").cast("string").alias("fingerprint"))
+    return notes.beside_notes(held, handoffs, spark.createDataFrame([("1",)], "fingerprint string"))
+
+
+@query("select row_number() over (order by array_position(['reject', 'review', 'accept'], level), file collate c, line, kind, ref, oracle) as place, file, line, kind, ref, level from (FINDINGS)".replace(" collate c", "").replace("FINDINGS", FINDINGS))
+def win_gate_order(spark, sf_dir):
+    """All findings of a change in one order: worst level first, then by file, line, kind, name and oracle."""
+    worst = F.array_position(F.array(F.lit("reject"), F.lit("review"), F.lit("accept")), F.col("level"))
+    rows = ordered(gate_change(spark, sf_dir).withColumn("worst", worst), ["worst", "file", "line", "kind", "ref", "oracle"])
+    return rows.select("place", "file", "line", "kind", "ref", "level")
