@@ -69,7 +69,7 @@ def candidates(lines: DataFrame, tree: DataFrame, index: Index) -> DataFrame:
     """(oracle, kind, file, line, name): accepted references whose misspelling would break something.
 
     Left out are reads with a fallback, optional imports, modules that come under another name or within a longer path,
-    and routes that a decorator defines.
+    routes that a decorator defines, and handlers and routers that are parts of another object.
     """
     good = saved(check_change(lines, tree, index).where("level = 'accept'"), "accepted")
     fallback = index.facts.where("tag = 'env' and extra = 'default'").select(F.col("path").alias("file"), "line", F.col("name").alias("ref"))
@@ -77,7 +77,8 @@ def candidates(lines: DataFrame, tree: DataFrame, index: Index) -> DataFrame:
     optional = index.facts.where("tag = 'import' and extra = 'optional'").select(F.col("path").alias("file"), F.col("name").alias("ref"))
     env = good.where("oracle = 'env_vars' and reason = 'declared'").join(fallback.distinct(), ["file", "line", "ref"], "left_anti").withColumn("name", F.col("ref"))
     imported = good.where("oracle = 'imports_lockfile' and reason = 'provided'").join(optional.distinct(), ["file", "ref"], "left_anti").withColumn("name", F.when(F.col("ref").startswith("@") | F.col("ref").contains("/"), None).otherwise(top_level(F.col("ref"))))
-    routed = good.where("oracle = 'routes' and reason in ('bound in this file', 'bound in its module')").withColumn("name", F.col("ref"))
+    dotted = index.facts.where("tag in ('edge', 'include') and value like '%.%'").select(F.col("path").alias("file"), "line", F.substring_index("value", ".", 1).alias("ref"))
+    routed = good.where("oracle = 'routes' and reason in ('bound in this file', 'bound in its module')").join(dotted.distinct(), ["file", "line", "ref"], "left_anti").withColumn("name", F.col("ref"))
     columns = ["oracle", "kind", "file", "line", "name"]
     rows = env.select(*columns).unionByName(imported.select(*columns)).unionByName(routed.select(*columns))
     return rows.where(F.col("name").rlike(IDENTIFIER) | ((F.col("oracle") == "imports_lockfile") & F.col("name").rlike(PACKAGE))).dropDuplicates(["oracle", "file", "line", "name"])

@@ -473,9 +473,20 @@ def fx_prose_claims(spark, sf_dir):
     return extract.prose_claims(spark.createDataFrame(notes, "i long, x string"), "i", "x")
 
 
-@query(f"with c as ({PROSE_SQL}) select doc_id, 'import' as kind, name as subject from c union select doc_id, 'import', regexp_replace(x, '`', '', 'g') from documents d, unnest(regexp_extract_all(d.text, '`[a-z][a-z0-9_]{{2,}}`')) u(x)")
+FOUND_SQL = "select d.doc_id, '{kind}', {value} from documents d, unnest(regexp_extract_all(d.text, '{pattern}', {group})) u(x)"
+
+
+@query(
+    f"with c as ({PROSE_SQL}) select doc_id, 'import' as kind, name as subject from c union "
+    + " union ".join((
+        FOUND_SQL.format(kind="import", value="x", pattern="`([a-z][a-z0-9_]{2,})`", group=1),
+        FOUND_SQL.format(kind="env", value="x", pattern=r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b", group=1) + " where length(x) >= 4",
+        FOUND_SQL.format(kind="route", value=r"regexp_replace(x, '\s+', ' ')", pattern=r"\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/[\w./{}\-:]*", group=0),
+        FOUND_SQL.format(kind="file", value="regexp_replace(x, '[.,;:)]+$', '')", pattern=r"(?:^|[^\w/])((?:[\w.\-]+/)+[\w.\-]+\.[A-Za-z0-9]{1,8})", group=1),
+    ))
+)
 def ext_prose_claims(spark, sf_dir):
-    return extract.prose_claims(t(spark, sf_dir, "documents"), "doc_id", "text").where("kind = 'import'")
+    return extract.prose_claims(t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("select * from (values ('os.path', 'accept', 'standard library'), ('app.x', 'accept', 'own package'), ('requests', 'accept', 'provided'), ('yaml', 'accept', 'provided under another name'), ('lockd', 'accept', 'installed and listed'), ('loose', 'review', 'installed only'), ('uvicorn_extra', 'reject', 'absent'), ('dotenv', 'accept', 'provided under another name'), ('maybe', 'review', 'optional'), ('inner', 'review', 'nested'), ('<dynamic>', 'review', 'dynamic'), ('requestz', 'reject', 'absent')) v(subject, level, reason)")
