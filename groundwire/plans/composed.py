@@ -369,3 +369,12 @@ def win_gate_order(spark, sf_dir):
     worst = F.array_position(F.array(F.lit("reject"), F.lit("review"), F.lit("accept")), F.col("level"))
     rows = ordered(gate_change(spark, sf_dir).withColumn("worst", worst), ["worst", "file", "line", "kind", "ref", "oracle"])
     return rows.select("place", "file", "line", "kind", "ref", "level")
+
+
+@query("select p_partkey, case when p_size % 3 = 0 then 'conf/names' when p_size % 2 = 0 then '.env.sample' when p_size % 5 = 0 then 'env.example' else '.env.example' end as file from part")
+def src_where_to_declare(spark, sf_dir):
+    """A small tree for each part, with some of the files that may declare names; one configured, one below the root."""
+    size = F.col("p_size")
+    there = F.array(F.lit("sub/.env.example"), F.when(size % 5 == 0, "env.example"), F.when(size % 2 == 0, ".env.sample"), F.when(size % 3 == 0, "conf/names"))
+    tree = t(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(there, lambda x: x.isNotNull())).alias("path"))
+    return files.where_to_declare(tree, ("p_partkey",), ("conf/names",))

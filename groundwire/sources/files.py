@@ -121,6 +121,17 @@ def declared_env(files: DataFrame, facts: DataFrame | None = None, configured: t
     return dotenv.unionByName(docker).unionByName(compose).unionByName(scripts).unionByName(code).where("name <> ''").distinct()
 
 
+def where_to_declare(files: DataFrame, by: tuple[str, ...] = (), configured: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, file): where a missing name of the environment belongs, for a tree or for each one that `by` tells apart.
+
+    The first of the configured files, then of the usual ones, that stands at the root; without any, `.env.example`.
+    """
+    names = F.array(*map(F.lit, (*configured, *DOTENV_NAMES)))
+    nth = F.array_position(names, F.col("path"))
+    first = files.groupBy(*by).agg(F.min_by("path", F.when(nth > 0, nth)).alias("file"))
+    return first.select(*by, F.coalesce("file", F.lit(".env.example")).alias("file"))
+
+
 def _requirement(line: str) -> str | None:
     line = line.split("#egg=")[-1] if "#egg=" in line else line.split(" #")[0]
     found = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)", line)
