@@ -67,7 +67,13 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_hnsw, op4_wavelet_tokens, op5_near_dup, op6_line_rules, op7_pack, op8_token_counts, op9_prefix_bpe, op10_lattice_lm)}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_hnsw, op4_wavelet_tokens, op5_near_dup, op6_line_rules, op7_pack, op8_token_counts, op9_prefix_bpe, op10_lattice_lm, op13_simhash)}
 
 #: Words as the contracts have them; lower() would fold more than A-Z.
 _WORDS = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
