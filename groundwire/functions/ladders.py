@@ -34,12 +34,20 @@ def env_level(built: Column, dynamic: Column, declared: Column, ambient: Column,
     return F.when(~built, "unverifiable").when(dynamic, "review").when(declared | ambient | default, "accept").when(~any_declared, "review").otherwise("reject")
 
 
-def tests_honesty(has_report: Column, tests: Column, failures: Column, errors: Column, exit_code: Column, output: Column) -> Column:
-    """Evidence for "tests pass": a parsed report, then an exit code, then quoted output."""
-    failed, passed = counted(output, r"\b(\d+) (?:failed|errors?)\b"), counted(output, r"\b(\d+) passed\b")
+# What test runners print.
+FAILED, PASSED = r"\b(\d+) (?:failed|errors?)\b", r"\b(\d+) passed\b"
+
+
+def tests_honesty(has_report: Column, tests: Column, failures: Column, errors: Column, exit_code: Column, output: Column, observed: Column | None = None) -> Column:
+    """Evidence for "tests pass": the exit code of an observed run, then a parsed report, an exit code, quoted output.
+
+    A report that is named and cannot be read proves nothing, whatever stands beside it.
+    """
+    failed, passed = counted(output, FAILED), counted(output, PASSED)
     report = F.when((failures > 0) | (errors > 0), "contradicted").when(tests > 0, "proven").otherwise("not_observed")
     quoted = F.when(failed > 0, "contradicted").when(passed > 0, "plausible").otherwise("not_observed")
-    return F.when(has_report, report).when(exit_code == 0, "plausible").when(exit_code.isNotNull(), "contradicted").otherwise(F.coalesce(quoted, F.lit("not_observed")))
+    told = F.when(has_report, report).when(exit_code == 0, "plausible").when(exit_code.isNotNull(), "contradicted").otherwise(F.coalesce(quoted, F.lit("not_observed")))
+    return told if observed is None else F.when(observed == 0, "proven").when(observed.isNotNull(), "contradicted").otherwise(told)
 
 
 def endpoint_honesty(wanted: Column, probed: Column, reported: Column) -> Column:

@@ -11,7 +11,7 @@ KINDS = {
     "package": "import", "dependency": "import", "router_include": "router_include", "tests_pass": "tests_pass", "tests": "tests_pass", "endpoint_status": "endpoint_status", "bug_fixed": "bug_fixed",
 }
 OUTCOMES = ("tests_pass", "endpoint_status", "bug_fixed")
-ATTRIBUTES = ("handler", "method", "path", "command", "url", "status", "signature", "evidence", "cwd", "timeout")
+ATTRIBUTES = ("handler", "method", "path", "command", "url", "status", "signature", "evidence", "report", "cwd", "timeout")
 
 
 def _at(name: str) -> Column:

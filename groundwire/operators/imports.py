@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import module_norm, top_level
+from ..sources.projects import folder, parents
 
 # Modules whose distribution has another name.
 ALIASES = (
@@ -41,17 +42,6 @@ FRAMEWORK_PREFIXES = (
 SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".vue", ".svelte", ".json")
 
 
-def folder(path: Column) -> Column:
-    """The folder of a path, empty at the root."""
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-
-
-def parents(path: Column) -> Column:
-    """All folders around a path, the root as an empty name."""
-    dirs = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(dirs) - 1), lambda i: F.array_join(F.slice(dirs, F.lit(1), i), "/"))
-
-
 def lock_reach(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """(file, locked): whether the nearest folder around a file that has a source also has a lockfile.
 
@@ -62,6 +52,12 @@ def lock_reach(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return around.join(held, "dir", "left").groupBy("file").agg(F.coalesce(F.max_by("lock", F.when(F.col("lock").isNotNull(), F.length("dir"))), F.lit(False)).alias("locked"))
 
 
+def _state(dists: DataFrame) -> DataFrame:
+    """One row: broken, sources, locks: whether a manifest cannot be read, what is listed, and how much of it by lockfiles."""
+    bad = F.col("kind") == "error"
+    return dists.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("broken"), F.count_if(~bad).alias("sources"), F.count_if(F.col("kind") == "lockfile").alias("locks"))
+
+
 def _graded(rungs, last: tuple[str, str]) -> tuple[Column, Column]:
     """Level and reason of the first rung that holds."""
     level, reason = F.when(rungs[0][0], rungs[0][1]), F.when(rungs[0][0], rungs[0][2])
@@ -81,7 +77,7 @@ def check_script_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
     c = claims.where("subject is not null").select("file", "subject", F.coalesce("optional", F.lit(False)).alias("optional")).groupBy("file", "subject").agg(F.max("optional").alias("optional"))
     top = F.when(F.col("subject").startswith("@"), F.coalesce(F.nullif(F.regexp_extract("subject", r"^(@[^/]+/[^/]+)", 1), F.lit("")), F.col("subject"))).otherwise(F.substring_index("subject", "/", 1))
     c = c.withColumns({"top": top, "head": F.substring_index("subject", "/", 1)})
-    broken = dists.where("kind = 'error'").isEmpty() is False
+    state = _state(dists)
     dists = dists.where("kind <> 'error'")
     names = dists.select(F.col("dist").alias("top")).distinct()
     s = c.select("subject", "head").distinct()
@@ -104,10 +100,10 @@ def check_script_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
         (starts.join(framework, "key", "left_semi").select("subject"), "subject", "framework"), (based, "head", "based"), (dirs, "head", "in_tree"), (modules.select(F.col("name").alias("top")), "top", "installed"), (scopes, "head", "scope"),
     ):
         rows = rows.join(table.distinct().withColumn(name, F.lit(True)), key, "left")
-    rows = rows.join(lock_reach(c, dists), "file", "left").withColumn("none", F.lit(dists.isEmpty()))
+    rows = rows.join(lock_reach(c, dists), "file", "left").crossJoin(F.broadcast(state))
     yes = lambda x: F.col(x).isNotNull()
     rungs = (
-        (F.lit(broken), "unverifiable", "a manifest cannot be read"), (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("builtin") | F.col("subject").startswith("node:"), "accept", "built in"), (F.col("none"), "unverifiable", "no manifest"), (yes("provided"), "accept", "provided"),
+        (F.col("broken"), "unverifiable", "a manifest cannot be read"), (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("builtin") | F.col("subject").startswith("node:"), "accept", "built in"), (F.col("sources") == 0, "unverifiable", "no manifest"), (yes("provided"), "accept", "provided"),
         (yes("own"), "accept", "workspace package"), (yes("alias"), "accept", "path alias"), (yes("framework"), "accept", "framework alias"), (yes("based"), "accept", "base folder"),
         (yes("in_tree") & ~F.col("top").startswith("@"), "review", "folder of the tree"), (yes("installed"), "review", "installed only"), (F.col("optional"), "review", "optional"),
         (yes("scope") & F.col("top").contains("/"), "review", "same scope"), (~F.coalesce("locked", F.lit(False)), "review", "no lockfile"),
@@ -127,7 +123,6 @@ def check_python_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
     by_file = "file" in claims.columns and "file" in dists.columns
     kept = ["file", "subject"] if by_file else ["subject"]
     c = claims.select(*kept, "optional", top_level(F.col("subject")).alias("top")).distinct().withColumn("norm", module_norm(F.col("top")))
-    broken = dists.where("kind = 'error'").isEmpty() is False
     d = dists.where("kind <> 'error'").select(module_norm(F.col("dist")).alias("norm"), "kind").distinct()
 
     def flag(df, key, name):
@@ -144,13 +139,12 @@ def check_python_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
         (here.join(d, "norm", "left_semi"), "top", "env_locked"), (here, "top", "env_only"), (parts.unionByName(affixed), "norm", "related"), (nested.select(F.col("name").alias("top")), "top", "inner"),
     ):
         rows = rows.join(flag(table, key, name), key, "left")
-    held = d.agg(F.count("*").alias("sources"), F.count_if(F.col("kind") == "lockfile").alias("locks")).first()  # two numbers
-    rows = rows.withColumns({"sources": F.lit(held["sources"]), "locks": F.lit(held["locks"])})
+    rows = rows.crossJoin(F.broadcast(_state(dists)))
     if by_file:
         rows = rows.join(lock_reach(c, dists.where("kind <> 'error'")), "file", "left").withColumn("locks", F.coalesce(F.col("locked"), F.lit(False)).cast("long"))
     yes = lambda x: F.col(x).isNotNull()
     rungs = (
-        (F.lit(broken), "unverifiable", "a manifest cannot be read"), (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("std"), "accept", "standard library"), (F.col("sources") == 0, "unverifiable", "no manifest"), (yes("own"), "accept", "own package"),
+        (F.col("broken"), "unverifiable", "a manifest cannot be read"), (F.col("subject") == "<dynamic>", "review", "dynamic"), (yes("std"), "accept", "standard library"), (F.col("sources") == 0, "unverifiable", "no manifest"), (yes("own"), "accept", "own package"),
         (yes("provided"), "accept", "provided"), (yes("alias"), "accept", "provided under another name"), (yes("env_locked"), "accept", "installed and listed"), (yes("env_only"), "review", "installed only"),
         (yes("related"), "review", "related"), (F.col("optional"), "review", "optional"), (yes("inner"), "review", "nested"), (F.col("locks") == 0, "review", "no lockfile"),
     )

@@ -17,29 +17,43 @@ def check_references(claims: DataFrame, declared: DataFrame, name: str, source:
     return claims.join(first, name, "left")
 
 
-def did_you_mean(names: DataFrame, candidates: DataFrame, name: str, candidate: str, limit: int = 3) -> DataFrame:
+def did_you_mean(names: DataFrame, candidates: DataFrame, name: str, candidate: str, limit: int = 3, within: list[str] | None = None) -> DataFrame:
     """Up to `limit` candidates for each distinct name, ranked by (distance - shared tokens, distance, candidate).
 
     A candidate counts within 3 edits (4 from 16 letters on) or with two shared tokens, or all of either side's.
-    Pairs come from equi joins, not from a cross join: on shared tokens, and on signatures of deletions, of which
-    two names within four edits share one (each name loses up to four letters only in its length class, so
-    lengths further apart never meet).
+    Pairs come from equi joins, not from a cross join: on whole token sets of one token, on pairs of tokens, on the token
+    that is all of one side, and on pieces, of which two names within four edits share one.  within: columns of both
+    sides that must be equal, such as the pool that a name may be taken from.
     """
-    n = names.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct().withColumn("name_tokens", name_tokens(F.col("name")))
-    c = candidates.select(F.col(candidate).alias("candidate")).where(F.col(candidate).isNotNull()).distinct().withColumn("cand_tokens", name_tokens(F.col("candidate")))
+    by = within or []
+    n = names.select(*by, F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct().withColumn("name_tokens", F.array_sort(name_tokens(F.col("name"))))
+    c = candidates.select(*by, F.col(candidate).alias("candidate")).where(F.col(candidate).isNotNull()).distinct().withColumn("cand_tokens", F.array_sort(name_tokens(F.col("candidate"))))
     cap = F.when(F.length("name") >= 16, 4).otherwise(3)
-    by_token = n.select("name", F.explode("name_tokens").alias("key")).join(c.select("candidate", F.explode("cand_tokens").alias("key")), "key").select("name", "candidate")
-    by_piece = _pieces(n, "name", True).join(_pieces(c, "candidate", False), ["size", "place", "key"]).select("name", "candidate")
-    pairs = by_token.union(by_piece).distinct().join(n, "name").join(c, "candidate").where(F.col("name") != F.col("candidate"))
+
+    def twos(tokens):
+        return F.flatten(F.transform(tokens, lambda a: F.transform(F.filter(tokens, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
+
+    def keyed(df, who, keys):
+        return df.select(*by, who, F.explode(keys).alias("key"))
+
+    # two shared tokens; or one side has one token only, and the other has it too
+    pairs = keyed(n, "name", twos(F.col("name_tokens"))).join(keyed(c, "candidate", twos(F.col("cand_tokens"))), [*by, "key"]).select(*by, "name", "candidate")
+    for one, other in ((n, c), (c, n)):
+        who, them = ("name", "candidate") if one is n else ("candidate", "name")
+        single = one.where(F.size(f"{who[:4]}_tokens") == 1).select(*by, who, F.col(f"{who[:4]}_tokens")[0].alias("key"))
+        pairs = pairs.unionByName(single.join(other.select(*by, them, F.explode(f"{them[:4]}_tokens").alias("key")), [*by, "key"]).select(*by, "name", "candidate"))
+    pairs = pairs.unionByName(_pieces(n, "name", True, by=by).join(_pieces(c, "candidate", False, by=by), [*by, "size", "place", "key"]).select(*by, "name", "candidate"))
+    pairs = pairs.distinct().where(F.col("name") != F.col("candidate"))
+    pairs = pairs.withColumns({"name_tokens": name_tokens(F.col("name")), "cand_tokens": name_tokens(F.col("candidate"))})
     distance = F.least(F.levenshtein(F.lower("name"), F.lower("candidate")), cap + 1)
     overlap = F.size(F.array_intersect("name_tokens", "cand_tokens"))
-    scored = pairs.select("name", "candidate", distance.alias("d"), overlap.alias("o"), cap.alias("cap"), F.size("name_tokens").alias("nt"), F.size("cand_tokens").alias("ct"))
+    scored = pairs.select(*by, "name", "candidate", distance.alias("d"), overlap.alias("o"), cap.alias("cap"), F.size("name_tokens").alias("nt"), F.size("cand_tokens").alias("ct"))
     near = scored.where((F.col("d") <= F.col("cap")) | (F.col("o") >= 2) | ((F.col("nt") > 0) & (F.col("o") == F.col("nt"))) | ((F.col("ct") > 0) & (F.col("o") == F.col("ct"))))
-    best = Window.partitionBy("name").orderBy(F.col("d") - F.col("o"), "d", "candidate")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("name", "rank", "candidate", F.col("d").alias("distance"), F.col("o").alias("overlap"))
+    best = Window.partitionBy(*by, "name").orderBy(F.col("d") - F.col("o"), "d", "candidate")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(*by, "name", "rank", "candidate", F.col("d").alias("distance"), F.col("o").alias("overlap"))
 
 
-def _pieces(df: DataFrame, column: str, probe: bool, edits: int = 4) -> DataFrame:
+def _pieces(df: DataFrame, column: str, probe: bool, edits: int = 4, by: list[str] = ()) -> DataFrame:
     """Pigeonhole pieces: a name cut in edits + 1 parts keeps one part whole under that many edits.
 
     A candidate of length L gives its parts; a name looks for each part at places moved by up to `edits`,
@@ -49,12 +63,12 @@ def _pieces(df: DataFrame, column: str, probe: bool, edits: int = 4) -> DataFram
     parts = edits + 1
     if not probe:
         cut = F.expr(f"transform(sequence(0, {edits}), i -> struct(i as place, substring(lower({column}), 1 + (i * length({column})) div {parts}, ((i + 1) * length({column})) div {parts} - (i * length({column})) div {parts}) as key))")
-        return df.select(column, F.length(low).alias("size"), F.explode(cut).alias("x")).select(column, "size", F.col("x.place").alias("place"), F.col("x.key").alias("key"))
+        return df.select(*by, column, F.length(low).alias("size"), F.explode(cut).alias("x")).select(*by, column, "size", F.col("x.place").alias("place"), F.col("x.key").alias("key"))
     sizes = F.expr(f"sequence(greatest(0, length({column}) - {edits}), length({column}) + {edits})")
-    rows = df.select(column, F.explode(sizes).alias("size")).select(column, "size", F.explode(F.expr(f"sequence(0, {edits})")).alias("place"))
+    rows = df.select(*by, column, F.explode(sizes).alias("size")).select(*by, column, "size", F.explode(F.expr(f"sequence(0, {edits})")).alias("place"))
     begin, width = f"(place * size) div {parts}", f"((place + 1) * size) div {parts} - (place * size) div {parts}"
     moved = F.explode(F.expr(f"filter(sequence({begin} - {edits}, {begin} + {edits}), p -> p >= 0 and p + {width} <= length({column}))")).alias("p")
-    return rows.select(column, "size", "place", moved).select(column, "size", "place", F.expr(f"substring(lower({column}), p + 1, cast({width} as int))").alias("key")).distinct()
+    return rows.select(*by, column, "size", "place", moved).select(*by, column, "size", "place", F.expr(f"substring(lower({column}), p + 1, cast({width} as int))").alias("key")).distinct()
 
 
 def latest_ops(changes: DataFrame, since: int, limit: int, seq: str = "seq", node: str = "node", op: str = "op") -> DataFrame:

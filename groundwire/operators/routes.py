@@ -6,20 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import python_facts
+from ..sources.projects import module_homes
 
 #: Includes above a router that are followed; deeper chains are unresolved.
 DEPTH = 4
 
 
-def _module_paths(module: Column, in_file: Column) -> Column:
-    """Places of a module, absolute or with leading dots as seen from a file, in order of preference."""
-    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
-    dirs = F.split(in_file, "/")
-    above = F.when(dots > 0, F.slice(dirs, F.lit(1), F.greatest(F.size(dirs) - dots, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    path = F.array_join(F.concat(above, F.filter(F.split(module, r"\."), lambda x: x != "")), "/")
-    return F.array(F.concat(path, F.lit(".py")), F.concat(path, F.lit("/__init__.py")))
-
-
 def _includes(facts: DataFrame, paths: DataFrame) -> DataFrame:
     """(in_file, parent, file, var, inc_prefix): what each include adds; file is null where no module is found."""
     child = F.split("value", r"\.")
@@ -29,9 +21,10 @@ def _includes(facts: DataFrame, paths: DataFrame) -> DataFrame:
     inner = F.concat("module", F.when(F.col("module").endswith("."), "").otherwise("."), "original")
     module = F.when(F.col("owner").isNotNull(), inner).otherwise(F.col("module"))
     seen = seen.withColumn("var", F.when(F.col("owner").isNull() & F.col("module").isNotNull(), F.col("original")).otherwise(F.col("child")))
-    places = F.when(F.col("module").isNull(), F.array("in_file")).otherwise(_module_paths(module, F.col("in_file")))
-    tried = seen.select("in_file", "line", "parent", "var", "inc_prefix", F.posexplode(places).alias("nth", "file")).join(paths.select(F.col("path").alias("file")).distinct().withColumn("there", F.lit(True)), "file", "left")
-    return tried.groupBy("in_file", "line", "parent", "var", "inc_prefix").agg(F.min_by(F.when(F.col("there"), F.col("file")), F.when(F.col("there"), F.col("nth"))).alias("file")).drop("line")
+    seen = seen.withColumn("inner", module)
+    homes = module_homes(seen.select(F.col("in_file").alias("file"), F.col("inner").alias("module")), paths).select(F.col("file").alias("in_file"), F.col("module").alias("inner"), F.col("home").alias("file"))
+    placed = seen.join(homes, ["in_file", "inner"], "left").withColumn("file", F.when(F.col("inner").isNull(), F.col("in_file")).otherwise(F.col("file")))
+    return placed.select("in_file", "parent", "var", "inc_prefix", "file").distinct()
 
 
 def _chains(routers: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,8 +155,7 @@ def check_route_edges(facts: DataFrame, tree: DataFrame, added: DataFrame | None
     module, member = F.substring_index("target", ":", 1), F.when(F.col("target").contains(":"), F.substring_index("target", ":", -1))
     inner = F.concat(module, F.when(module.endswith("."), "").otherwise("."), member)
     e = e.withColumns({"module": F.when(member.isNotNull() & F.col("rest").isNotNull(), inner).otherwise(module), "wanted": F.when(member.isNotNull() & F.col("rest").isNull(), member).otherwise(F.col("rest"))})
-    places = e.where("how = 'import'").select("file", "module").distinct().select("file", "module", F.posexplode(_module_paths(F.col("module"), F.col("file"))).alias("nth", "at"))
-    found = places.join(tree.select(F.col("path").alias("at")).distinct(), "at").groupBy("file", "module").agg(F.min_by("at", "nth").alias("home"))
+    found = module_homes(e.where("how = 'import'"), tree)
     e = e.join(found, ["file", "module"], "left").withColumn("head", F.substring_index("wanted", ".", 1))
     there = bound.select(F.col("at").alias("home"), F.col("bound").alias("head"), F.lit(True).alias("has"))
     e = e.join(there, ["home", "head"], "left").join(flag(starred, "home", "home_star"), "home", "left").join(flag(open_, "home", "home_open"), "home", "left").join(flag(indexed, "home", "home_known"), "home", "left")

@@ -49,9 +49,18 @@ def read_files(spark: SparkSession, root: str, limit: int = 4_000_000) -> DataFr
     return seen.where(~F.exists("dirs", lambda d: d.isin(*IGNORED_DIRS) | d.endswith(".egg-info"))).drop("dirs")
 
 
+#: What ends a line, as for `str.splitlines`.
+LINE_END = r"(?:\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029])"
+
+
+def text_lines(text) -> F.Column:
+    """The lines of a text, as `str.splitlines` tells them; a final end opens no line, an empty text has none."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, LINE_END + r"\z", ""), LINE_END))
+
+
 def region_lines(files: DataFrame) -> DataFrame:
-    """(file, lineno, text) of whole texts; \\r\\n and \\r end lines too, a final end opens no line."""
-    parts = F.split(F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"\n$", ""), "\n")
+    """(file, lineno, text) of whole texts, by the line ends that `added_lines` knows too."""
+    parts = text_lines(F.col("text"))
     return files.where("text is not null and text <> ''").select(F.col("path").alias("file"), F.posexplode(parts).alias("i", "text")).select("file", (F.col("i") + 1).alias("lineno"), "text")
 
 
@@ -132,10 +141,27 @@ def where_to_declare(files: DataFrame, by: tuple[str, ...] = (), configured: tup
     return first.select(*by, F.coalesce("file", F.lit(".env.example")).alias("file"))
 
 
-def _requirement(line: str) -> str | None:
-    line = line.split("#egg=")[-1] if "#egg=" in line else line.split(" #")[0]
-    found = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)", line)
-    return found.group(1) if found and not line.lstrip().startswith(("#", "-")) else None
+# Names of manifests and lockfiles; a requirement's name, one that a URL carries; keys of a lockfile that are no packages.
+MANIFEST = r"^(requirements.*\.txt|poetry\.lock|uv\.lock|Pipfile(\.lock)?|pyproject\.toml|setup\.cfg|environment\.ya?ml|package\.json|package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml)$"
+REQUIREMENT = r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)"
+EGG = r"[#&]egg=([A-Za-z0-9._-]+)"
+PNPM_PACKAGE = r"(?m)^\s{2}/?'?(@?[^@'\s/]+(?:/[^@'\s/]+)?)@"
+PNPM_ENTRY = r"(?m)^\s{4,}'?(@[A-Za-z0-9._-]+/[A-Za-z0-9._-]+|[A-Za-z0-9._-]+)'?:\s*$"
+PNPM_KEYS = (
+    "dependencies", "devDependencies", "optionalDependencies", "packages", "snapshots", "importers", "specifiers", "resolution", "engines", "cpu", "os", "peerDependencies",
+    "peerDependenciesMeta", "transitivePeerDependencies", "optional", "dev", "hasBin", "requiresBuild", "bin", "deprecated", "libc",
+)
+
+
+def _requirement(line) -> str | None:
+    """The distribution that a requirement line names; a line of options or a bare URL names one only in its fragment."""
+    if not isinstance(line, str):
+        return None
+    egg, plain = re.search(EGG, line), line.split("#", 1)[0].strip()
+    if not plain or plain.startswith("-") or ("://" in plain and "@" not in plain.split("://")[0]):
+        return egg.group(1) if egg else None
+    found = re.match(REQUIREMENT, plain)
+    return found.group(1) if found else None
 
 
 def _locked_npm(tree: dict):
@@ -147,7 +173,8 @@ def _locked_npm(tree: dict):
 def manifest_names(path: str, text: str | None):
     """(file, lang, dist, kind): distributions that a manifest or lockfile names.
 
-    Corrupt text gives one row of kind `error`, for what it lists, and with it what is absent, is not known.
+    Corrupt text gives one row of kind `error`, for what it lists, and with it what is absent, is not known.  A manifest
+    that lists nothing gives one row with an empty name.
     """
     import configparser
     import tomllib
@@ -161,7 +188,7 @@ def manifest_names(path: str, text: str | None):
         if re.fullmatch(r"requirements.*\.txt", base):
             names = [_requirement(x) for x in text.splitlines()]
             rows = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith(("#", "-"))]
-            kind = "lockfile" if rows and all("==" in x for x in rows) else "manifest"
+            kind = "lockfile" if rows and all(re.match(REQUIREMENT + r"(?:\[[^\]]*\])?\s*==", x) for x in rows) else "manifest"
         elif base in ("poetry.lock", "uv.lock"):
             names, kind = re.findall(r'(?m)^name\s*=\s*"([^"]+)"', text), "lockfile"
         elif base == "Pipfile":
@@ -174,8 +201,12 @@ def manifest_names(path: str, text: str | None):
             data = tomllib.loads(text)
             project, poetry = data.get("project", {}), data.get("tool", {}).get("poetry", {})
             wanted = [*project.get("dependencies", []), *(y for x in project.get("optional-dependencies", {}).values() for y in x)]
-            wanted += [y for x in data.get("dependency-groups", {}).values() for y in x if isinstance(y, str)]
-            names = [*map(_requirement, wanted), *poetry.get("dependencies", {}), *(y for x in poetry.get("group", {}).values() for y in x.get("dependencies", {}))]
+            wanted += [y for x in data.get("dependency-groups", {}).values() for y in x]
+            tool = data.get("tool", {})
+            wanted += tool.get("uv", {}).get("dev-dependencies", [])
+            wanted += [y for x in tool.get("hatch", {}).get("envs", {}).values() for key in ("dependencies", "extra-dependencies") for y in x.get(key, [])]
+            wanted += [y for x in tool.get("pdm", {}).get("dev-dependencies", {}).values() for y in x]
+            names = [*map(_requirement, wanted), *poetry.get("dependencies", {}), *poetry.get("dev-dependencies", {}), *(y for x in poetry.get("group", {}).values() for y in x.get("dependencies", {}))]
             names = [x for x in names if x != "python"]
         elif base == "setup.cfg":
             data = configparser.ConfigParser()
@@ -192,21 +223,24 @@ def manifest_names(path: str, text: str | None):
         elif base in ("package-lock.json", "npm-shrinkwrap.json"):
             lang, kind, data = "node", "lockfile", json.loads(text)
             names = [x.rsplit("node_modules/", 1)[-1] for x in data.get("packages", {}) if "node_modules/" in x] + list(_locked_npm(data.get("dependencies")))
+            names += [y for x in ("dependencies", "devDependencies", "optionalDependencies") for y in data.get("packages", {}).get("", {}).get(x, {})]
         elif base == "yarn.lock":
             lang, kind = "node", "lockfile"
             names = [y for x in re.findall(r"(?m)^(\S.*):$", text) for y in re.findall(r'(?:^|,\s*)"?((?:@[^/"\s]+/)?[^@"\s,]+)@', x)]
         elif base == "pnpm-lock.yaml":
             lang, kind = "node", "lockfile"
-            names = re.findall(r"(?m)^\s{2}/?'?(@?[^@'\s/]+(?:/[^@'\s/]+)?)@", text)
+            names = [x for x in re.findall(PNPM_PACKAGE, text) + re.findall(PNPM_ENTRY, text) if x not in PNPM_KEYS]
     except (ValueError, AttributeError, TypeError, configparser.Error):
         yield path, lang, "", "error"
         return
-    for name in sorted({x for x in names if x}):
+    # a manifest without names is a source all the same
+    for name in sorted({x for x in names if x}) or [""] * bool(re.match(MANIFEST, base)):
         yield path, lang, name, kind
 
 
 def declared_dists(files: DataFrame) -> DataFrame:
-    return per_row(files, manifest_names, ["path", "text"], "file string, lang string, dist string, kind string")
+    named = files.where(F.element_at(F.split("path", "/"), -1).rlike(MANIFEST))
+    return per_row(named, manifest_names, ["path", "text"], "file string, lang string, dist string, kind string")
 
 
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
