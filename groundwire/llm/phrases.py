@@ -30,6 +30,8 @@ LEAST, FIRST, COVER = 10, 2000, 50
 FEWEST, MOST, TEXT_PER_BUCKET = 1 << 16, 1 << 27, 32
 #: Buckets in a block that leaves a task, and the value at which their counts stop.
 BLOCK, FULL = 1 << 16, 255
+#: Text bytes handled by one round of array work, and phrases whose text is put together at once.
+SLICE, TAKEN = 1 << 21, 1 << 15
 #: Rows of a group in one round of the tournament, in multiples of the rows that it keeps.
 GROUP = 16
 #: Exact while a has 15 digits at most and l and r have 18.
@@ -63,8 +65,11 @@ class Phrases:
         size = end - start + 1
         self.stop = np.cumsum(size)  # behind each word's space in `data`
         self.begin = self.stop - size
-        self.data = np.append(folded, np.uint8(0x20))[np.repeat(start - self.begin, size) + np.arange(self.stop[-1] if size.size else 0)]
-        self.data[self.stop - 1] = 0x20
+        # all words in their order, one space behind each
+        letter = np.ones(self.stop[-1] if size.size else 0, bool)
+        letter[self.stop - 1] = False
+        self.data = np.full(letter.size, 0x20, np.uint8)
+        self.data[letter] = folded[ink]
         self.lang = lang
         names = lang.dictionary_encode()
         seeds = np.array([xxhash.xxh64_intdigest(x.encode()) for x in names.dictionary.to_pylist()], np.uint64)
@@ -95,9 +100,12 @@ class Phrases:
         first = first[order[edge]]
         lo, hi = self.begin[first], self.stop[first + k - 1] - 1
         size = hi - lo
-        ends = np.cumsum(size)
-        raw = self.data[np.repeat(lo - ends + size, size) + np.arange(ends[-1] if ends.size else 0)]
-        cut = np.concatenate([[0], ends]).astype(np.int64)
+        cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        raw = np.zeros(cut[-1], np.uint8)
+        for k in range(0, size.size, TAKEN):  # places of some phrases at once: eight bytes for each of theirs
+            part = slice(k, k + TAKEN)
+            at, end = cut[k], cut[min(k + TAKEN, size.size)]
+            raw[at:end] = self.data[np.repeat(lo[part] - cut[k : k + size[part].size], size[part]) + np.arange(at, end)]
         phrase = pa.Array.from_buffers(pa.large_string(), first.size, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.string())
         return _rows(lang=self.lang.take(pa.array(self.text[first])), phrase=phrase, n=pa.array(n.astype(np.int64)))
 
@@ -123,7 +131,7 @@ def _pass(k: int, last: bool, n_buckets: int, filled, frequent):
         counts = np.zeros(0 if last else n_buckets, np.uint8)
         for batch in batches:
             text, lang = batch.column("text"), batch.column("lang")
-            for lo, hi in slices(text):
+            for lo, hi in slices(text, SLICE):
                 found = Phrases(text[lo:hi], lang[lo:hi])
                 first = found.runs(k)
                 key = found.key(first, k)
@@ -181,7 +189,7 @@ def _keys_of(k: int, n_buckets: int):
         bits = np.zeros(n_buckets // 8, np.uint8)
         for batch in batches:
             text, lang = batch.column("phrase"), batch.column("lang")
-            for lo, hi in slices(text):
+            for lo, hi in slices(text, SLICE):
                 found = Phrases(text[lo:hi], lang[lo:hi])
                 at = found.key(found.runs(k), k) & U(n_buckets - 1)
                 np.bitwise_or.at(bits, (at >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & U(7)).astype(np.uint8)))
