@@ -15,7 +15,7 @@ AUDIT_SUFFIXES = (".py", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx", ".mts", "
 def snapshot(index) -> DataFrame:
     """(node, file, kind) of all nodes that an index (`change.Index`) holds: env, dist, route, symbol."""
     env = index.env.select(F.concat(F.lit("env:"), "name").alias("node"), "file", F.lit("env").alias("kind"))
-    dist = index.dists.where("kind <> 'error'").select(F.concat(F.lit("dist:"), "lang", F.lit(":"), "dist").alias("node"), "file", F.lit("dist").alias("kind"))
+    dist = index.dists.where("kind <> 'error' and dist <> ''").select(F.concat(F.lit("dist:"), "lang", F.lit(":"), "dist").alias("node"), "file", F.lit("dist").alias("kind"))
     route = index.routes.where("full is not null").select(F.concat(F.lit("route:"), "method", F.lit(" "), "full").alias("node"), "file", F.lit("route").alias("kind"))
     symbol = index.facts.where("tag = 'symbol'").select(F.concat(F.lit("symbol:"), "path", F.lit(":"), "name").alias("node"), F.col("path").alias("file"), F.lit("symbol").alias("kind"))
     return union_all([env, dist, route, symbol]).distinct()

@@ -11,7 +11,7 @@ from ..functions import ladders, text
 from ..operators import change, claims, extract, health, imports, notes, relations, routes
 from ..runtime import ordered
 from ..sources import aliases, files, sample
-from . import composed
+from . import composed, gates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,11 +28,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    return QUERIES | composed.QUERIES
+    return QUERIES | composed.QUERIES | gates.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | composed.SQL
+    return SQL | composed.SQL | gates.SQL
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
