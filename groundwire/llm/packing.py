@@ -2,19 +2,21 @@
 
 Documents become pieces of at most `capacity` tokens (only longer ones are cut).  Full pieces are
 sequences of their own; the others are dealt by hash to blocks of about `BLOCK_ITEMS`, which bounds every
-task.  In each block, islands start from random groupings and evolve them: crossover injects well-filled bins
-of one parent into the other, drops the bins that held the same documents, and best-fits the displaced ones.
-After each epoch every island receives its neighbour's elite; each epoch is a written table.  Fitness is
-the number of bins, then the mean of squared fills, so slack gathers in few bins.
-
-The bins that stay open in all blocks are emptied into blocks of their own, where the same evolution packs their
-documents once more: what the dealing to blocks costs falls from one open sequence a block to one in thousands.
+task.  In each block, islands start from random groupings, and one of them from best-fit decreasing too, so that the
+search never ends above that; they evolve: crossover injects well-filled bins of one parent into the other, drops the bins
+that held the same documents, and best-fits the displaced ones.  After each epoch every island receives its neighbour's
+elite; each epoch is a written table.  Fitness is the number of bins, then the mean of squared fills, so slack gathers in
+few bins.
+
+Only full bins stay as they are.  All others, of all blocks, are emptied into fewer blocks, where the same evolution packs
+their documents once more, and so on until one block is left: what the dealing to blocks costs does not add up.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 16, 3
 WELL_FILLED = 0.995
 #: A child has up to one in so many bins emptied at random.
 MIXED = 50
-#: Bins filled less than this after the blocks' own evolution are packed again across blocks.
-OPEN_SHARE = 0.99
+#: Where sizes hardly ever fill a bin (less than one row in ten lies in a full one), bins of this fill stay as they are too.
+OPEN_SHARE, FULL_ROWS = 0.99, 0.1
+#: Rounds go on while they close bins that hold one row in so many.
+PROGRESS = 10
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
@@ -79,7 +83,7 @@ def best_fit(order: list[int], size: list[int], capacity: int, gaps: list[tuple[
 
 
 def decreasing(size: np.ndarray, capacity: int) -> np.ndarray:
-    """Best-fit decreasing: no part of the search, the mark that it is measured against."""
+    """Best-fit decreasing: where one island starts, and the mark that no result may exceed."""
     bin_of = np.zeros(size.size, np.int32)
     best_fit(np.argsort(-size, kind="stable").tolist(), size.tolist(), capacity, [], bin_of, 0)
     return bin_of
@@ -177,7 +181,9 @@ def _evolve(capacity: int, epoch: int, generations: int, members: int):
                     people = list(np.frombuffer(own.as_buffer(), "<i4").reshape(-1, size.size))
                     people[-1] = np.frombuffer(elite.as_buffer(), "<i4")[: size.size]
                 else:
-                    people = [random_grouping(size, capacity, rng) for _ in range(members)]
+                    people = [random_grouping(size, capacity, rng) for _ in range(members - (island.as_py() == 0))]
+                    if island.as_py() == 0:
+                        people.insert(0, decreasing(size, capacity))
                 people = evolve(people, size, capacity, rng, generations)
                 bins, unfit = fitness(people[0], size, capacity)
                 for k, v in zip(out, (block.as_py(), island.as_py(), raw.as_py(), np.stack(people).astype("<i4").tobytes(), bins, unfit)):
@@ -228,14 +234,25 @@ def _evolved(small: DataFrame, blocks_n: int, first_block: int, capacity: int) -
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Sequences for pieces (PIECE columns) of 1 to `capacity` tokens."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    small = pieces.where(F.col("length") < capacity)
-    blocks_n = max(1, -(-small.count() // block_items))
-    packed = _evolved(small, blocks_n, 0, capacity)
-    if blocks_n > 1:
-        packed = saved(packed, "packed")
-        loose = packed.where(F.col("fill") < F.lit(OPEN_SHARE * capacity)).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_id") * F.lit(31) + F.col("offset")).alias("row"))
-        again = _evolved(loose, max(1, -(-loose.count() // block_items)), blocks_n, capacity)
-        packed = packed.where(F.col("fill") >= F.lit(OPEN_SHARE * capacity)).select(names).unionByName(again.select(names))
+    rest, parts, first = pieces.where(F.col("length") < capacity), [], 0
+    n = rest.count()
+    while True:
+        blocks_n = max(1, -(-n // block_items))
+        packed = _evolved(rest, blocks_n, first, capacity)
+        if blocks_n == 1:
+            parts.append(packed)
+            break
+        packed, first = saved(packed, "packed"), first + blocks_n
+        fills = packed.agg(F.count_if(F.col("fill") == capacity).alias("whole"), F.count_if(F.col("fill") >= F.lit(OPEN_SHARE * capacity)).alias("nearly")).first()
+        rarely = fills["whole"] < FULL_ROWS * n
+        limit, closed = (OPEN_SHARE * capacity, fills["nearly"]) if rarely else (float(capacity), fills["whole"])
+        if closed == n or closed * PROGRESS < n:
+            parts.append(packed)
+            break
+        parts.append(packed.where(F.col("fill") >= F.lit(limit)))
+        rest = packed.where(F.col("fill") < F.lit(limit)).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_id") * F.lit(31) + F.col("offset")).alias("row"))
+        n -= closed
+    packed = reduce(DataFrame.unionByName, (x.select(names) for x in parts))
     full = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.select(names).unionByName(full)
 
@@ -244,7 +261,8 @@ def pack_documents(docs: DataFrame, file: str | None = None, end: int = END_ID,
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone; repeated rows are packed each by itself; null ids stay null;
-    other columns are not read; an empty table gives an empty result.  sequence_id is the block's number
+    of very long texts all tokens count; of equally good groupings the one of the first island stays; other columns are not
+    read; an empty table gives an empty result.  sequence_id is the block's number
     with the bin's, or negative for a full piece.
     """
     from .common import ship

@@ -1,6 +1,7 @@
 """The genetic step decides: hard sizes, and the bins left open in several blocks."""
 
 import numpy as np
+import pytest
 
 from groundwire.llm import packing
 
@@ -37,3 +38,28 @@ def test_blocks_share_their_open_bins(spark):
     assert max(at.values()) <= 2048
     # eight blocks would leave about eight open sequences; packed across blocks there is one
     assert len(at) <= -(-sum(r[3] for r in rows) // 2048) + 1
+
+
+@pytest.mark.parametrize("block_items", [packing.BLOCK_ITEMS, 40])
+def test_whole_table_needs_no_more_than_best_fit_decreasing(spark, block_items):
+    """All documents, in one block and in many."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces = [r.length for r in packing.pack_documents(docs).collect()]
+    if block_items == packing.BLOCK_ITEMS:
+        got = packing.pack_documents(docs).collect()
+    else:
+        rows = [(i, 0, 0, n, 1, i) for i, n in enumerate(pieces)]
+        got = packing.pack_pieces(spark.createDataFrame(rows, packing.PIECE), block_items=block_items).collect()
+    size = np.array(pieces)
+    sequences = len({r.sequence_id for r in got})
+    assert sum(r.length for r in got) == size.sum()
+    assert sequences <= packing.decreasing(size, packing.CAPACITY).max() + 1
+    if block_items == packing.BLOCK_ITEMS:
+        assert sequences == -(-size.sum() // packing.CAPACITY)
+
+
+def test_sizes_that_never_fill_a_bin(spark):
+    """No bin can be full, so nearly full ones close, and the rounds end."""
+    rows = [(i, 0, 0, 1000 - i % 3, 1, i) for i in range(300)]
+    got = packing.pack_pieces(spark.createDataFrame(rows, packing.PIECE), block_items=40).collect()
+    assert len({r.sequence_id for r in got}) == 150 and len(got) == 300
