@@ -4,10 +4,10 @@ The pieces of a public vocabulary, with the bytes as a last resort, span a latti
 word's probability is the sum over all its segmentations of the product of the pieces' probabilities, by
 a forward recursion in log space.  Pieces start from the vocabulary's own scores and are fitted by expectation
 maximisation on the words of all training documents, whose end is one more piece; piece sequences that
-end so have total probability 1.  Each training word is one more arc over its whole length, with its count less
+end so have total probability 1.  A document's score is the log10 of that marginal probability over its words and end.
+
+Beside it stands word_arc_score, in which each training word is one more arc over its whole length, with its count less
 a discount D over all tokens; the discounts' sum is the weight of the segmentations into pieces.
-A document's score is the log10 probability of its words and end; lattice_score is that of the segmentations into
-pieces alone, without whole-word arcs.
 
 Word counts follow the corpus, so they are never broadcast whole: a head of at most `HEAD` frequent words
 goes to every task, counts of the other words of each document are joined by word.
@@ -251,7 +251,7 @@ def _score_rows(model, head, parts: tuple[float, float, float, float, float]):
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(tail, pa.binary()), pa.array(times.astype(np.int64)), pa.array(value[which])], names=["word", "times", "pieced"]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(n)), batch.column("doc_id")[lo:hi], batch.column("held_out")[lo:hi], pa.array(words.count.astype(np.int64) + 1), pa.array(head_known.astype(np.int64)), pa.array(head_log), pa.array(score), pa.array(pieces_alone), lists],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "lattice_score", "tail"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "word_arc_score", "score", "tail"],
                 )
                 row += n
 
@@ -272,7 +272,7 @@ def head_words(counts: DataFrame, most: int = HEAD) -> dict[bytes, int]:
 
 
 def score_documents(docs: DataFrame, file: str | None = None, mod: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for every row of `docs`.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_arc_score for every row of `docs`.
 
     Null and wordless texts are the end alone; null ids count as training documents; repeated rows count each; very
     long texts and words have their whole cost; other columns are not read; without training documents the
@@ -293,7 +293,7 @@ def score_documents(docs: DataFrame, file: str | None = None, mod: int = 7, held
     weight = discount * v / n if n else 1.0
     end = math.log10(max(documents - discount, 0) / max(n, 1) + weight * math.exp(fitted[2]))
     model, head = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(head_words(counts))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, lattice_score double, tail array<struct<word: binary, times: long, pieced: double>>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, word_arc_score double, score double, tail array<struct<word: binary, times: long, pieced: double>>"
     scored = saved(arrow_map(text, _score_rows(model, head, (discount, max(n, 1), weight, end, fitted[2] / math.log(10))), schema), "scored")
 
     # natural logs throughout: a long word's probability is below the least double
@@ -315,6 +315,6 @@ def score_documents(docs: DataFrame, file: str | None = None, mod: int = 7, held
         (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(documents > 0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) + end_log - F.col("n_tokens") * divisor).alias("base_score"),
-        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
-        "lattice_score",
+        "score",
+        (F.col("word_arc_score") + F.coalesce("tail_score", F.lit(0.0))).alias("word_arc_score"),
     )

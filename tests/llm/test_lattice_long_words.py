@@ -37,7 +37,7 @@ def test_long_words(spark, monkeypatch, trained, head):
         rows += [(TRAINING[0], f"the cat and the dog {long[1]}"), (TRAINING[1], "a cat and a dog")]
     counts = Counter(x for i, text in rows if i in TRAINING for x in text.split())
     documents = sum(i in TRAINING for i, _ in rows)
-    got = {q.doc_id: (q.score, q.lattice_score) for q in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {q.doc_id: (q.word_arc_score, q.score) for q in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
     seen = spark.createDataFrame([(bytearray(x.encode()), n) for x, n in counts.items()], "word binary, n long")
     pieces, log_p, end = lm.fit(seen, documents, P.path("piece_bpe_32k.model"))
