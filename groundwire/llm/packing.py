@@ -32,10 +32,8 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 16, 3
 WELL_FILLED = 0.995
 #: A child has up to one in so many bins emptied at random.
 MIXED = 50
-#: Where sizes hardly ever fill a bin (less than one row in ten lies in a full one), bins of this fill stay as they are too.
-OPEN_SHARE, FULL_ROWS = 0.99, 0.1
-#: Rounds go on while they close bins that hold one row in so many.
-PROGRESS = 10
+#: Where full bins hold less than this share of the rows, the best-filled ones close, down to half of all rows.
+FULL_ROWS = 0.1
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
@@ -243,14 +241,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_items: int =
             parts.append(packed)
             break
         packed, first = saved(packed, "packed"), first + blocks_n
-        fills = packed.agg(F.count_if(F.col("fill") == capacity).alias("whole"), F.count_if(F.col("fill") >= F.lit(OPEN_SHARE * capacity)).alias("nearly")).first()
-        rarely = fills["whole"] < FULL_ROWS * n
-        limit, closed = (OPEN_SHARE * capacity, fills["nearly"]) if rarely else (float(capacity), fills["whole"])
-        if closed == n or closed * PROGRESS < n:
-            parts.append(packed)
+        # a row for each fill, `capacity` at most
+        held = sorted(((r["fill"], r["count"]) for r in packed.groupBy("fill").count().collect()), reverse=True)
+        limit, closed = capacity, held[0][1] if held[0][0] == capacity else 0
+        if closed < FULL_ROWS * n:
+            closed = 0
+            for limit, rows in held:
+                closed += rows
+                if 2 * closed >= n:
+                    break
+        parts.append(packed.where(F.col("fill") >= limit))
+        if closed == n:
             break
-        parts.append(packed.where(F.col("fill") >= F.lit(limit)))
-        rest = packed.where(F.col("fill") < F.lit(limit)).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_id") * F.lit(31) + F.col("offset")).alias("row"))
+        rest = packed.where(F.col("fill") < limit).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_id") * F.lit(31) + F.col("offset")).alias("row"))
         n -= closed
     packed = reduce(DataFrame.unionByName, (x.select(names) for x in parts))
     full = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
