@@ -7,8 +7,8 @@ diversity, and these link back, choosing anew where their places are full.  Inse
 nodes already there, whose members see each other by exact distances.  The links of a level are one flat array
 of `width` places per node; a shard's index is one row of a written table.
 
-Blocks of queries visit every shard: greedy descent through the upper levels, then a beam of `BEAM` on the lowest.  All
-distances are sums of squared differences in double precision, so vectors that lie very close together keep
+Blocks of queries visit every shard: greedy descent through the upper levels, then a beam on the lowest, which grows with
+the shard's rows and dimensions (`beam_of`), because a beam of one size finds less of larger shards.  All distances are sums of squared differences in double precision, so vectors that lie very close together keep
 their order; shard results merge by rank.
 """
 
@@ -26,11 +26,18 @@ from .common import arrow_map, saved, ship
 QUERY_ROWS = 256
 #: Least and most rows of a shard, and most bytes of its vectors.
 SHARD_ROWS, MOST_ROWS, SHARD_BYTES = 8192, 1 << 15, 64 << 20
-M, CANDIDATES, BEAM, ABOVE = 16, 64, 128, 24
+M, CANDIDATES, ABOVE = 16, 64, 24
+#: Beam of a shard of SHARD_ROWS rows of BEAM_DIM dimensions; none is smaller.
+BEAM, BEAM_DIM = 128, 64
 #: Insertions of one batch, and nodes that a search opens in one step.
 BATCH, STEP = 256, 4
 
 
+def beam_of(rows: int, dim: int) -> int:
+    """Width of the search on the lowest level: measured to keep ten nearest at 0.9 and more up to the largest shards."""
+    return max(BEAM, math.ceil(BEAM * math.sqrt(rows / SHARD_ROWS) * (dim / BEAM_DIM) ** 0.4))
+
+
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances (len(a), len(b)) by differences."""
     return np.stack([((row - b) ** 2).sum(1) for row in a]) if len(a) else np.zeros((0, len(b)))
@@ -218,8 +225,9 @@ class Graph:
         out[nodes] = own
         return out
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM):
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int | None = None):
         """(query id, vector id, distance) of the k nearest found for each query, without itself."""
+        beam = beam or beam_of(*self.vectors.shape)
         start = np.tile(self.levels[-1][0][: 4 * M], (len(queries), 1))
         for level in range(len(self.levels) - 1, -1, -1):
             width = max(beam, k + 1) if level == 0 else ABOVE
@@ -301,7 +309,8 @@ def nearest(vectors: DataFrame, queries_mod: int = 100, k: int = 10, shard_rows:
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id divides by `queries_mod`.
 
     Null ids take no part, nor do vectors that are null, empty, zero or hold a null or non-finite component;
-    vectors of different lengths never meet; repeated rows count once; equal distances rank by vec_id;
+    vectors of different lengths never meet; repeated rows count once, and of several vectors under one id the nearest;
+    equal distances rank by vec_id; other columns are not read;
     an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -315,6 +324,7 @@ def nearest(vectors: DataFrame, queries_mod: int = 100, k: int = 10, shard_rows:
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, query_ids binary, queries binary")
     visits = packed.withColumn("shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")))
-    found = arrow_map(index.join(visits, ["dim", "shard"]), _search(k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = arrow_map(index.join(visits, ["dim", "shard"]), _search(k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -41,3 +41,32 @@ def test_shards_grow_within_bounds():
     assert 8192 < rows_of_shard(10**6, 64) < rows_of_shard(3 * 10**6, 64)
     assert rows_of_shard(10**10, 64) == 1 << 15
     assert rows_of_shard(10**10, 4096) == (64 << 20) // (8 * 4096)
+
+
+def test_beam_follows_the_shard(monkeypatch):
+    """The largest shard scaled down, with the beam in the same proportion to it: a beam of one size finds too little."""
+    from groundwire.llm import hnsw
+
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 1024)
+    monkeypatch.setattr(hnsw, "BEAM", 24)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4096, 128))
+    graph = hnsw.Graph.build(np.arange(4096), x)
+    asked = np.arange(0, 4096, 41)
+    near = [set(np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[1:11].tolist()) for i in asked]
+
+    def recall(beam):
+        of, found, _ = graph.search(asked, x[asked], 10, beam)
+        return np.mean([len(near[k] & set(found[of == i].tolist())) / 10 for k, i in enumerate(asked)])
+
+    assert hnsw.beam_of(4096, 128) > 2 * 24
+    assert recall(None) >= 0.9 > recall(24)
+    assert hnsw.beam_of(10, 8) == 24
+
+
+def test_nearest_of_several_vectors_under_one_id(spark):
+    from groundwire.llm.hnsw import nearest
+
+    rows = [(0, [1.0, 0.0]), (5, [9.0, 0.0]), (5, [1.5, 0.0]), (7, [3.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(5, 0.5), (7, 2.0)]
