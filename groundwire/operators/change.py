@@ -156,6 +156,16 @@ def check_change(added: DataFrame, tree: DataFrame, index: Index | None = None,
     return found.withColumn("level", ladders.capped(F.col("level"), ~F.col("dynamic") & ~in_docs(F.col("file")))).select(*FINDING).distinct()
 
 
+def check_change_with(settings: dict, added: DataFrame, tree: DataFrame, installed: DataFrame | None = None) -> DataFrame:
+    """`check_change` as a repository's settings have it (`settings.settings_of`): its oracles, its files of names, without its excluded folders."""
+    from .plugins import oracles
+
+    away = set(settings["exclude"])
+    if away:
+        tree, added = (x.where(~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, sorted(away))))) for x, path in ((tree, "path"), (added, "file")))
+    return check_change(added, tree, Index(tree, installed, tuple(settings["env_declared_in"])), oracles(settings["oracles"]))
+
+
 def suggestions(findings: DataFrame, index: Index, limit: int = 3) -> DataFrame:
     """(kind, ref, file, rank, candidate) for rejected findings: declared names, listed distributions and the tree's own
     modules, or names that the finding's file binds."""

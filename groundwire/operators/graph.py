@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import saved
@@ -16,13 +16,14 @@ from .relations import innermost, neighbours, union_all
 def context_edges(tree: DataFrame, index: Index | None = None, findings: DataFrame | None = None) -> DataFrame:
     """(a, b, relation, file, line) of a tree (path, text).
 
-    A reference that is accepted leads from the innermost symbol around it, or from its file, to what it names; a
-    route leads to its handler where one symbol of its own file has that name.
+    A symbol is named with the definitions around it, so methods of two classes stand apart.  A reference that is accepted
+    leads from the innermost symbol around it, or from its file, to what it names; a route leads to its handler where one
+    symbol of its own file has that name.
     """
     index = index or Index(tree)
     none = F.lit(None).cast("long")
     file = lambda c: F.concat(F.lit("file:"), F.col(c))
-    symbols = index.facts.where("tag = 'symbol'").select(F.col("path").alias("file"), "name", "line", F.col("extra").cast("long").alias("end"))
+    symbols = index.facts.where("tag = 'scope'").select(F.col("path").alias("file"), "name", "line", F.col("extra").cast("long").alias("end"))
     symbol = F.concat(F.lit("symbol:"), "file", F.lit(":"), "name")
     declares = symbols.select(file("file").alias("a"), symbol.alias("b"), F.lit("declares").alias("relation"), "file", "line")
     env = index.env.select(file("file").alias("a"), F.concat(F.lit("env:"), "name").alias("b"), F.lit("declares").alias("relation"), "file", none.alias("line"))
@@ -49,14 +50,33 @@ def context_edges(tree: DataFrame, index: Index | None = None, findings: DataFra
     return union_all([declares, env, dists, uses, registers, handled]).distinct()
 
 
-def around(edges: DataFrame, roots: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, hop) within 0 to 5 `hops` of the roots (node), and the edges that touch a node nearer than that."""
+def kind_of(node: Column) -> Column:
+    """A node's kind: what stands before its first colon."""
+    return F.substring_index(node, ":", 1)
+
+
+def roots_of(edges: DataFrame, refs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(ref, node): the nodes that each reference (ref) may mean: its whole name, its name without the kind, or its last part."""
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    if kinds:
+        nodes = nodes.where(kind_of(F.col("node")).isin(*kinds))
+    keys = F.array_distinct(F.array("node", F.expr("substring(node, locate(':', node) + 1)"), F.element_at(F.split("node", ":"), -1)))
+    return nodes.select("node", F.explode(keys).alias("ref")).join(refs.select(F.trim("ref").alias("ref")).distinct(), "ref")
+
+
+def around(edges: DataFrame, roots: DataFrame, hops: int, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, hop) within 0 to 5 `hops` of the roots (node), and the edges that touch a node nearer than that.
+
+    kinds: those of the roots and of the nodes that are given; the way between them may lead over others, and edges
+    are given whatever they join.
+    """
     if not 0 <= hops <= 5:
         raise ValueError("hops must be 0 to 5")
-    near = neighbours(edges, roots, hops)
+    wanted = kind_of(F.col("node")).isin(*kinds) if kinds else F.lit(True)
+    near = neighbours(edges, roots.where(wanted), hops)
     inner = near.where(F.col("hop") < hops).select("node")
     touched = edges.join(inner.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(edges.join(inner.withColumnRenamed("node", "b"), "b", "left_semi")).distinct()
-    return near, touched
+    return near.where(wanted), touched
 
 
 def notes_near(notes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

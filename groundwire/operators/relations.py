@@ -85,11 +85,33 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) ->
 
 
 def innermost(points: DataFrame, spans: DataFrame, group: list[str], at: str, start: str, end: str, name: str) -> DataFrame:
-    """Smallest span around each point of its group; ties by name."""
-    inside = points.join(spans, group).where(F.col(at).between(F.col(start), F.col(end)))
+    """Smallest span around each point of its group; ties by name.
+
+    A span stands in the one or two cells that it touches of a grid as wide as the next power of two above its length,
+    and a point looks into its own cell of every such grid, so points meet spans of about the size that may hold them.
+    """
+    length = F.col(end) - F.col(start) + 1
+    level = F.greatest(F.ceil(F.log2(length.cast("double"))), F.lit(0)).cast("int")
+    held = spans.where(length > 0).withColumn("__level", level)
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("__level"))).cast("long")
+    held = held.withColumn("__cell", F.explode(F.array_distinct(F.array(cell(F.col(start)), cell(F.col(end))))))
+    levels = held.select(*group, "__level").distinct()
+    asked = points.join(levels, group).withColumn("__cell", cell(F.col(at)))
+    inside = asked.join(held, [*group, "__level", "__cell"]).where(F.col(at).between(F.col(start), F.col(end)))
     return inside.groupBy(*points.columns).agg(F.min_by(name, F.struct((F.col(end) - F.col(start)), F.col(name))).alias("scope"))
 
 
+def first_positions(lists: DataFrame, group: list[str], item: str, order: list[str], limit: int) -> DataFrame:
+    """(group, rank, item): the distinct items of several lists as they first come, `limit` of each group.
+
+    order: columns that place a row, such as the number of its list and its place there.  Repeats go by a partial
+    aggregate, and of each group only the first rows are ordered.
+    """
+    once = lists.where(F.col(item).isNotNull()).groupBy(*group, item).agg(F.min(F.struct(*order)).alias("__first"))
+    best = Window.partitionBy(*group).orderBy("__first", item)
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(*group, "rank", item)
+
+
 def neighbours(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     """(node, hop) within `hops` undirected steps of the roots (node); a bounded breadth-first search."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("next")))

@@ -340,9 +340,22 @@ def _line_rows(path: str, text: str):
             yield path, line, "import", "<dynamic>", "", "dynamic"
 
 
+def _scopes(tree):
+    """(line, qualified name, kind, end) of every definition, named with the definitions around it."""
+    open_ = [(tree, "")]
+    while open_:
+        node, outer = open_.pop()
+        for child in ast.iter_child_nodes(node):
+            inner = outer
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                inner = f"{outer}.{child.name}" if outer else child.name
+                yield child.lineno, inner, "class" if isinstance(child, ast.ClassDef) else "def", str(child.end_lineno)
+            open_.append((child, inner))
+
+
 def python_rows(path: str, text: str | None):
     """(path, line, tag, name, value, extra) of one Python file: imports, environment reads and declarations, symbols,
-    bindings, routers, includes and routes; of a file that does not parse, its imports alone."""
+    scopes, bindings, routers, includes and routes; of a file that does not parse, its imports alone."""
     if text is None or not path.endswith(".py"):
         return
     try:
@@ -351,6 +364,7 @@ def python_rows(path: str, text: str | None):
         yield from _line_rows(path, text)
         return
     yield path, 0, "parsed", "", "", ""
+    yield from ((path, line, "scope", name, kind, end) for line, name, kind, end in _scopes(tree))
     optional = set()
     for node in ast.walk(tree):
         if isinstance(node, ast.Try) and any(h.type is None or any(getattr(x, "id", "") in ("ImportError", "ModuleNotFoundError", "Exception") for x in ast.walk(h.type)) for h in node.handlers):
