@@ -94,9 +94,9 @@ def check_script_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
     based = inside.select(folder(F.col("at")).alias("base"), F.element_at(F.split("at", "/"), -1).alias("head")).join(bases.select(F.when(F.col("base") == ".", "").otherwise(F.col("base")).alias("base")).distinct(), "base", "left_semi").select("head")
     dirs = files.where("path like '%/%'").select(F.substring_index("path", "/", 1).alias("head")).unionByName(files.where("path like 'src/%/%'").select(F.split("path", "/").getItem(1).alias("head")))
     scopes = names.where("top like '@%/%'").select(F.substring_index("top", "/", 1).alias("head"))
-    rows = c
+    rows = c.withColumn("builtin", F.when(F.col("top").isin(*NODE_BUILTINS), True))
     for table, key, name in (
-        (spark.createDataFrame([(x,) for x in NODE_BUILTINS], "top string"), "top", "builtin"), (names, "top", "provided"), (local.select(F.col("name").alias("top")), "top", "own"), (by_start.unionByName(whole), "subject", "alias"),
+        (names, "top", "provided"), (local.select(F.col("name").alias("top")), "top", "own"), (by_start.unionByName(whole), "subject", "alias"),
         (starts.join(framework, "key", "left_semi").select("subject"), "subject", "framework"), (based, "head", "based"), (dirs, "head", "in_tree"), (modules.select(F.col("name").alias("top")), "top", "installed"), (scopes, "head", "scope"),
     ):
         rows = rows.join(table.distinct().withColumn(name, F.lit(True)), key, "left")
@@ -130,12 +130,11 @@ def check_python_imports(claims: DataFrame, dists: DataFrame, local: DataFrame,
 
     aliases = spark.createDataFrame(list(ALIASES), "top string, norm string").join(d, "norm", "left_semi")
     here = installed.select(F.col("name").alias("top"), module_norm(F.col("dist")).alias("norm"))
-    stdlib = spark.createDataFrame([(x,) for x in sorted(sys.stdlib_module_names)], "top string")
     parts = d.select(F.explode(F.split("norm", "_")).alias("norm")).where(F.length("norm") >= 3)
     affixed = d.select(F.explode(F.array(*(F.regexp_extract("norm", p, 1) for p in (r"^python_(.+)$", r"^py(.+)$", r"^(.+)_python$", r"^(.+)_py$", r"^(.+)[23]$")))).alias("norm")).where(F.length("norm") >= 3)
-    rows = c
+    rows = c.withColumn("std", F.when(F.col("top").isin(*sorted(sys.stdlib_module_names)), True))
     for table, key, name in (
-        (stdlib, "top", "std"), (local.select(F.col("name").alias("top")), "top", "own"), (d, "norm", "provided"), (aliases, "top", "alias"),
+        (local.select(F.col("name").alias("top")), "top", "own"), (d, "norm", "provided"), (aliases, "top", "alias"),
         (here.join(d, "norm", "left_semi"), "top", "env_locked"), (here, "top", "env_only"), (parts.unionByName(affixed), "norm", "related"), (nested.select(F.col("name").alias("top")), "top", "inner"),
     ):
         rows = rows.join(flag(table, key, name), key, "left")

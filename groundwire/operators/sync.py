@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,12 +80,12 @@ def _synchronise(store: Store, base: dict, tree: DataFrame, configured, force: b
         both = seen.select("path", "digest").join(held.withColumnRenamed("digest", "was"), "path", "full")
         some = both if anew else both.where(~F.col("digest").eqNullSafe(F.col("was")))
         changed = some.select("path", F.col("was").isNull().alias("came"), F.col("digest").isNull().alias("went"), bucket.alias("bucket"), (~F.col("digest").eqNullSafe(F.col("was"))).alias("differs"))
-    changed = saved(changed, "changed")
-    listing = (F.col("came") | F.col("went")).alias("listing")
-    # one row for each bucket and two flags at most
-    seen_in = changed.groupBy("bucket").agg(F.count("*").alias("n"), F.bool_or(listing).alias("listing"), F.bool_or(F.col("path").endswith(".py")).alias("python"), F.bool_or(F.element_at(F.split("path", "/"), -1).rlike(MANIFEST)).alias("manifest")).collect()
+    base_name = F.element_at(F.split("path", "/"), -1)
+    # one row for each bucket, with three flags
+    seen_in = changed.groupBy("bucket").agg(F.count("*").alias("n"), F.bool_or(F.col("came") | F.col("went")).alias("listing"), F.bool_or(F.col("path").endswith(".py")).alias("python"), F.bool_or(base_name.rlike(MANIFEST)).alias("manifest")).collect()
     if not seen_in and not anew:
         return {"action": "none", "version": base["version"], "changed": 0, "parsed": 0}
+    changed = saved(changed, "changed")
     buckets = [r["bucket"] for r in seen_in]
     touched = {x: anew or any(r[x] for r in seen_in) for x in ("listing", "python", "manifest")}
 
@@ -95,32 +96,46 @@ def _synchronise(store: Store, base: dict, tree: DataFrame, configured, force: b
         before = store.read("facts", manifest=base).join(seen_before, "path").select("digest", "line", "tag", "name", "value", "extra").distinct()
         known = (seen_before.select("digest").distinct(), before)
     said, parsed = _said(mine, known, configured)
-    tables, part, whole = {}, {}, {}
-    for name, file in BY_FILE.items():
-        rows = said[name]
-        if anew:
-            tables[name] = saved(rows, name)
-            whole[name] = (tables[name], file)
-            continue
-        kept = store.read(name, buckets=buckets, manifest=base).join(changed.select(F.col("path").alias(file)), file, "left_anti")
-        mixed = saved(kept.unionByName(rows), name)
-        part[name] = (mixed, file, buckets)
-        others = [int(b) for b in base["tables"][name]["buckets"] if int(b) not in set(buckets)]
-        tables[name] = mixed.unionByName(store.read(name, buckets=others, manifest=base))
+
+    def staged(name: str) -> dict:
+        rows, file = said[name], BY_FILE[name]
+        if not anew:
+            rows = store.read(name, buckets=buckets, manifest=base).join(changed.select(F.col("path").alias(file)), file, "left_anti").unionByName(rows)
+        return store.staged(name, rows, file)
+
+    # what no changed file can say anything in stays as it is; the others are written side by side
+    wanted = [x for x in BY_FILE if anew or x not in ("dists", "projects") or touched["manifest"]]
+    with ThreadPoolExecutor(len(wanted)) as pool:
+        made = dict(zip(wanted, pool.map(staged, wanted)))
+    tables = {}
+    for name in BY_FILE:
+        if name not in made:
+            tables[name] = store.read(name, manifest=base)
+        elif anew:
+            tables[name] = store.read_staged(made[name])
+        else:
+            others = [int(b) for b in base["tables"][name]["buckets"] if int(b) not in set(buckets)]
+            tables[name] = store.read_staged(made[name]).unionByName(store.read(name, buckets=others, manifest=base))
     paths = tables["files"].select("path")
-    derived = {}
+    routed = F.col("tag").isin("router", "route", "include")
+    if not anew and touched["python"] and not touched["listing"]:
+        of = changed.select("path")
+        was, now = store.read("facts", buckets=buckets, manifest=base), store.read_staged(made["facts"])
+        touched["python"] = not was.unionByName(now).where(routed).join(of, "path", "left_semi").isEmpty()
+    derived: dict[str, dict] = {}
     if touched["python"] or touched["listing"]:
-        derived["routes"] = (resolved_routes(paths, tables["facts"]), "file")
+        derived["routes"] = store.staged("routes", resolved_routes(paths, tables["facts"]), "file")
     if touched["listing"] or touched["manifest"]:
-        derived["names"] = (own_names(paths, tables["projects"]), "name")
-    derived = {name: (saved(rows, name), at) for name, (rows, at) in derived.items()}
+        derived["names"] = store.staged("names", own_names(paths, tables["projects"]), "name")
     more = {}
     if not first:
-        now = Index(tree, tables=tables | {x: derived[x][0] if x in derived else store.read(x, manifest=base) for x in ("routes", "names")})
-        was = open_index(store, tree, manifest=base)
-        nodes = sync_changes(snapshot(was), snapshot(now), changed.where("differs").select(F.col("path").alias("file")))
+        now = Index(tree, tables=tables | {x: store.read_staged(derived[x]) if x in derived else store.read(x, manifest=base) for x in ("routes", "names")})
+        # written before it is put in order, which reads it twice
+        nodes = saved(sync_changes(snapshot(open_index(store, tree, manifest=base)), snapshot(now), changed.where("differs").select(F.col("path").alias("file"))), "nodes")
         log = store.read("changes", manifest=base)
         last = 0 if log is None else head_seq(log)
         more["changes"] = record_changes(tree.sparkSession.createDataFrame([(last,)], "seq long"), nodes, commit, ts)
-    done = store.commit(base, whole | derived, part, more, {"key": key})
+    whole = derived | (made if anew else {})
+    part = {} if anew else {x: (made[x], BY_FILE[x], buckets) for x in made}
+    done = store.commit(base, whole, part, more, {"key": key})
     return {"action": "build" if anew else "sync", "version": done["version"], "changed": sum(r["n"] for r in seen_in), "parsed": parsed.count()}

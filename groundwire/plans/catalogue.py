@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ladders, text
-from ..operators import change, claims, extract, health, imports, notes, relations, routes
+from ..operators import extract, notes, relations
 from ..runtime import ordered
-from ..sources import aliases, files, sample
-from . import composed, gates
+from . import cases, composed, gates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,11 +27,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    return QUERIES | composed.QUERIES | gates.QUERIES
+    return QUERIES | cases.QUERIES | composed.QUERIES | gates.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | composed.SQL | gates.SQL
+    return SQL | cases.SQL | composed.SQL | gates.SQL
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -286,20 +285,15 @@ SCRUB_SQL = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
 '(?i)\bbearer\s+[A-Za-z0-9._~+/-]{{12,}}=*', 'Bearer [REDACTED]', 'g'), '{SECRET_SQL}', '\1=[REDACTED]', 'g'), '([a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@]+:)[^\s/@]+(@)', '\1[REDACTED]\2', 'g')"""
 
 
+query(cases.scrub_cases(SCRUB_SQL))(cases.fn_scrub_inline)
+
+
 @query(f"select doc_id, sha256({SCRUB_SQL.replace('(x,', '(text,')}) as clean_sha, {SCRUB_SQL.replace('(x,', '(text,')} <> text as redacted from documents")
 def fn_scrub_documents(spark, sf_dir):
     clean = text.scrub(F.col("text"))
     return t(spark, sf_dir, "documents").select("doc_id", F.sha2(clean, 256).alias("clean_sha"), (clean != F.col("text")).alias("redacted"))
 
 
-INLINE = ["-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "Authorization: Bearer abcdefghijklmnop==", 'api_key = "12345678"', "postgres://user:hunter2@db/x", "nothing here"]
-
-
-@query("select i, " + SCRUB_SQL + " as clean from (values " + ", ".join(f"({i}, '" + x.replace("\n", "' || chr(10) || '") + "')" for i, x in enumerate(INLINE)) + ") v(i, x)")
-def fn_scrub_inline(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(INLINE)), "i int, x string").select("i", text.scrub(F.col("x")).alias("clean"))
-
-
 @query(r"select doc_id, cast(len(ws) as bigint) as n_terms, sha256(array_to_string(ws, ' ')) as terms_sha from (select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\pL][\pL\pN\pM_]*'), lambda x: lower(x)))) as ws from documents)")
 def fn_terms_documents(spark, sf_dir):
     w = text.words(F.col("text"))
@@ -311,15 +305,6 @@ def fn_note_id(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", text.content_id(F.col("source"), F.col("text")).alias("note_id"), text.content_id(F.col("text"), prefix="note-", size=24).alias("import_id"))
 
 
-OUTPUTS = ["12 passed, 1 failed", "3 passed", "2 errors in 0.1s", "no tests ran", "1 failed, 2 passed, 1 error"]
-
-
-@query("select i, coalesce((select sum(cast(regexp_extract(m, '[0-9]+') as bigint)) from unnest(regexp_extract_all(x, '\\b[0-9]+ passed\\b')) u(m)), 0)::bigint as passed, coalesce((select sum(cast(regexp_extract(m, '[0-9]+') as bigint)) from unnest(regexp_extract_all(x, '\\b[0-9]+ (?:failed|errors?)\\b')) u(m)), 0)::bigint as failed from (values " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(OUTPUTS)) + ") v(i, x)")
-def fn_test_output_counts(spark, sf_dir):
-    x = F.col("x")
-    return spark.createDataFrame(list(enumerate(OUTPUTS)), "i int, x string").select("i", text.counted(x, r"\b(\d+) passed\b").alias("passed"), text.counted(x, r"\b(\d+) (?:failed|errors?)\b").alias("failed"))
-
-
 WORDS_SQL = r"list_distinct(list_transform(regexp_extract_all({0}, '[\pL][\pL\pN\pM_]*'), lambda x: lower(x)))"
 
 
@@ -371,26 +356,6 @@ def gr_resolve(spark, sf_dir):
     return relations.union_all([relations.resolve(p, x) for x in ("part:7", "absent", first)])
 
 
-@query("select * from (values (0, 'proven'), (1, 'contradicted'), (2, 'plausible'), (3, 'contradicted'), (4, 'contradicted'), (5, 'plausible'), (6, 'not_observed'), (7, 'not_observed')) v(i, honesty)")
-def hon_grade_tests(spark, sf_dir):
-    rows = [(0, True, 3, 0, 0, 1, ""), (1, True, 3, 1, 0, 0, ""), (2, False, None, None, None, 0, "1 failed"), (3, False, None, None, None, 2, "3 passed"), (4, False, None, None, None, None, "3 passed, 1 error"), (5, False, None, None, None, None, "3 passed"), (6, False, None, None, None, None, ""), (7, True, 0, 0, 0, 0, "")]
-    df = spark.createDataFrame(rows, "i int, has_report boolean, tests int, failures int, errors int, exit_code int, output string")
-    return df.select("i", ladders.tests_honesty(*(F.col(x) for x in df.columns[1:])).alias("honesty"))
-
-
-@query("select * from (values (0, 'proven', 'accept'), (1, 'contradicted', 'reject'), (2, 'plausible', 'review'), (3, 'contradicted', 'reject'), (4, 'not_observed', 'review')) v(i, honesty, level)")
-def hon_grade_endpoint(spark, sf_dir):
-    df = spark.createDataFrame([(0, 200, 200, None), (1, 200, 500, 200), (2, 200, None, 200), (3, 200, None, 404), (4, 200, None, None)], "i int, wanted int, probed int, reported int")
-    got = ladders.endpoint_honesty(F.col("wanted"), F.col("probed"), F.col("reported"))
-    return df.select("i", got.alias("honesty"), ladders.honesty_level(got).alias("level"))
-
-
-@query("select * from (values (0, 'contradicted'), (1, 'plausible'), (2, 'not_observed')) v(i, honesty)")
-def hon_grade_bug(spark, sf_dir):
-    df = spark.createDataFrame([(0, "KeyError", "KeyError: x", "KeyError: y"), (1, "KeyError", "KeyError: x", "ok"), (2, "KeyError", "other", "ok")], "i int, signature string, b string, a string")
-    return df.select("i", ladders.bug_honesty(F.col("signature"), F.col("b"), F.col("a")).alias("honesty"))
-
-
 @query("select event_id, case when event_id % 2 = 0 then 'blocked' when event_id % 3 = 0 then 'changed_during_check' when event_id % 5 = 0 then 'needs_review' when event_id % 7 <> 0 then 'needs_test_evidence' else 'ready' end as state from events")
 def hon_checkpoint_state(spark, sf_dir):
     k = F.col("event_id")
@@ -412,67 +377,6 @@ def ev_mutation_tally(spark, sf_dir):
     return graded.agg(n("*").alias("total"), F.count_if(F.col("declared_in").isNull()).cast("long").alias("detected"))
 
 
-# The queries below run on the inline tree; their SQL lists what must come out and guards against change only.
-
-
-@query("select * from (values ('.env.example', 'DATABASE_URL', 'dotenv'), ('.env.example', 'API_KEY', 'dotenv'), ('.env.example', 'REDIS_URL', 'dotenv'), ('.env.example', 'SMTP_HOST', 'dotenv'), ('Dockerfile', 'WORKERS', 'dockerfile'), ('Dockerfile', 'STAGE', 'dockerfile'), ('docker-compose.yml', 'QUEUE_URL', 'compose'), ('docker-compose.yml', 'CACHE_URL', 'compose'), ('app/config.py', 'LOG_LEVEL', 'code_default')) v(file, name, source)")
-def fx_env_decls(spark, sf_dir):
-    return files.declared_env(sample.tree(spark))
-
-
-@query("select * from (values ('requirements.txt', 'python', 'fastapi', 'lockfile'), ('requirements.txt', 'python', 'uvicorn', 'lockfile'), ('requirements.txt', 'python', 'requests', 'lockfile'), ('requirements.txt', 'python', 'PyYAML', 'lockfile'), ('requirements.txt', 'python', 'sqlalchemy', 'lockfile')) v(file, lang, dist, kind)")
-def fx_manifests(spark, sf_dir):
-    return files.declared_dists(sample.tree(spark))
-
-
-@query("select * from (values ('GET', '/api/users/{user_id}', 'get_user', 'app/users.py'), ('POST', '/api/users', 'create_user', 'app/users.py'), ('GET', '/health', 'health', 'app/main.py'), ('GET', '/', 'index', 'app/main.py'), ('GET', '/metrics', 'metrics', 'app/main.py'), ('HEAD', '/metrics', 'metrics', 'app/main.py'), ('POST', '/api/orders', 'create_order', 'app/orders.py'), ('GET', '/api/orders/{order_id}', 'get_order', 'app/orders.py')) v(method, \"full\", handler, file)")
-def fx_route_table(spark, sf_dir):
-    return routes.route_table(sample.tree(spark))
-
-
-@query("select file, cast(lineno as bigint) as lineno, text from (values ('a.py', 2, 'two'), ('a.py', 3, 'four'), ('new.py', 1, 'renamed')) v(file, lineno, text)")
-def fx_diff_regions(spark, sf_dir):
-    return files.diff_regions(spark.createDataFrame([(sample.DIFF,)], "diff string"))
-
-
-@query("select * from (values ('env_var', 'DATABSE_URL', 'DATABASE_URL'), ('import', 'requestz', 'requests'), ('route_handler', 'helth', 'health')) v(kind, ref, suggestion)")
-def fx_gate_broken(spark, sf_dir):
-    """Rejects of the tree with its broken file, one of each kind, each with its first suggestion."""
-    tree = sample.tree(spark, broken=True)
-    held = change.Index(tree)
-    found = change.check_change(files.region_lines(tree.where("path like '%.py'")), tree, held).where("level = 'reject'")
-    first = change.suggestions(found, held).where("rank = 1").select("kind", "ref", F.col("candidate").alias("suggestion"))
-    return found.select("kind", "ref").join(first, ["kind", "ref"], "left")
-
-
-LINES = [
-    ("a.py", 1, 'x = os.environ["A_ONE"] or os.getenv("A_TWO", "z")'),
-    ("a.py", 2, "y = os.getenv(name)"),
-    ("a.py", 3, '# os.getenv("NOT_READ")'),
-    ("b.ts", 1, "const k = process.env.B_ONE ?? 'd'; import x from '@s/p/q'"),
-    ("b.ts", 2, "import y from './local'; const z = require('left-pad/lib')"),
-    ("b.ts", 3, "import fs from 'node:fs'"),
-    ("c.go", 1, 'v := os.Getenv("C_ONE")'),
-    ("d.rb", 1, "ENV.fetch('D_ONE', 'x')"),
-]
-
-
-@query("select file, cast(lineno as bigint) as lineno, name, has_default, dynamic from (values ('a.py', 1, 'A_ONE', false, false), ('a.py', 1, 'A_TWO', true, false), ('a.py', 2, '<dynamic>', false, true), ('b.ts', 1, 'B_ONE', true, false), ('c.go', 1, 'C_ONE', false, false), ('d.rb', 1, 'D_ONE', true, false)) v(file, lineno, name, has_default, dynamic)")
-def fx_env_reads(spark, sf_dir):
-    return extract.env_reads(spark.createDataFrame(LINES, "file string, lineno long, text string"))
-
-
-@query("select file, cast(lineno as bigint) as lineno, subject, package from (values ('b.ts', 1, '@s/p/q', '@s/p'), ('b.ts', 2, 'left-pad/lib', 'left-pad'), ('b.ts', 3, 'node:fs', 'node:fs')) v(file, lineno, subject, package)")
-def fx_script_imports(spark, sf_dir):
-    return extract.script_imports(spark.createDataFrame(LINES, "file string, lineno long, text string"))
-
-
-@query("select cast(i as bigint) as i, kind, subject from (values (1, 'env', 'API_KEY'), (1, 'route', 'GET /users/{id}'), (1, 'file', 'app/main.py'), (2, 'import', 'requests'), (2, 'import', 'yaml')) v(i, kind, subject)")
-def fx_prose_claims(spark, sf_dir):
-    notes = [(1, "Set API_KEY before GET /users/{id} in app/main.py."), (2, "We import requests and use `yaml` here")]
-    return extract.prose_claims(spark.createDataFrame(notes, "i long, x string"), "i", "x")
-
-
 FOUND_SQL = "select d.doc_id, '{kind}', {value} from documents d, unnest(regexp_extract_all(d.text, '{pattern}', {group})) u(x)"
 
 
@@ -489,59 +393,6 @@ def ext_prose_claims(spark, sf_dir):
     return extract.prose_claims(t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("select * from (values ('os.path', 'accept', 'standard library'), ('app.x', 'accept', 'own package'), ('requests', 'accept', 'provided'), ('yaml', 'accept', 'provided under another name'), ('lockd', 'accept', 'installed and listed'), ('loose', 'review', 'installed only'), ('uvicorn_extra', 'reject', 'absent'), ('dotenv', 'accept', 'provided under another name'), ('maybe', 'review', 'optional'), ('inner', 'review', 'nested'), ('<dynamic>', 'review', 'dynamic'), ('requestz', 'reject', 'absent')) v(subject, level, reason)")
-def fx_import_findings(spark, sf_dir):
-    claims = [(x, x == "maybe") for x in ("os.path", "app.x", "requests", "yaml", "lockd", "loose", "uvicorn_extra", "dotenv", "maybe", "inner", "<dynamic>", "requestz")]
-    dists = [("requests", "lockfile"), ("PyYAML", "lockfile"), ("uvicorn", "manifest"), ("python-dotenv", "manifest"), ("locked-dist", "lockfile")]
-    return imports.check_python_imports(spark.createDataFrame(claims, "subject string, optional boolean"), spark.createDataFrame(dists, "dist string, kind string"), spark.createDataFrame([("app",)], "name string"), spark.createDataFrame([("lockd", "locked_dist"), ("loose", "other")], "name string, dist string"), spark.createDataFrame([("inner",)], "name string"))
-
-
-SCRIPT_TREE = {
-    "package.json": '{"dependencies": {"react": "1", "next": "1", "@scope/one": "1"}}',
-    "package-lock.json": '{"packages": {"node_modules/react": {}, "node_modules/@scope/one": {}}}',
-    "web/package.json": '{"dependencies": {"vue": "1"}}',
-    "tsconfig.json": '{"extends": "./base", /* note */ "compilerOptions": {"paths": {"@app/*": ["./app/*"], "exact": ["./x"],},}}',
-    "base.json": '{"compilerOptions": {"baseUrl": "./lib"} // end\n}',
-    "lib/util.ts": "",
-    "lib/deep/a.ts": "",
-    "src/parts/b.ts": "",
-}
-
-
-@query("select * from (values ('a.ts', 'fs', 'accept', 'built in'), ('a.ts', 'node:fs/promises', 'accept', 'built in'), ('a.ts', 'react/jsx', 'accept', 'provided'), ('a.ts', '@app/x', 'accept', 'path alias'), ('a.ts', 'exact', 'accept', 'path alias'), ('a.ts', 'exactly', 'reject', 'absent'), ('a.ts', 'next/image', 'accept', 'provided'), ('a.ts', 'deep/a', 'accept', 'base folder'), ('a.ts', 'parts/b', 'review', 'folder of the tree'), ('a.ts', '@scope/two', 'review', 'same scope'), ('a.ts', 'reactt', 'reject', 'absent'), ('web/b.ts', 'reactt', 'review', 'no lockfile'), ('a.ts', 'maybe', 'review', 'optional'), ('a.ts', 'here', 'review', 'installed only'), ('a.ts', '<dynamic>', 'review', 'dynamic')) v(file, subject, level, reason)")
-def fx_script_findings(spark, sf_dir):
-    tree = spark.createDataFrame(list(SCRIPT_TREE.items()), "path string, text string")
-    asked = [("a.ts", x) for x in ("fs", "node:fs/promises", "react/jsx", "@app/x", "exact", "exactly", "next/image", "deep/a", "parts/b", "@scope/two", "reactt", "maybe", "here", "<dynamic>")] + [("web/b.ts", "reactt")]
-    rows = spark.createDataFrame([(*x, x[1] == "maybe") for x in asked], "file string, subject string, optional boolean")
-    names = lambda *x: spark.createDataFrame([(y,) for y in x], "name string")
-    dists = files.declared_dists(tree).where("lang = 'node'")
-    return imports.check_script_imports(rows, dists, names(), aliases.script_aliases(tree), tree, names("here"))
-
-
-@query("select * from (values ('tsconfig.json', '@app/*', null), ('tsconfig.json', 'exact', null), ('tsconfig.json', null, 'lib')) v(file, pattern, base)")
-def fx_script_aliases(spark, sf_dir):
-    return aliases.script_aliases(spark.createDataFrame(list(SCRIPT_TREE.items()), "path string, text string"))
-
-
-@query("select * from (values ('GET /api/users/{id}', null, 'accept', 'registered'), ('/health/', null, 'accept', 'registered'), ('GET /health', 'health', 'accept', 'registered'), ('GET /health', 'other', 'reject', 'handled by another'), ('POST /health', null, 'reject', 'absent'), ('GET /api/users/7', null, 'reject', 'absent')) v(subject, handler, level, reason)")
-def fx_route_claims(spark, sf_dir):
-    asked = [("GET /api/users/{id}", None), ("/health/", None), ("GET /health", "mod.health"), ("GET /health", "other"), ("POST /health", None), ("GET /api/users/7", None)]
-    return routes.check_route_claims(spark.createDataFrame(asked, "subject string, handler string"), routes.resolved_routes(sample.tree(spark)))
-
-
-CLAIM_TEXTS = [
-    (1, '[{"kind": "env", "subject": "API_KEY", "line": 3}, {"kind": "route", "method": "post", "path": "/x", "hard": true}, {"kind": "tests", "command": "pytest"}, {"subject": "x"}, 5]'),
-    (2, '{"claims": [{"kind": "package", "subject": "yaml", "source": "prose"}, {"kind": "import", "subject": "a", "hard": "yes"}, {"kind": "import", "subject": "a", "line": -1}, {"kind": "route"}]}'),
-    (3, "not json"),
-    (4, "{}"),
-]
-
-
-@query("select cast(k as bigint) as k, cast(coalesce(nth, -1) as bigint) as nth, kind, subject, hard, error from (values (1, 0, 'env_var', 'API_KEY', true, null), (1, 1, 'route_handler', 'POST /x', true, null), (1, 2, 'tests_pass', 'pytest', true, null), (1, 3, '', 'x', true, 'missing kind'), (1, 4, '', null, true, 'must be an object'), (2, 0, 'import', 'yaml', false, null), (2, 1, 'import', 'a', true, 'hard must be a boolean'), (2, 2, 'import', 'a', true, 'line and col must be nonnegative integers'), (2, 3, 'route_handler', null, true, 'a route needs a subject or a path'), (3, null, null, null, null, 'claims must be a list or an object with a list')) v(k, nth, kind, subject, hard, error)")
-def fx_json_claims(spark, sf_dir):
-    return claims.claims_from_json(spark.createDataFrame(CLAIM_TEXTS, "k long, x string"), "x").select("k", F.coalesce("nth", F.lit(-1).cast("long")).alias("nth"), "kind", "subject", "hard", "error")
-
-
 @query("""
 with i as (select doc_id as record, concat('n', doc_id % 700) as id, text, case when doc_id % 11 = 0 then 'episode' when doc_id % 13 = 0 then 'odd' else 'note' end as kind from documents),
 r as (select *, case when length(trim(coalesce(text, ''))) not between 1 and 4000 then 'text' when kind = 'episode' then 'episode' when kind = 'odd' then 'kind' end as reason from i),
@@ -594,9 +445,4 @@ def mem_handoff(spark, sf_dir):
 def fn_mask_comments(spark, sf_dir):
     """Texts without quotes, with what follows a hash masked, compared without blanks."""
     bare = t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[\"'`]", "").alias("text"))
-    return bare.select("doc_id", F.replace(text.mask_comments(F.col("text"), "hash"), F.lit(" "), F.lit("")).alias("code"))
-
-
-@query("select name, ok, detail from (values ('files', true, '12 files, 0 unreadable, 7 Python files with facts'), ('environment', true, '9 names: code_default 1, compose 2, dockerfile 2, dotenv 4'), ('dependencies', true, 'lockfiles: requirements.txt; manifests: none'), ('routes', null, '8 routes, 0 unresolved')) v(name, ok, detail)")
-def fx_health(spark, sf_dir):
-    return health.report(sample.tree(spark))
+    return bare.select("doc_id", F.replace(text.mask_comments(F.col("text"), "hash"), F.lit(" "), F.lit("")).alias("code"))
\ No newline at end of file

@@ -272,20 +272,6 @@ def ext_docs_paths(spark, sf_dir):
     return rows.withColumn("docs", files.in_docs(F.col("path"))).join(read, "path", "left").withColumn("audited", F.coalesce("audited", F.lit(False)))
 
 
-@query("select 'r' || p_partkey || '/requirements.txt' as file, case when p_partkey % 3 = 0 then 'unverifiable' else 'accept' end as level from part where p_partkey between 1 and 6")
-def jn_corrupt_manifest(spark, sf_dir):
-    """A lockfile that proves a package, alone or beside a manifest that cannot be read."""
-    out = None
-    for part in range(1, 7):
-        tree = [(f"r{part}/requirements.txt", "left==1.0\n")] + ([(f"r{part}/pyproject.toml", "[project\n")] if part % 3 == 0 else [])
-        dists = files.declared_dists(spark.createDataFrame(tree, "path string, text string"))
-        none = spark.createDataFrame([], "name string, dist string")
-        asked = spark.createDataFrame([("left", False)], "subject string, optional boolean")
-        rows = imports.check_python_imports(asked, dists.select("dist", "kind"), none.select("name"), none, none.select("name")).select(F.lit(f"r{part}/requirements.txt").alias("file"), "level")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 @query()
 def gr_close_matches(spark, sf_dir):
     """Similar names of parts for the names of nations; tests hold it against the plain library."""
