@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ladders, text
+from ..functions import ladders, policy, text
 from ..operators import extract, notes, relations
 from ..runtime import ordered
-from . import cases, composed, gates
+from ..sources import files
+from . import cases, composed, gates, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,11 +28,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    return QUERIES | cases.QUERIES | composed.QUERIES | gates.QUERIES
+    return QUERIES | cases.QUERIES | composed.QUERIES | gates.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | cases.SQL | composed.SQL | gates.SQL
+    return SQL | cases.SQL | composed.SQL | gates.SQL | reports.SQL
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,16 +70,18 @@ def gate_documents(spark, sf_dir):
     return graded.groupBy("doc_id").agg(ladders.worst(F.col("level")).alias("verdict"), n("*").alias("claims"), F.count_if(F.col("level") == "accept").cast("long").alias("accepted"))
 
 
-@query(r"select doc_id, cast(i as bigint) as lineno, md5(line) as line_md5 from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)")
+@query(r"""
+select doc_id, cast(i as bigint) as lineno, md5(line) as line_md5 from (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from (
+    select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as lines from documents where text <> ''))""")
 def src_region_lines(spark, sf_dir):
-    lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return lines.select("doc_id", (F.col("i") + 1).cast("long").alias("lineno"), F.md5("line").alias("line_md5"))
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return files.region_lines(docs).select(F.col("file").cast("long").alias("doc_id"), F.col("lineno").cast("long").alias("lineno"), F.md5("text").alias("line_md5"))
 
 
 @query("select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) in ('localhost', '127.0.0.1', '::1', '[::1]', '0.0.0.0') as allowed from pages")
 def flt_safe_urls(spark, sf_dir):
-    host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
-    return t(spark, sf_dir, "pages").select("page_id", host.alias("host"), host.isin("localhost", "127.0.0.1", "::1", "[::1]", "0.0.0.0").alias("allowed"))
+    url = F.col("url")
+    return t(spark, sf_dir, "pages").select("page_id", policy.url_host(url).alias("host"), policy.allowed_host(url).alias("allowed"))
 
 
 @query("""
@@ -87,7 +90,8 @@ select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(k as bigin
 def jn_reference_anti(spark, sf_dir):
     """References whose target is absent; every seventh is broken on purpose, since the tables have no orphans."""
     claims = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.when(F.col("l_partkey") % 7 == 0, F.col("l_partkey") + 10_000_000).otherwise(F.col("l_partkey")).cast("long").alias("k"))
-    return claims.join(t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k")), "k", "left_anti").select("l_orderkey", "l_linenumber", "k")
+    parts = t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.lit("part").alias("source"))
+    return relations.check_references(claims, parts, "k", "source").where("declared_in is null").select("l_orderkey", "l_linenumber", "k")
 
 
 @query("""
