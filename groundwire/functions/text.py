@@ -18,6 +18,9 @@ ROUTE = r"\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[\w./{}\-:]*)"
 FILE = r"(?<![\w/])((?:[\w.\-]+/)+[\w.\-]+\.[A-Za-z0-9]{1,8})"
 IMPORT = r"(?m)(?:^|[\s`(])(?:import|from)\s+([A-Za-z_][\w]*)(?:[.\s`)]|$)"
 BACKTICK_MODULE = r"`([a-z][a-z0-9_]{2,})`"
+# Words, and the parts of those in camel case.
+WORD = r"(?U)([^\W\d_]\w*)"
+CAMEL_PART = r"([A-Z]?[a-z]+|[A-Z]+(?![a-z]))"
 
 
 def scrub(text: Column) -> Column:
@@ -29,14 +32,14 @@ def scrub(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Distinct lower-case words, and parts of camel-case words of two letters or more, sorted."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)([^\W\d_]\w*)"), F.lit(1))
-    parts = F.flatten(F.transform(words, lambda w: F.filter(F.regexp_extract_all(w, F.lit(r"([A-Z]?[a-z]+|[A-Z]+(?![a-z]))"), F.lit(1)), lambda p: F.length(p) > 1)))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
+    parts = F.flatten(F.transform(words, lambda w: F.filter(F.regexp_extract_all(w, F.lit(CAMEL_PART), F.lit(1)), lambda p: F.length(p) > 1)))
     return F.array_sort(F.array_distinct(F.transform(F.concat(words, parts), lambda w: F.lower(w))))
 
 
 def words(text: Column) -> Column:
     """Distinct lower-case words of a text, sorted, without camel-case parts."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)([^\W\d_]\w*)"), F.lit(1)), lambda w: F.lower(w))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), lambda w: F.lower(w))))
 
 
 def name_tokens(name: Column) -> Column:

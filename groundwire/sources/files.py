@@ -141,10 +141,12 @@ def where_to_declare(files: DataFrame, by: tuple[str, ...] = (), configured: tup
     return first.select(*by, F.coalesce("file", F.lit(".env.example")).alias("file"))
 
 
-# Names of manifests and lockfiles; a requirement's name, one that a URL carries; keys of a lockfile that are no packages.
+# Names of manifests and lockfiles; a requirement's name, one that a URL carries; names in lockfiles and environment files; keys of a lockfile that are no packages.
 MANIFEST = r"^(requirements.*\.txt|poetry\.lock|uv\.lock|Pipfile(\.lock)?|pyproject\.toml|setup\.cfg|environment\.ya?ml|package\.json|package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml)$"
 REQUIREMENT = r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)"
 EGG = r"[#&]egg=([A-Za-z0-9._-]+)"
+LOCKED_NAME = r'(?m)^name\s*=\s*"([^"]+)"'
+CONDA_NAME = r"(?m)^\s*-\s*([A-Za-z0-9][A-Za-z0-9._-]*)"
 PNPM_PACKAGE = r"(?m)^\s{2}/?'?(@?[^@'\s/]+(?:/[^@'\s/]+)?)@"
 PNPM_ENTRY = r"(?m)^\s{4,}'?(@[A-Za-z0-9._-]+/[A-Za-z0-9._-]+|[A-Za-z0-9._-]+)'?:\s*$"
 PNPM_KEYS = (
@@ -190,7 +192,7 @@ def manifest_names(path: str, text: str | None):
             rows = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith(("#", "-"))]
             kind = "lockfile" if rows and all(re.match(REQUIREMENT + r"(?:\[[^\]]*\])?\s*==", x) for x in rows) else "manifest"
         elif base in ("poetry.lock", "uv.lock"):
-            names, kind = re.findall(r'(?m)^name\s*=\s*"([^"]+)"', text), "lockfile"
+            names, kind = re.findall(LOCKED_NAME, text), "lockfile"
         elif base == "Pipfile":
             data = tomllib.loads(text)
             names = [*data.get("packages", {}), *data.get("dev-packages", {})]
@@ -216,7 +218,7 @@ def manifest_names(path: str, text: str | None):
                 wanted += [y for _, x in data.items("options.extras_require") for y in x.splitlines()]
             names = [_requirement(x) for x in wanted if x.strip()]
         elif base in ("environment.yml", "environment.yaml"):
-            names = [x for x in re.findall(r"(?m)^\s*-\s*([A-Za-z0-9][A-Za-z0-9._-]*)", text) if x not in ("python", "pip")]
+            names = [x for x in re.findall(CONDA_NAME, text) if x not in ("python", "pip")]
         elif base == "package.json":
             lang, data = "node", json.loads(text)
             names = [y for x in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies") for y in data.get(x, {})]
