@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders, text
 from ..operators import change, claims, extract, health, imports, routes
+from ..runtime import sized, spread
 from ..sources import aliases, files, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,8 @@ def suppliers(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str)
 
     fields = StructType.fromDDL(schema).fields
     made = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields))) for row in rows))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.explode(made).alias("v")).select("k", "v.*")
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
+    return spread(keys, "k").select("k", F.explode(made).alias("v")).select("k", "v.*")
 
 
 def below(name: str = "path") -> F.Column:
@@ -49,12 +51,12 @@ def below(name: str = "path") -> F.Column:
 
 
 def services(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
-    """(path, text): the sample service of every supplier, with routes that carry its number."""
+    """(path, text): the sample service of every supplier, with routes that carry its number; written, as a tree is read many times."""
     tree = suppliers(spark, sf_dir, list((sample.CLEAN | (sample.BROKEN if broken else {})).items()), "path string, text string")
     own = F.col("text")
     for route in ("/api", "/health", "/metrics"):
         own = F.replace(own, F.lit(f'"{route}"'), F.concat(F.lit(f'"{route}'), "k", F.lit('"')))
-    return tree.select(below(), own.alias("text"))
+    return sized(tree.select(below(), own.alias("text")), "services")
 
 
 @query(each("select * from (values (0, 'proven'), (1, 'contradicted'), (2, 'plausible'), (3, 'contradicted'), (4, 'contradicted'), (5, 'plausible'), (6, 'not_observed'), (7, 'not_observed')) v(i, honesty)"))
