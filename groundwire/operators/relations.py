@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_tokens
-from ..runtime import ordered
+from ..runtime import ordered, spread
 
 
 def check_references(claims: DataFrame, declared: DataFrame, name: str, source: str) -> DataFrame:
@@ -133,10 +133,12 @@ def resolve(nodes: DataFrame, ref: str) -> DataFrame:
 def recall(queries: DataFrame, notes: DataFrame, limit: int) -> DataFrame:
     """Best `limit` notes of each query: two points a query word in the title, one in the body; ties by id.
 
-    queries: query_id, words; notes: id, title_words, body_words.  An inverted index, joined on words.
+    queries: query_id, words; notes: id, title_words, body_words.  An inverted index, joined on words; the words that are
+    asked for are dealt out by note, so that each task adds up the points of its own few notes.
     """
     asked = queries.select("query_id", F.explode("words").alias("word"))
     index = notes.select("id", F.explode("title_words").alias("word"), F.lit(2).alias("points")).union(notes.select("id", F.explode("body_words").alias("word"), F.lit(1).alias("points")))
+    index = spread(index.join(asked.select("word").distinct(), "word", "left_semi"), "id")
     scored = asked.join(index, "word").groupBy("query_id", "id").agg(F.sum("points").cast("long").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
