@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..operators import anchors, change, claims, evidence, graph, imports, index, mutation, notes
-from ..runtime import ordered, saved
+from ..runtime import ordered, saved, sized, spread
 from ..sources import files, stack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,7 +236,7 @@ def jn_import_aliases(spark, sf_dir):
 def ext_broken_python_imports(spark, sf_dir):
     """Imports of Python that does not parse, line by line."""
     text = F.lit("import os, sys as s\nfrom a.b import c\n# import not_this\nx = importlib.import_module('late.mod')\ny = __import__(name)\ndef broken(:\n")
-    rows = t(spark, sf_dir, "part").select(F.format_string("p%d.py", "p_partkey").alias("path"), text.alias("text"))
+    rows = spread(t(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.format_string("p%d.py", "p_partkey").alias("path"), text.alias("text"))
     return files.python_facts(rows).where("tag = 'import'").select(F.regexp_replace("path", r"\.py$", "").alias("file"), "line", F.col("name").alias("subject"))
 
 
@@ -246,7 +246,7 @@ select 'svc/c' || c_custkey || '.py' as file, name, source from customer, latera
 union all select 'web/c' || c_custkey || '.ts', 'JS_' || c_custkey, 'code_default' from customer""")
 def src_code_declarations(spark, sf_dir):
     """Names that code declares: settings fields under their prefix, assignments, defaults of Python and of scripts."""
-    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    c = spread(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
     text = F.expr("""concat('class S(BaseSettings):\\n    model_config = SettingsConfigDict(env_prefix="x', k, '_")\\n    url: str\\n    _hidden = 1\\n\\n\\nos.environ["SET_', k, '"] = "1"\\nos.environ.setdefault("KEPT_', k, '", "1")\\nos.getenv("GOT_', k, '", "d")\\nos.getenv("READ_', k, '")\\n')""")
     script = F.expr("concat('const a = process.env.JS_', k, ' ?? 1;\\nconst b = process.env.OTHER_', k, ';\\n')")
     tree = c.select(F.expr("concat('svc/c', k, '.py')").alias("path"), text.alias("text")).unionByName(c.select(F.expr("concat('web/c', k, '.ts')").alias("path"), script.alias("text")))
