@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import change, claims, index, payload, recall, sync
 from ..operators.store import Store
-from ..runtime import fresh_path
+from ..runtime import fresh_path, sized, spread
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ MAIN = r"""concat('import app', k, '.core\nimport util', k, '\nimport blog', k,
 
 def monorepo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): a project a supplier, with packages beside its lockfile, under `src`, in a folder that packaging declares, and deeper."""
-    k = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    k = spread(t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")), "k")
     at = "concat('services/s', k, '/"
     return _tree(
         k, _file(at + "requirements.txt')", r"'requests==2.0\n'"), _file(at + "app', k, '/__init__.py')", "''"), _file(at + "app', k, '/main.py')", MAIN), _file(at + "src/util', k, '.py')", "''"), _file(at + "apps/blog', k, '/__init__.py')", "''"),
@@ -70,7 +70,7 @@ select 'services/s' || s_suppkey || '/app' || s_suppkey || '/web.py' as file, li
     (3, 'missing', case when s_suppkey % 2 = 0 then 'reject' else 'review' end, case when s_suppkey % 2 = 0 then 'its module does not bind it' else 'outside the tree' end)) v(line, ref, level, reason)""")
 def gate_nested_routes(spark, sf_dir):
     """Handlers that a service imports from its own package: found where a manifest makes its folder a project."""
-    k = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    k = spread(t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")), "k")
     at = "concat('services/s', k, '/"
     web = r"""concat('from app', k, '.handlers import handle, missing\napp.add_api_route("/a", handle)\napp.add_api_route("/b", missing)\n')"""
     tree = _tree(k, _file(at + "setup.py')", "''", "k % 2 = 0"), _file(at + "app', k, '/handlers.py')", r"'def handle():\n    pass\n'"), _file(at + "app', k, '/web.py')", web))
@@ -83,7 +83,7 @@ EDITED = r"""concat('import os\n\n\ndef load():\n    return os.environ["NAME_',
 
 def _growing(spark, sf_dir, later: bool) -> DataFrame:
     """A module a customer; later, every fifth has one more function, every seventh is gone, and one name is declared no more."""
-    k = t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    k = spread(t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k")), "k")
     code = _tree(k, _file("concat('m/c', k, '.py')", EDITED.format(later=str(later).lower()), "k % 7 <> 0" if later else "true"))
     names = k.where("k < 7" if not later else "k < 6").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("NAME_"), "k", F.lit("=")))), "\n").alias("text"))
     return code.unionByName(names.select(F.lit(".env.example").alias("path"), "text"))
@@ -121,7 +121,7 @@ select c_custkey, case when c_custkey % 7 = 0 then case when c_custkey % 2 = 0 t
     when c_custkey % 3 = 0 then 'contradicted' when c_custkey % 4 = 0 then 'not_observed' else 'proven' end as reason from customer""")
 def hon_reports_and_runs(spark, sf_dir):
     """Claims that tests pass, a customer each, which name a report: with a failure, without tests, broken, or good; every seventh command was seen to run."""
-    k = t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    k = spread(t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k")), "k")
     case = """concat('<testsuite>', if(k % 3 = 0, '<testcase name="a"><failure/></testcase>', if(k % 4 = 0, '', '<testcase name="b"/>')), '</testsuite>')"""
     tree = _tree(k, _file("concat('out/r', k, '.xml')", f"if(k % 5 = 0, '<testsuite', {case})"))
     asked = claims.claims_from_json(k.select("k", F.expr("""concat('[{"kind": "tests", "command": "make  c', k, '", "evidence": {"junit": "out/r', k, '.xml", "exit_code": 0}}]')""").alias("j")), "j")
@@ -135,13 +135,16 @@ from part, lateral (values (3, 'READ_' || p_partkey), (4, 'TOLD_' || p_partkey))
 union all select 'web/p' || p_partkey || '.rb', 1, 'READ_' || p_partkey, case when p_size % 2 = 0 then 'accept' else 'reject' end from part""")
 def gate_masked_reads(spark, sf_dir):
     """Reads of the environment in scripts and Ruby, beside others that stand in comments of one line and of several."""
-    k = t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_size")
+    k = spread(t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_size"), "k")
     script = r"""concat('/* process.env.NOT_THIS\n process.env.NOR_THIS */\nconst a = process.env.READ_', k, ' // process.env.NOT_EITHER\nconst b = `${process.env.TOLD_', k, '} // text`\n')"""
     ruby = r"""concat('x = ENV["READ_', k, '"] # ENV["NOT_HERE"]\n')"""
     code = _tree(k, _file("concat('web/p', k, '.ts')", script), _file("concat('web/p', k, '.rb')", ruby))
-    names = k.where("p_size % 2 = 0").select(F.explode(F.array(F.concat(F.lit("READ_"), "k"), F.concat(F.lit("TOLD_"), "k"))).alias("name")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("=")))), "\n").alias("text"))
-    tree = code.unionByName(names.select(F.lit(".env.example").alias("path"), "text")).unionByName(spark.createDataFrame([("Dockerfile", "ENV ALWAYS=1\n")], "path string, text string"))
-    return change.check_change(files.region_lines(code), tree).select("file", "line", "subject", "level")
+    names = k.where("p_size % 2 = 0").select((F.col("k") / 1000).cast("long").alias("folder"), F.explode(F.array(F.concat(F.lit("READ_"), "k"), F.concat(F.lit("TOLD_"), "k"))).alias("name"))
+    # a file for each thousand parts, so that no row holds all names
+    names = names.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("=")))), "\n").alias("text"))
+    tree = code.unionByName(names.select(F.concat(F.lit("names/"), "folder", F.lit("/.env.example")).alias("path"), "text")).unionByName(spark.createDataFrame([("Dockerfile", "ENV ALWAYS=1\n")], "path string, text string"))
+    tree = sized(tree, "tree")
+    return change.check_change(files.region_lines(tree.where("path like 'web/%'")), tree).select("file", "line", "subject", "level")
 
 
 WORDS = r"regexp_extract_all({0}, '[\pL][\pL\pN\pM_]*')"
