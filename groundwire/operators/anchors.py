@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ladders
 from ..functions.text import scrub, top_level
-from ..runtime import saved
+from ..runtime import sized
 from ..sources.files import region_lines
 from .notes import redactions
 from .relations import union_all
@@ -59,7 +59,7 @@ def resolve_anchors(cited: DataFrame, index) -> DataFrame:
     routes = graded.withColumn("node", node).join(held, "node", "left").select(F.lit("route").alias("kind"), "value", "node", "state", "h")
 
     other = c.where(~F.col("kind").isin(*ANCHOR_KINDS)).select("kind", "value", F.lit(None).cast("string").alias("node"), F.lit("unverifiable").alias("state"), F.lit(None).cast("string").alias("h"))
-    rows = saved(union_all([files, env, imports, symbols, routes, other]), "anchors")
+    rows = sized(union_all([files, env, imports, symbols, routes, other]), "anchors")
     return rows.select("kind", "value", "node", "state", F.when(F.col("state") == "valid", F.col("h")).alias("content_hash"))
 
 

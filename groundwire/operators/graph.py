@@ -7,7 +7,7 @@ import difflib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import saved
+from ..runtime import sized
 from .change import Index, check_change
 from .index import readable
 from .relations import innermost, neighbours, union_all
@@ -33,14 +33,14 @@ def context_edges(tree: DataFrame, index: Index | None = None, findings: DataFra
         from ..sources.files import region_lines
 
         findings = check_change(region_lines(tree.withColumn("text", readable(F.col("text")))), tree, index)
-    findings = saved(findings, "findings")
+    findings = sized(findings, "findings")
     good = findings.where("level = 'accept'").select("kind", "subject", "file", "line")
     names = index.env.select(F.col("name").alias("subject")).distinct()
     reads = good.where("kind = 'env_var'").join(names, "subject", "left_semi").select(F.concat(F.lit("env:"), "subject").alias("b"), F.lit("reads_env").alias("relation"), "file", "line")
     top = F.lower(F.regexp_replace(F.substring_index("subject", ".", 1), "[-_.]+", "_"))
     provided = listed.select(F.lower(F.regexp_replace("dist", "[-_.]+", "_")).alias("top"), F.concat(F.lit("dist:"), "lang", F.lit(":"), "dist").alias("b")).distinct()
     imports = good.where("kind = 'import'").withColumn("top", top).join(provided, "top").select("b", F.lit("imports").alias("relation"), "file", "line")
-    uses = saved(reads.unionByName(imports).distinct(), "uses")
+    uses = sized(reads.unionByName(imports).distinct(), "uses")
     owners = innermost(uses.select("file", "line").distinct().withColumnRenamed("line", "at"), symbols.select("file", F.col("line").alias("start"), "end", "name"), ["file"], "at", "start", "end", "name").withColumnRenamed("at", "line")
     uses = uses.join(owners, ["file", "line"], "left").select(F.coalesce(F.concat(F.lit("symbol:"), "file", F.lit(":"), "scope"), file("file")).alias("a"), "b", "relation", "file", "line")
     routes = index.routes.where("full is not null and not full like '?%'").select(F.concat(F.lit("route:"), "method", F.lit(" "), "full").alias("route"), "handler", "file").distinct()

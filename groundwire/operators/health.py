@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import saved
+from ..runtime import sized
 from ..sources.files import declared_dists, declared_env, python_facts
 from .relations import union_all
 from .routes import resolved_routes
@@ -16,7 +16,7 @@ def report(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 
     Lines: files, environment declarations by source, dependency sources, routes.  An empty tree gives all lines.
     """
-    facts = saved(python_facts(files), "facts") if facts is None else facts
+    facts = sized(python_facts(files), "facts") if facts is None else facts
 
     def line(df, name, ok, detail):
         return df.select(F.lit(name).alias("name"), ok.alias("ok"), detail.alias("detail"))

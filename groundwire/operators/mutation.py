@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import module_norm, top_level
-from ..runtime import saved
+from ..runtime import sized
 from ..sources.files import region_lines
 from .change import CODE, Index, check_change, suggestions
 from .extract import env_reads
@@ -71,7 +71,7 @@ def candidates(lines: DataFrame, tree: DataFrame, index: Index) -> DataFrame:
     Left out are reads with a fallback, optional imports, modules that come under another name or within a longer path,
     routes that a decorator defines, and handlers and routers that are parts of another object.
     """
-    good = saved(check_change(lines, tree, index).where("level = 'accept'"), "accepted")
+    good = sized(check_change(lines, tree, index).where("level = 'accept'"), "accepted")
     fallback = index.facts.where("tag = 'env' and extra = 'default'").select(F.col("path").alias("file"), "line", F.col("name").alias("ref"))
     fallback = fallback.unionByName(env_reads(lines.where(F.col("file").rlike(CODE))).where("has_default").select("file", F.col("lineno").cast("long").alias("line"), F.col("name").alias("ref")))
     optional = index.facts.where("tag = 'import' and extra = 'optional'").select(F.col("path").alias("file"), F.col("name").alias("ref"))
@@ -97,19 +97,19 @@ def mutations(tree: DataFrame, seed: int = 13, count: int = 5, index: Index | No
     chosen = hash_sample(rows, "oracle", "key", str(seed), count)
     drawn = chosen.withColumn("mutated", typo(F.col("name"), F.concat(F.lit(f"{seed} "), F.col("key"))))
     copy = F.regexp_replace("file", F.lit(r"(\.[^./]+)$"), F.concat(F.lit("__"), F.substring("key", 1, 16), F.lit("$1")))
-    chosen = saved(drawn.withColumn("copy", copy), "mutations")
+    chosen = sized(drawn.withColumn("copy", copy), "mutations")
 
     # at most `count` an oracle are chosen, so few files are copied, whatever the size of the tree
     held = chosen.join(lines.select("file", F.col("lineno").cast("long").alias("lineno"), "text"), "file")
     near = F.col("lineno").between(F.col("line"), F.col("line") + LINES_AHEAD)
     changed = F.when(near, struck(F.col("text"), F.col("oracle"), F.col("name"), F.col("mutated")))
-    held = saved(held.withColumn("changed", changed), "copies")
+    held = sized(held.withColumn("changed", changed), "copies")
     at = held.where("changed is not null").groupBy("key").agg(F.min("lineno").alias("at"))
     copies = held.join(at, "key").select(F.col("copy").alias("file"), "lineno", F.when(F.col("lineno") == F.col("at"), F.col("changed")).otherwise(F.col("text")).alias("text"))
-    checked = saved(check_change(copies, tree, index).where("level in ('review', 'reject')").withColumnsRenamed({"file": "copy", "line": "found_at"}), "checked")
+    checked = sized(check_change(copies, tree, index).where("level in ('review', 'reject')").withColumnsRenamed({"file": "copy", "line": "found_at"}), "checked")
 
     name = lambda x: (F.col("ref") == x) | F.col("ref").startswith(F.concat(x, F.lit("."))) | F.col("ref").startswith(F.concat(x, F.lit("/")))
-    related = saved(chosen.join(checked.select("copy", "oracle", "kind", "ref", "level"), ["copy", "oracle", "kind"]).where(name(F.col("mutated"))), "related")
+    related = sized(chosen.join(checked.select("copy", "oracle", "kind", "ref", "level"), ["copy", "oracle", "kind"]).where(name(F.col("mutated"))), "related")
     wanted = related.where("level = 'reject'")
     near_names = suggestions(wanted.select("kind", "ref", "file", "level"), index).select("kind", "ref", "file", "candidate")
     right = wanted.join(near_names, ["kind", "ref", "file"]).where(module_norm(F.col("candidate")) == module_norm(F.col("name"))).select("key", F.lit(True).alias("suggested")).distinct()

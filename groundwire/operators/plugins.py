@@ -15,7 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import saved
+from ..runtime import sized
 from .change import environment_findings, import_findings, route_findings
 from .relations import union_all
 
@@ -82,7 +82,7 @@ def guarded(asked: dict[str, Oracle], facts: DataFrame, lines: DataFrame, parsed
         try:
             found = _answer(oracle, facts, lines, parsed, index)
             if found is not None and oracle is not BUILT_IN.get(name):
-                found = saved(found, "findings")
+                found = sized(found, "findings")
         except Exception as error:  # noqa: BLE001 - nothing that an oracle does may stop the others
             said = error.getCondition() if isinstance(error, PySparkException) else str(error)
             found = spark.createDataFrame([("oracle", name, name, "", 0, "unverifiable", f"failed: {type(error).__name__}: {said}"[:300], False)], "kind string, subject string, ref string, file string, line long, level string, reason string, dynamic boolean")

@@ -28,6 +28,8 @@ def did_you_mean(names: DataFrame, candidates: DataFrame, name: str, candidate:
     by = within or []
     n = names.select(*by, F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct().withColumn("name_tokens", F.array_sort(name_tokens(F.col("name"))))
     c = candidates.select(*by, F.col(candidate).alias("candidate")).where(F.col(candidate).isNotNull()).distinct().withColumn("cand_tokens", F.array_sort(name_tokens(F.col("candidate"))))
+    if by:  # only pools that are asked for
+        c = c.join(n.select(*by).distinct(), by, "left_semi")
     cap = F.when(F.length("name") >= 16, 4).otherwise(3)
 
     def twos(tokens):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import saved
+from ..runtime import sized
 from ..sources.files import python_facts
 from ..sources.projects import module_homes
 
@@ -51,7 +51,7 @@ def _chains(routers: DataFrame, edges: DataFrame) -> DataFrame:
         done = here.where(app | stuck).select("file", "var", base.alias("base"))
         found = done if found is None else found.unionByName(done)
         # a written table, so that no step is planned and computed again within the next ones; most chains are short
-        at = saved(here.where(~app & ~stuck).select("file", "var", F.col("up_file").alias("at_file"), F.col("up_var").alias("at_var"), F.concat("inc_prefix", "base").alias("base")), "chains")
+        at = sized(here.where(~app & ~stuck).select("file", "var", F.col("up_file").alias("at_file"), F.col("up_var").alias("at_var"), F.concat("inc_prefix", "base").alias("base")), "chains")
         if at.isEmpty():
             break
     return found.distinct()
@@ -63,12 +63,12 @@ def resolved_routes(files: DataFrame, facts: DataFrame | None = None) -> DataFra
     full: null if the prefix cannot be told, `?` stands for a computed part; tail: router's prefix and path.  An
     include that leads to no router of the tree gives one row of method `?`, which keeps absence from being proved.
     """
-    facts = saved(python_facts(files), "facts") if facts is None else facts
+    facts = sized(python_facts(files), "facts") if facts is None else facts
     routers = facts.where("tag = 'router'").select(F.col("path").alias("file"), F.col("name").alias("var"), F.col("value").alias("prefix"), F.col("extra").alias("kind"))
-    routers = saved(routers.groupBy("file", "var").agg(F.max("kind").alias("kind"), F.max("prefix").alias("prefix")), "routers")
+    routers = sized(routers.groupBy("file", "var").agg(F.max("kind").alias("kind"), F.max("prefix").alias("prefix")), "routers")
     where = F.split("extra", " ", 2)
     routes = facts.where("tag = 'route'").select(F.col("path").alias("file"), F.col("name").alias("method"), F.col("value").alias("path"), where.getItem(0).alias("var"), where.getItem(1).alias("handler"))
-    edges = saved(_includes(facts, files), "includes")
+    edges = sized(_includes(facts, files), "includes")
     placed = routes.join(routers, ["file", "var"], "left").join(_chains(routers, edges), ["file", "var"], "left")
     own = F.when(F.col("kind") == "router", F.col("prefix")).otherwise("")
     full = F.when((F.col("kind") == "app") | (F.col("kind").isNull() & F.col("var").isin("app", "application")), F.col("path")).when(F.col("kind") == "router", F.concat("base", own, "path"))

@@ -111,6 +111,7 @@ def fx_gate_broken(spark, sf_dir):
     tree = services(spark, sf_dir, broken=True)
     held = change.Index(tree)
     found = change.check_change(files.region_lines(tree.where("path like '%.py'")), tree, held).where("level = 'reject'")
+    found = sized(found, "found")  # used twice
     first = change.suggestions(found, held).where("rank = 1").select("kind", "ref", "file", F.col("candidate").alias("suggestion"))
     return found.select("kind", "ref", "file").join(first, ["kind", "ref", "file"], "left")
 
