@@ -43,9 +43,9 @@ def service_tree(spark: SparkSession, sf_dir: str, listed: str = "n_regionkey <=
 
     names = listing(".env.example", declared, F.concat(F.lit("NATION_"), "n_nationkey", F.lit("=")))
     locks = listing("requirements.txt", listed, F.concat("lib", F.lit("==1.0")))
-    code = t(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    code = spread(t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     text = F.format_string('import os\nimport %s\n\n\ndef load():\n    return os.environ["NATION_%d"]\n', "lib", F.col("n_nationkey").cast("long"))
-    return names.unionByName(locks).unionByName(code.select(F.format_string("svc/s%d.py", "s_suppkey").alias("path"), text.alias("text")))
+    return sized(names.unionByName(locks).unionByName(code.select(F.format_string("svc/s%d.py", "s_suppkey").alias("path"), text.alias("text"))), "tree")
 
 
 SERVICES = f"(select 'svc/s' || s_suppkey || '.py' as file, {LIB} as lib, 'NATION_' || n_nationkey as env, n_regionkey as region from supplier join nation on s_nationkey = n_nationkey)"
@@ -306,12 +306,12 @@ def far_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = listing(".env.example", "n_regionkey <> 4", F.concat(F.upper("far"), F.lit("=")))
     locks = listing("requirements.txt", "n_regionkey <= 2", F.concat(F.lit("lib"), "far", F.lit("==1.0")))
-    code = t(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    code = spread(t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     text = F.format_string(
         'import os\nfrom lib%s import thing\n\n\ndef handle():\n    return os.environ["%s"], os.getenv("OTHER", "1")\n\n\ndef setup(app):\n    app.add_api_route(\n        "/handle",\n        handle,\n    )\n',
         "far", F.upper("far"),
     )
-    return names.unionByName(locks).unionByName(code.select(F.format_string("svc/s%d.py", "s_suppkey").alias("path"), text.alias("text")))
+    return sized(names.unionByName(locks).unionByName(code.select(F.format_string("svc/s%d.py", "s_suppkey").alias("path"), text.alias("text"))), "tree")
 
 
 @query(f"select oracle, least(n, 25) as total, least(n, 25) as detected, least(n, 25) as blocked, least(n, 25) as suggested, 0::bigint as misses from ({RUN}) where n > 0")
