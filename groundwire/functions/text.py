@@ -18,9 +18,9 @@ ROUTE = r"\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/[\w./{}\-:]*)"
 FILE = r"(?<![\w/])((?:[\w.\-]+/)+[\w.\-]+\.[A-Za-z0-9]{1,8})"
 IMPORT = r"(?m)(?:^|[\s`(])(?:import|from)\s+([A-Za-z_][\w]*)(?:[.\s`)]|$)"
 BACKTICK_MODULE = r"`([a-z][a-z0-9_]{2,})`"
-# Words, and the parts of those in camel case.
+# Words, and the parts of two letters or more of those in camel case.
 WORD = r"(?U)([^\W\d_]\w*)"
-CAMEL_PART = r"([A-Z]?[a-z]+|[A-Z]+(?![a-z]))"
+CAMEL_PART = r"([A-Z][a-z]+|[a-z]{2,}|[A-Z]{2,}(?![a-z]))"
 
 
 def scrub(text: Column) -> Column:
@@ -31,15 +31,22 @@ def scrub(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case words, and parts of camel-case words of two letters or more, sorted."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
-    parts = F.flatten(F.transform(words, lambda w: F.filter(F.regexp_extract_all(w, F.lit(CAMEL_PART), F.lit(1)), lambda p: F.length(p) > 1)))
-    return F.array_sort(F.array_distinct(F.transform(F.concat(words, parts), lambda w: F.lower(w))))
+    """Distinct lower-case words, and parts of camel-case words of two letters or more, sorted.
+
+    Every letter lies in a word, so parts are sought in the whole text and not word by word.
+    """
+    return _lowered(F.concat(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), F.regexp_extract_all(text, F.lit(CAMEL_PART), F.lit(1))))
+
+
+def _lowered(words: Column) -> Column:
+    # put together at line ends, which no word holds and each ends one: one call for all words, and none for each
+    joined = F.array_join(F.array_distinct(words), "\n")
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower(joined), "\n"), "")))
 
 
 def words(text: Column) -> Column:
     """Distinct lower-case words of a text, sorted, without camel-case parts."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), lambda w: F.lower(w))))
+    return _lowered(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)))
 
 
 def name_tokens(name: Column) -> Column:
@@ -74,7 +81,8 @@ def counted(text: Column, pattern: str) -> Column:
 
 
 def tail(text: Column, size: int = 300) -> Column:
-    return F.right(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(size))
+    # a single space stays as it is, and most are
+    return F.right(F.trim(F.regexp_replace(text, r"[\t\n\x0B\f\r]\s*| \s+", " ")), F.lit(size))
 
 
 def escaped(text: Column) -> Column:

@@ -6,6 +6,7 @@ from urllib.parse import urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from groundwire.functions import text as texts
 from groundwire.operators import recall, relations
 from groundwire.plans import cases, catalogue, composed, gates
 from groundwire.runtime import sized
@@ -50,3 +51,15 @@ def test_only_pools_that_are_asked_for(spark):
 def test_postings_have_one_row_a_word(spark):
     notes = spark.createDataFrame([(129, ["a", "b"], ["b", "c"])], "place long, title array<string>, body array<string>")
     assert sorted((r["term"], r["block"], r["place"], r["points"]) for r in recall.postings(notes).collect()) == [("a", 1, 129, 2), ("b", 1, 129, 3), ("c", 1, 129, 1)]
+
+
+def test_texts_of_documents_are_dealt_out_and_words_found_at_once(spark):
+    plan = catalogue.queries()["fn_texts_of_documents"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "lambdafunction" not in plan
+
+
+def test_terms_with_parts_in_odd_words(spark):
+    text = "getHTTPUrl2 aBc ABc x1yz café ΑΣ.ΑΣ 1in_ 9to"
+    want = ["abc", "bc", "caf", "café", "get", "gethttpurl2", "http", "in", "in_", "to", "url", "x1yz", "yz", "ας"]
+    assert spark.range(1).select(texts.terms(F.lit(text)).alias("t")).first().t == want
+    assert spark.range(1).select(texts.terms(F.lit("")).alias("t"), texts.terms(F.lit(None).cast("string")).alias("n")).first() == ([], None)
