@@ -7,7 +7,8 @@ blocks alone, as many as it wants notes; then those blocks that could still hold
 few and for common ones is none once the first notes have all their points.  Of equal notes the smaller id comes first, so
 a block whose bound only equals the last kept score counts only if it lies before that note.
 
-How many notes match at all comes from bitmaps of note numbers, of the words that are asked for alone.
+How many notes match at all comes from bitmaps of the notes of a block, two longs each, of the words that are asked for
+alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..functions.text import terms
 from ..runtime import ordered, saved, spread
 
 BLOCK = 128
+#: Columns of the bitmap of a block, 64 notes each.
+HALVES = ("low", "high")
 #: The word that all notes have and blank queries ask for; no text has it.
 ANY = ""
 HIDDEN = ("stale", "invalid")
@@ -95,10 +98,14 @@ class Notebook:
     def matches(self, queries: DataFrame, limit: int = 8, include_hidden: bool = False) -> DataFrame:
         """(query_id, matches, hidden_stale, limit_omitted): how many notes a query finds, how many more are stale or invalid, and how many the limit leaves out."""
         asked = saved(wanted(queries), "asked")
-        # a part is 32768 notes, whose bitmaps are made and put together where they lie: only numbers are dealt out
-        rows = of_asked(asked, self.found()).select("term", "hidden", F.expr("bitmap_bucket_number(place)").alias("part"), F.expr("bitmap_bit_position(place)").alias("at"))
-        bits = spread(rows, "part").groupBy("term", "hidden", "part").agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
-        parts = asked.join(bits, "term").groupBy("query_id", "hidden", "part").agg(F.expr("bitmap_count(bitmap_or_agg(bits))").alias("n"))
+        # a bitmap is as long as a block and stands in two longs, which aggregates hold in place and need not sort; blocks are
+        # dealt out, so that the words of a block and then its queries are put together where it lies
+        bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+        rows = of_asked(asked, self.found()).select("term", "hidden", "block", *(F.when(F.floor(F.col("place") % BLOCK / 64) == k, bit).otherwise(0).alias(x) for k, x in enumerate(HALVES)))
+        either = [F.bit_or(x).alias(x) for x in HALVES]
+        bits = spread(rows, "block").groupBy("term", "hidden", "block").agg(*either)
+        met = asked.join(bits, "term").groupBy("query_id", "hidden", "block").agg(*either)
+        parts = met.select("query_id", "hidden", sum((F.bit_count(x) for x in HALVES), F.lit(0)).alias("n"))
         shown = F.lit(True) if include_hidden else ~F.col("hidden")
         found = parts.groupBy("query_id").agg(F.coalesce(F.sum(F.when(shown, F.col("n"))), F.lit(0)).alias("matches"), F.coalesce(F.sum(F.when(~shown, F.col("n"))), F.lit(0)).alias("hidden_stale"))
         n = F.coalesce("matches", F.lit(0)).cast("long")

@@ -53,6 +53,20 @@ def test_postings_have_one_row_a_word(spark):
     assert sorted((r["term"], r["block"], r["place"], r["points"]) for r in recall.postings(notes).collect()) == [("a", 1, 129, 2), ("b", 1, 129, 3), ("c", 1, 129, 1)]
 
 
+def test_matches_hold_bitmaps_in_place(spark):
+    plan = catalogue.queries()["mem_recall_matches"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_matches_of_several_blocks(spark):
+    notes = spark.range(1, 1001).select("id", F.when(F.col("id") % 3 == 0, "red").otherwise("").alias("title"), F.when(F.col("id") % 5 == 0, "red blue").otherwise("green").alias("body"), F.when(F.col("id") % 7 == 0, "stale").otherwise("anchored").alias("state"))
+    asked = spark.createDataFrame([(1, "red blue"), (2, "green"), (3, " "), (4, "none"), (5, "!")], "query_id long, query string")
+    got = {r["query_id"]: (r["matches"], r["hidden_stale"], r["limit_omitted"]) for r in recall.Notebook(notes).matches(asked, 8).collect()}
+    count = lambda test: tuple(sum(test(k) and (k % 7 == 0) == stale for k in range(1, 1001)) for stale in (False, True))
+    want = {1: count(lambda k: k % 3 == 0 or k % 5 == 0), 2: count(lambda k: k % 5 != 0), 3: count(lambda k: True), 4: (0, 0), 5: (0, 0)}
+    assert got == {k: (*v, max(v[0] - 8, 0)) for k, v in want.items()}
+
+
 def test_texts_of_documents_are_dealt_out_and_words_found_at_once(spark):
     plan = catalogue.queries()["fn_texts_of_documents"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "lambdafunction" not in plan
