@@ -104,6 +104,7 @@ def check_route_claims(claims: DataFrame, routes: DataFrame) -> DataFrame:
     rest = F.regexp_extract(F.trim("subject"), r"^(\S+)\s+(.*)$", 2)
     c = claims.where("subject is not null").select("subject", F.element_at(F.split("handler", r"\."), -1).alias("wanted")).distinct()
     c = c.withColumn("method", F.when(cut.isin("", "*"), "ANY").otherwise(F.upper(cut))).withColumn("want", norm_path(F.when(cut == "", F.col("subject")).otherwise(rest)))
+    routes = sized(routes, "routes")  # used three times, and each would resolve them again
     either = routes.select("*", F.explode(F.array_distinct(F.array("method", F.lit("ANY")))).alias("key"))
     known = either.where("full is not null").select(F.col("key").alias("method"), norm_path(F.col("full")).alias("at"), F.element_at(F.split("handler", r"\."), -1).alias("found"), "dynamic").withColumn("shape", shape(F.col("at")))
     hits = c.withColumn("shape", shape(F.col("want"))).join(known, ["method", "shape"])

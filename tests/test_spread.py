@@ -77,3 +77,8 @@ def test_terms_with_parts_in_odd_words(spark):
     want = ["abc", "bc", "caf", "café", "get", "gethttpurl2", "http", "in", "in_", "to", "url", "x1yz", "yz", "ας"]
     assert spark.range(1).select(texts.terms(F.lit(text)).alias("t")).first().t == want
     assert spark.range(1).select(texts.terms(F.lit("")).alias("t"), texts.terms(F.lit(None).cast("string")).alias("n")).first() == ([], None)
+
+
+def test_route_claims_resolve_routes_once(spark):
+    read = catalogue.queries()["fx_route_claims"](spark, DIR).inputFiles()
+    assert any("/routes-" in f for f in read) and not any("/facts-" in f for f in read)
