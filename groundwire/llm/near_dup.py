@@ -22,6 +22,9 @@ At similarity 0.75 the default 50 bands of 5 miss a pair with probability 1.3e-6
 
 Rows of a key that holds more than one in `HOT_KEYS` of all rows are dealt over several tasks; there are
 fewer such keys than `HOT_KEYS`, which bounds the table of them.
+
+Texts, sets and bands are kept by bitmaps of the ids and keys asked for (`FILTER_BITS` bits at most) where they are read, so
+that the others are not shuffled to be dropped.  A bitmap lets some others pass, which exact joins drop later.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ SALT_ROWS = 512
 SIGNATURE_SHARE = 0.74
 #: Slots of the shingle counts that order shingles by rarity.
 SLOTS = 1 << 20
+#: Bits of a bitmap of ids or keys at most; more of them let more rows pass, which decides the work and not the result.
+FILTER_BITS = 1 << 27
 #: A key is hot with more than this many rows and more than one in HOT_KEYS of all rows.
 HOT_ROWS, HOT_KEYS = 1024, 1 << 16
 MASK52 = U((1 << 52) - 1)
@@ -120,9 +126,50 @@ def _sketch_rows(bands: int, rows: int, k: int):
     return run
 
 
-def _set_rows(k: int):
+def bitmap(hashes: DataFrame) -> Broadcast:
+    """Bitmap of the low bits of column `hash` (long) in unsigned words, 64 bits or more for each row up to `FILTER_BITS`."""
+    bits = min(FILTER_BITS, 1 << max(10, (64 * hashes.count()).bit_length()))
+    slots = hashes.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("held"))
+    out = np.zeros(bits >> 6, np.uint64)
+    for part in words.toArrow().to_batches():  # FILTER_BITS / 64 rows at most
+        out[part.column("word").to_numpy()] = part.column("held").to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def _passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes stand in the bitmap: all that were given to it, and some others."""
+    slot = hashes.view(np.uint64) & U(64 * words.size - 1)
+    return (words[(slot >> U(6)).astype(np.int64)] >> (slot & U(63)) & U(1)).astype(bool)
+
+
+def _asked(batches, words: np.ndarray):
+    """The rows of the batches whose column `hash` passes the bitmap."""
+    for batch in batches:
+        some = _passes(words, batch.column("hash").to_numpy())
+        if some.any():
+            yield batch.filter(pa.array(some))
+
+
+def _band_rows(wanted: Broadcast):
+    """Rows whose `bands` are cut to the keys that pass the bitmap, without those that keep none."""
+
     def run(batches):
         for batch in batches:
+            bands = batch.column("bands")
+            cut = bands.offsets.to_numpy() - bands.offsets[0].as_py()
+            keys = bands.flatten()
+            some = _passes(wanted.value, keys.to_numpy())
+            bounds = np.concatenate([[0], np.cumsum(some)])[cut].astype(np.int32)
+            left = pa.ListArray.from_arrays(pa.array(bounds), keys.filter(pa.array(some)))
+            yield batch.set_column(batch.schema.get_field_index("bands"), "bands", left).filter(pa.array(np.diff(bounds) > 0))
+
+    return run
+
+
+def _set_rows(k: int, wanted: Broadcast):
+    def run(batches):
+        for batch in _asked(batches, wanted.value):
             text = batch.column("text")
             for lo, hi in slices(text):
                 values, cut = sets_of(text[lo:hi], k)
@@ -173,7 +220,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("long").alias("n_salts"))
     members = pairs.join(salts, "b").select("b", "a", F.pmod(F.xxhash64("a"), F.col("n_salts")).alias("salt"), F.lit(1).alias("role"))
     leaders = salts.select("b", F.col("b").alias("a"), F.explode(F.expr("sequence(0L, n_salts - 1)")).alias("salt"), F.lit(0).alias("role"))
-    rows = members.unionByName(leaders).join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a")
+    # by a merge join at every size, so that what is moved follows the input
+    rows = members.unionByName(leaders).join(sets.select(F.col("doc_id").alias("a"), "shingles").hint("merge"), "a")
     return arrow_map(rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "role"), _confirm(percent), "a long, b long")
 
 
@@ -229,19 +277,22 @@ def _dealt(rows: DataFrame, hot: DataFrame, by: str | None) -> DataFrame:
     return rows.withColumn("salt", salt).drop("salts")
 
 
-def _slot_counts(batches):
-    total = np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        for raw in batch.column("shingles"):
-            np.add.at(total, (np.frombuffer(raw.as_buffer(), np.uint64) & U(SLOTS - 1)).astype(np.int64), 1)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+def _slot_counts(wanted: Broadcast):
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in _asked(batches, wanted.value):
+            for raw in batch.column("shingles"):
+                np.add.at(total, (np.frombuffer(raw.as_buffer(), np.uint64) & U(SLOTS - 1)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    return run
 
 
-def _prefix_rows(counts, percent: int):
+def _prefix_rows(counts: Broadcast, percent: int, wanted: Broadcast):
     def run(batches):
         uses = counts.value
-        for batch in batches:
+        for batch in _asked(batches, wanted.value):
             for who, raw in zip(batch.column("rep").to_pylist(), batch.column("shingles")):
                 got = np.frombuffer(raw.as_buffer(), np.uint64)
                 n = got.size
@@ -254,18 +305,20 @@ def _prefix_rows(counts, percent: int):
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (rep, c) of different components c that may be similar enough.
+    """Pairs (a, b) of distinct members (rep, c) of different components c that may be similar enough.
 
     For each shingle only members outside its most common component look for partners, so that the work is linear
     in the size of that component.
     """
     spark = sets.sparkSession
-    ids = sets.select(F.col("doc_id").alias("rep"), "shingles").join(members.select("rep").distinct(), "rep", "left_semi")
+    members = saved(members, "members")
+    wanted = bitmap(members.select(F.xxhash64("rep").alias("hash")))
+    ids = sets.select(F.col("doc_id").alias("rep"), "shingles", F.xxhash64("doc_id").alias("hash"))
     counts = np.zeros(SLOTS, np.int64)
-    for part in arrow_map(ids, _slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():  # SLOTS rows at most
+    for part in arrow_map(ids, _slot_counts(wanted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():  # SLOTS rows at most
         counts[part.column("slot").to_numpy()] = part.column("n").to_numpy()
-    firsts = arrow_map(ids, _prefix_rows(spark.sparkContext.broadcast(counts), percent), "rep long, key long, place long, n long")
-    held = saved(firsts.join(members.select("rep", "c").distinct(), "rep"), "prefixes")
+    firsts = arrow_map(ids, _prefix_rows(spark.sparkContext.broadcast(counts), percent, wanted), "rep long, key long, place long, n long")
+    held = saved(firsts.join(members, "rep"), "prefixes")
     of_key = held.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("several"), F.sum("count").alias("held")).where("several > 1").select("key", "main", "held")
     of_key = saved(of_key, "keys")
     hot = hot_keys(of_key)
@@ -294,16 +347,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, band
     sketched = saved(arrow_map(text, _sketch_rows(bands, rows, words), schema), "sketches")
     known = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = saved(known.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")
-    members = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = saved(members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("held")).where("held > 1"), "leaders")
+
+    def reps(known: DataFrame) -> DataFrame:
+        found = known.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"])
+        return found.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")
+
+    buckets = saved(reps(known).select("rep", F.explode("bands").alias("key")).groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("held")).where("held > 1"), "leaders")
     hot = hot_keys(buckets)
+    # most keys have one class and no bucket, so their rows are not moved again
+    some = reps(arrow_map(known, _band_rows(bitmap(buckets.select(F.col("key").alias("hash")))), schema))
+    members = some.select("rep", F.explode("bands").alias("key"))
     shared = saved(_dealt(members, hot, "rep").join(_dealt(buckets.drop("held"), hot, None), ["key", "salt"]), "buckets")
 
-    marks = reps.drop("bands").join(shared.select("rep").distinct(), "rep", "left_semi")
+    marks = reps(known).drop("bands").join(shared.select("rep").distinct(), "rep", "left_semi")
     marks = saved(marks, "marks")
-    # one scan for the sets of all candidates; by a merge join at every size, so that what is moved follows the input
-    sets = saved(arrow_map(text.join(marks.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), _set_rows(words), "doc_id long, shingles binary"), "sets")
+    # one scan for the sets of all candidates and of the few other texts that pass the bitmap, which no pair asks for
+    wanted = bitmap(marks.select(F.xxhash64("rep").alias("hash")))
+    sets = saved(arrow_map(text.where("doc_id is not null").withColumn("hash", F.xxhash64("doc_id")), _set_rows(words, wanted), "doc_id long, shingles binary"), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
         return saved(confirmed(pairs, sets, percent), "links")
