@@ -89,7 +89,8 @@ def added_facts(added: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
     files = by_file.join(held.withColumn("lines", lines), "file", "left").select("file", "x", "body", F.coalesce(same, F.lit(False)).alias("whole"))
     files = sized(files, "changed")
     at = added.select(F.col("file").alias("path"), F.col("lineno").alias("line")).distinct()
-    mine = index.facts.join(files.where("whole").select(F.col("file").alias("path")), "path", "left_semi").join(at, ["path", "line"], "left_semi")
+    # lines are many times what a plan takes them for, so they are merged and never sent whole to the driver
+    mine = index.facts.join(files.where("whole").select(F.col("file").alias("path")), "path", "left_semi").join(at.hint("merge"), ["path", "line"], "left_semi")
     rest = files.where("file like '%.py' and not whole").select(F.col("file").alias("path"), F.array_join("x.text", "\n").alias("text"), F.col("x.lineno").alias("lines"))
     read = python_facts(rest.select("path", "text")).join(rest.select("path", "lines"), "path")
     read = read.withColumn("line", F.when(F.col("line") > 0, F.element_at("lines", F.col("line").cast("int"))).otherwise(F.col("line"))).drop("lines")

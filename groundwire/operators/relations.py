@@ -23,7 +23,8 @@ def did_you_mean(names: DataFrame, candidates: DataFrame, name: str, candidate:
     A candidate counts within 3 edits (4 from 16 letters on) or with two shared tokens, or all of either side's.
     Pairs come from equi joins, not from a cross join: on whole token sets of one token, on pairs of tokens, on the token
     that is all of one side, and on pieces, of which two names within four edits share one.  within: columns of both
-    sides that must be equal, such as the pool that a name may be taken from.
+    sides that must be equal, such as the pool that a name may be taken from.  Tokens, pairs and pieces are many times their
+    names, which a plan's sizes do not show, so they are merged and never sent whole to the driver.
     """
     by = within or []
     n = names.select(*by, F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct().withColumn("name_tokens", F.array_sort(name_tokens(F.col("name"))))
@@ -39,12 +40,13 @@ def did_you_mean(names: DataFrame, candidates: DataFrame, name: str, candidate:
         return df.select(*by, who, F.explode(keys).alias("key"))
 
     # two shared tokens; or one side has one token only, and the other has it too
-    pairs = keyed(n, "name", twos(F.col("name_tokens"))).join(keyed(c, "candidate", twos(F.col("cand_tokens"))), [*by, "key"]).select(*by, "name", "candidate")
+    pairs = keyed(n, "name", twos(F.col("name_tokens"))).join(keyed(c, "candidate", twos(F.col("cand_tokens"))).hint("merge"), [*by, "key"]).select(*by, "name", "candidate")
     for one, other in ((n, c), (c, n)):
         who, them = ("name", "candidate") if one is n else ("candidate", "name")
         single = one.where(F.size(f"{who[:4]}_tokens") == 1).select(*by, who, F.col(f"{who[:4]}_tokens")[0].alias("key"))
-        pairs = pairs.unionByName(single.join(other.select(*by, them, F.explode(f"{them[:4]}_tokens").alias("key")), [*by, "key"]).select(*by, "name", "candidate"))
-    pairs = pairs.unionByName(_pieces(n, "name", True, by=by).join(_pieces(c, "candidate", False, by=by), [*by, "size", "place", "key"]).select(*by, "name", "candidate"))
+        pairs = pairs.unionByName(single.join(other.select(*by, them, F.explode(f"{them[:4]}_tokens").alias("key")).hint("merge"), [*by, "key"]).select(*by, "name", "candidate"))
+    # a name gives some hundred pieces, so names are dealt out before
+    pairs = pairs.unionByName(_pieces(spread(n), "name", True, by=by).join(_pieces(c, "candidate", False, by=by).hint("merge"), [*by, "size", "place", "key"]).select(*by, "name", "candidate"))
     pairs = pairs.distinct().where(F.col("name") != F.col("candidate"))
     pairs = pairs.withColumns({"name_tokens": name_tokens(F.col("name")), "cand_tokens": name_tokens(F.col("candidate"))})
     distance = F.least(F.levenshtein(F.lower("name"), F.lower("candidate")), cap + 1)
@@ -69,8 +71,9 @@ def _pieces(df: DataFrame, column: str, probe: bool, edits: int = 4, by: list[st
     sizes = F.expr(f"sequence(greatest(0, length({column}) - {edits}), length({column}) + {edits})")
     rows = df.select(*by, column, F.explode(sizes).alias("size")).select(*by, column, "size", F.explode(F.expr(f"sequence(0, {edits})")).alias("place"))
     begin, width = f"(place * size) div {parts}", f"((place + 1) * size) div {parts} - (place * size) div {parts}"
-    moved = F.explode(F.expr(f"filter(sequence({begin} - {edits}, {begin} + {edits}), p -> p >= 0 and p + {width} <= length({column}))")).alias("p")
-    return rows.select(*by, column, "size", "place", moved).select(*by, column, "size", "place", F.expr(f"substring(lower({column}), p + 1, cast({width} as int))").alias("key")).distinct()
+    moved = f"filter(sequence({begin} - {edits}, {begin} + {edits}), p -> p >= 0 and p + {width} <= length({column}))"
+    keys = F.expr(f"array_distinct(transform({moved}, p -> substring(lower({column}), p + 1, cast({width} as int))))")
+    return rows.select(*by, column, "size", "place", F.explode(keys).alias("key"))
 
 
 def latest_ops(changes: DataFrame, since: int, limit: int, seq: str = "seq", node: str = "node", op: str = "op") -> DataFrame:

@@ -1,15 +1,17 @@
 """Work is dealt out before much is made of few bytes, and written tables are as large as their rows."""
 
 import os
+import re
 from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from groundwire.functions import text as texts
-from groundwire.operators import recall, relations
+from groundwire.operators import change, recall, relations
 from groundwire.plans import cases, catalogue, composed, gates
 from groundwire.runtime import sized
+from groundwire.sources import files, sample
 
 DIR = "/root/testdata/sf0.001"
 
@@ -48,6 +50,29 @@ def test_only_pools_that_are_asked_for(spark):
     assert "LeftSemi" in near._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pieces_of_names_are_dealt_out_and_not_sent_to_the_driver(spark):
+    names = spark.range(60).select((F.col("id") % 20).alias("at"), F.concat(F.lit("helth_"), "id").alias("ref"))
+    pool = spark.range(60).select((F.col("id") % 20).alias("at"), F.concat(F.lit("health_"), "id").alias("candidate"))
+    near = relations.did_you_mean(names, pool, "ref", "candidate", 1, within=["at"])
+    assert {(r["name"], r["candidate"]) for r in near.collect()} == {(f"helth_{k}", f"health_{k}") for k in range(60)}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin [^\n]*key#", plan) and re.search(r"SortMergeJoin [^\n]*place#", plan)
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_pieces_have_each_key_once(spark):
+    held = relations._pieces(spark.createDataFrame([("aaaaaaaa",), ("x",), ("",)], "name string"), "name", True)
+    assert held.count() == held.distinct().count() > 0
+
+
+def test_changed_lines_are_not_sent_to_the_driver(spark):
+    tree = sample.tree(spark, broken=True)
+    facts, _ = change.added_facts(files.region_lines(tree), change.Index(tree))
+    assert [r["line"] for r in facts.collect() if (r["path"], r["tag"], r["name"]) == ("app/broken.py", "import", "requestz")] == [3]
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[path#\d+, line#\d+L\]", plan) and not re.search(r"BroadcastHashJoin \[path#\d+, line#\d+L\]", plan)
+
+
 def test_postings_have_one_row_a_word(spark):
     notes = spark.createDataFrame([(129, ["a", "b"], ["b", "c"])], "place long, title array<string>, body array<string>")
     assert sorted((r["term"], r["block"], r["place"], r["points"]) for r in recall.postings(notes).collect()) == [("a", 1, 129, 2), ("b", 1, 129, 3), ("c", 1, 129, 1)]
